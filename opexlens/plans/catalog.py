@@ -18,10 +18,10 @@ from ..sources import fixtures as X
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def records(spark: SparkSession, sf_dir: str, revenue: bool = True, sparse: bool = False,
+def records(spark: SparkSession, sf_dir: str, revenue: bool = True,
             shift_code: bool = False) -> DataFrame:
     """Cleaned cost records over lineitem."""
-    return C.clean(X.cost_records(spark, sf_dir, revenue=revenue, sparse=sparse),
+    return C.clean(X.cost_records(spark, sf_dir, revenue=revenue),
                    with_shift_code=shift_code)
 
 
@@ -42,3 +42,56 @@ QUERIES: dict[str, Query] = {
     "kpis": _q_kpis,
     "kpis_no_revenue": _q_kpis_no_revenue,
 }
+
+
+# --- filters -----------------------------------------------------------------
+from ..operators import filters as FL  # noqa: E402
+from ..operators import charts as CH  # noqa: E402
+from ..operators import whatif as W  # noqa: E402
+from ..operators import forecast as FC  # noqa: E402
+
+DATE_LO, DATE_HI = "1996-01-01", "1996-12-31"
+ALL_FILTERS = {"date_range": ("1995-06-01", "1998-06-30"), "factory": "F03", "shift": "S_R",
+               "energy1_min": 5.0, "energy1_max": 45.0, "energy2_min": 10.0}
+DASHBOARD_FILTERS = {"date_range": ("1995-01-01", "1997-12-31"), "factory": "F02"}
+
+
+def _latest_date(df: DataFrame):
+    return df.agg(F.max("date")).scalar()
+
+
+QUERIES.update({
+    "filter_dates": lambda s, d: FL.filter_dates(records(s, d), DATE_LO, DATE_HI),
+    "filter_factory": lambda s, d: FL.filter_factory(records(s, d), "F03"),
+    "filter_shift": lambda s, d: FL.filter_shift(records(s, d), "S_N"),
+    "filter_energy": lambda s, d: FL.filter_energy(records(s, d), 10.0, 40.0, 20.0, None),
+    "apply_filters": lambda s, d: FL.apply_filters(records(s, d), ALL_FILTERS),
+    "filter_preset": lambda s, d: (lambda r: FL.filter_preset(r, "1Y", as_of=_latest_date(r)))(records(s, d)),
+    "filtered_kpis": lambda s, d: K.kpis(FL.apply_filters(records(s, d), DASHBOARD_FILTERS)),
+    "factory_ranking": lambda s, d: K.factory_ranking(records(s, d)),
+    "shift_ranking": lambda s, d: K.shift_ranking(records(s, d)),
+    "most_expensive": lambda s, d: K.most_expensive(records(s, d)),
+    "kpis_labelled": lambda s, d: K.kpis_labelled(records(s, d)),
+    "kpis_formatted": lambda s, d: K.kpis_formatted(records(s, d)),
+    "filter_values": lambda s, d: K.filter_values(records(s, d)),
+    "filter_ranges": lambda s, d: K.filter_ranges(records(s, d)),
+    "trend_daily": lambda s, d: CH.trend(records(s, d), "total_opex", "D"),
+    "trend_weekly": lambda s, d: CH.trend(records(s, d), "total_opex", "W"),
+    "trend_monthly": lambda s, d: CH.trend(records(s, d), "total_opex", "M"),
+    "cost_composition": lambda s, d: CH.cost_composition(records(s, d)),
+    "factory_shift_matrix": lambda s, d: CH.factory_shift_matrix(records(s, d)),
+    "energy_mix": lambda s, d: CH.energy_mix(records(s, d)),
+    "describe": lambda s, d: CH.describe(records(s, d)),
+    "correlation": lambda s, d: CH.correlation(records(s, d)),
+    "whatif": lambda s, d: W.whatif(records(s, d), 10.0),
+    "whatif_like_for_like": lambda s, d: W.whatif_like_for_like(records(s, d), 10.0),
+    "daily_grid": lambda s, d: FC.daily_grid(records(s, d), ["total_opex", "total_energy"]),
+    "calendar_features": lambda s, d: FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"])),
+    "forecast_split": lambda s, d: FC.forecast_split(
+        FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"]))),
+    "forecast": lambda s, d: FC.forecast(records(s, d), 30),
+    "forecast_metrics": lambda s, d: FC.forecast_metrics(records(s, d)),
+    "forecast_total": lambda s, d: FC.forecast_total(records(s, d), 30),
+    "future_kpis": lambda s, d: FC.future_kpis(records(s, d), 30),
+    "trend_line": lambda s, d: FC.trend_line(records(s, d)),
+})

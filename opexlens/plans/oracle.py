@@ -59,3 +59,212 @@ ORACLE: dict[str, str] = {
     "kpis": _kpis(REC, True),
     "kpis_no_revenue": _kpis(REC_NO_REVENUE, False),
 }
+
+
+def _records_where(cond: str) -> str:
+    return with_ctes(f"SELECT * FROM r WHERE {cond}")
+
+
+def _ranking(name: str, measure_sql: str, out: str) -> str:
+    return with_ctes(f"""SELECT {name}, {out}, CAST(row_number() OVER (ORDER BY {out} DESC, {name} ASC) AS INTEGER) AS rank
+        FROM (SELECT {name}, {measure_sql} AS {out} FROM r GROUP BY {name})""")
+
+
+_KPI_ORDER = ["total_opex", "total_energy", "total_revenue", "profit", "profit_margin",
+              "energy_efficiency", "hr_percent", "admin_percent", "top_factory", "bottom_factory",
+              "most_expensive_shift", "cheapest_shift"]
+_KPI_TEXT = {"top_factory", "bottom_factory", "most_expensive_shift", "cheapest_shift"}
+
+
+def _kpis_long() -> str:
+    from ..schema import KPI_LABELS
+    parts = []
+    for i, k in enumerate(_KPI_ORDER):
+        v = "CAST(NULL AS DOUBLE)" if k in _KPI_TEXT else k
+        t = k if k in _KPI_TEXT else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT {i} AS position, '{k}' AS kpi, '{KPI_LABELS[k]}' AS label, "
+                     f"{v} AS value, {t} AS text FROM kb")
+    return f"WITH kb AS ({_kpis(REC, True)})\n" + "\nUNION ALL\n".join(parts)
+
+
+def _kpis_formatted() -> str:
+    return f"""WITH l AS ({_kpis_long()})
+    SELECT position, kpi, label,
+      CASE WHEN value IS NULL THEN text
+           WHEN label LIKE '%Utilization%' THEN printf('%.1f', value * 100) || '%'
+           WHEN label LIKE '%\\%%' ESCAPE '\\' THEN printf('%.2f', value) || '%'
+           WHEN label LIKE '%Revenue%' OR label LIKE '%Cost%' OR label LIKE '%Profit%' THEN '$' || printf('%.2f', value)
+           ELSE printf('%.2f', value) END AS display
+    FROM l"""
+
+
+MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost",
+            "other_cost", "revenue", "total_opex", "total_energy"]
+
+
+def _describe() -> str:
+    vals = [f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM r" for c in MEASURES]
+    vals.append("SELECT 'date' AS col, CAST(datediff('day', DATE '1970-01-01', date) AS DOUBLE) AS v FROM r")
+    stats = [("count", "CAST(count(v) AS DOUBLE)"), ("mean", "avg(v)"), ("min", "min(v)"),
+             ("max", "max(v)"), ("std", "stddev_samp(v)"), ("25%", "quantile_cont(v, 0.25)"),
+             ("50%", "quantile_cont(v, 0.5)"), ("75%", "quantile_cont(v, 0.75)")]
+    sel = "\nUNION ALL\n".join(
+        f"SELECT col AS \"column\", '{s}' AS statistic, round({e}, 6) AS value FROM vals "
+        + ("WHERE col <> 'date' " if s == "std" else "") + "GROUP BY col" for s, e in stats)
+    return with_ctes(sel, extra=", vals AS (" + "\nUNION ALL\n".join(vals) + ")")
+
+
+def _correlation() -> str:
+    parts = []
+    for i, a in enumerate(MEASURES):
+        for b in MEASURES[i + 1:]:
+            parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 8) AS corr FROM r")
+    return with_ctes("\nUNION ALL\n".join(parts))
+
+
+def _whatif(like: bool) -> str:
+    orig = "o + e" if like else "o"
+    return with_ctes(f"""SELECT {orig} AS original_total_opex, c + e * (1 + 10.0 / 100) AS new_total_opex,
+        c + e * (1 + 10.0 / 100) - ({orig}) AS absolute_increase,
+        CASE WHEN ({orig}) = 0 THEN 0.0 ELSE (c + e * (1 + 10.0 / 100) - ({orig})) / ({orig}) * 100 END AS percent_increase
+      FROM (SELECT coalesce(sum(hr_cost + operation_cost + admin_cost + other_cost), 0) AS c,
+                   coalesce(sum(energy_type_1 + energy_type_2), 0) AS e,
+                   coalesce(sum(total_opex), 0) AS o FROM r)""")
+
+
+# Daily grid with calendar features, over cleaned records r.
+GRID = """, daily AS (SELECT date, sum(total_opex) AS total_opex, sum(total_energy) AS total_energy FROM r GROUP BY date),
+  b AS (SELECT min(date) AS lo, max(date) AS hi FROM daily),
+  cal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+  grid AS (SELECT cal.date, coalesce(daily.total_opex, 0) AS total_opex, coalesce(daily.total_energy, 0) AS total_energy,
+                  CAST(isodow(cal.date) - 1 AS INTEGER) AS dayofweek, CAST(month(cal.date) AS INTEGER) AS month,
+                  CAST(day(cal.date) AS INTEGER) AS day,
+                  CAST(datediff('day', (SELECT lo FROM b), cal.date) AS INTEGER) AS days_since_start
+           FROM cal LEFT JOIN daily ON cal.date = daily.date)"""
+
+# Ordinary least squares of total_opex on the four features over training
+# days, by sequential orthogonalisation (centre; residualise each feature on
+# the earlier ones; project y), then applied to any feature table.
+OLS = """, tr AS (SELECT * FROM grid WHERE days_since_start % 5 <> 4),
+  m AS (SELECT avg(dayofweek) AS m1, avg(month) AS m2, avg(day) AS m3, avg(days_since_start) AS m4, avg(total_opex) AS my FROM tr),
+  c AS (SELECT dayofweek - m1 AS c1, month - m2 AS c2, day - m3 AS c3, days_since_start - m4 AS c4, total_opex - my AS cy FROM tr, m),
+  k2 AS (SELECT sum(c2 * c1) / sum(c1 * c1) AS b21 FROM c),
+  z2 AS (SELECT c.*, c1 AS z1, c2 - b21 * c1 AS z2 FROM c, k2),
+  k3 AS (SELECT sum(c3 * z1) / sum(z1 * z1) AS b31, sum(c3 * z2) / sum(z2 * z2) AS b32 FROM z2),
+  z3 AS (SELECT z2.*, c3 - b31 * z1 - b32 * z2 AS z3 FROM z2, k3),
+  k4 AS (SELECT sum(c4 * z1) / sum(z1 * z1) AS b41, sum(c4 * z2) / sum(z2 * z2) AS b42, sum(c4 * z3) / sum(z3 * z3) AS b43 FROM z3),
+  z4 AS (SELECT z3.*, c4 - b41 * z1 - b42 * z2 - b43 * z3 AS z4 FROM z3, k4),
+  g AS (SELECT sum(cy * z1) / sum(z1 * z1) AS g1, sum(cy * z2) / sum(z2 * z2) AS g2,
+               sum(cy * z3) / sum(z3 * z3) AS g3, sum(cy * z4) / sum(z4 * z4) AS g4 FROM z4)"""
+
+
+def _score(feats: str) -> str:
+    """Predictions for a feature table (needs m, k2..k4, g)."""
+    return f"""SELECT f.*, my + g1 * z1 + g2 * z2 + g3 * z3 + g4 * z4 AS prediction FROM (
+      SELECT f.*, z1, z2, z3, c4 - b41 * z1 - b42 * z2 - b43 * z3 AS z4 FROM (
+        SELECT f.*, z1, z2, c3 - b31 * z1 - b32 * z2 AS z3 FROM (
+          SELECT f.*, c1 AS z1, c2 - b21 * c1 AS z2 FROM (
+            SELECT f.*, dayofweek - m1 AS c1, month - m2 AS c2, day - m3 AS c3, days_since_start - m4 AS c4
+            FROM ({feats}) f, m) f, k2) f, k3) f, k4) f, m, g"""
+
+
+def _future(h: int) -> str:
+    return f""", fut AS (SELECT CAST(i AS INTEGER) AS day_index, CAST(hi + CAST(i AS INTEGER) AS DATE) AS date
+                  FROM b, range(1, {h} + 1) t(i)),
+  futf AS (SELECT day_index, date, CAST(isodow(date) - 1 AS INTEGER) AS dayofweek, CAST(month(date) AS INTEGER) AS month,
+                  CAST(day(date) AS INTEGER) AS day, CAST(datediff('day', (SELECT lo FROM b), date) AS INTEGER) AS days_since_start
+           FROM fut),
+  pred AS ({_score("SELECT * FROM futf")})"""
+
+
+def _forecast(h: int) -> str:
+    return with_ctes("SELECT day_index, date, round(prediction, 2) AS prediction FROM pred",
+                     extra=GRID + OLS + _future(h))
+
+
+def _forecast_metrics() -> str:
+    body = """SELECT round(1 - sum((total_opex - prediction) ^ 2) / sum((total_opex - ybar) ^ 2), 6) AS r2,
+                     round(avg(abs(total_opex - prediction)), 6) AS mae,
+                     round(sqrt(avg((total_opex - prediction) ^ 2)), 6) AS rmse
+              FROM tp, (SELECT avg(total_opex) AS ybar FROM tp)"""
+    return with_ctes(body, extra=GRID + OLS + f", tp AS ({_score('SELECT * FROM grid WHERE days_since_start % 5 = 4')})")
+
+
+def _forecast_total(h: int) -> str:
+    return with_ctes("""SELECT round(coalesce(sum(round(prediction, 12)), 0), 2) AS total_forecast,
+        round(avg(round(prediction, 12)), 2) AS avg_daily_forecast, CAST(count(*) AS BIGINT) AS days FROM pred""",
+                     extra=GRID + OLS + _future(h))
+
+
+def _future_kpis(h: int) -> str:
+    return with_ctes("""SELECT round(t, 2) AS next_month_total_cost,
+        round(t * (SELECT CASE WHEN sum(total_opex) = 0 THEN 0.0 ELSE sum(total_energy) / sum(total_opex) END FROM r), 2)
+          AS estimated_energy_demand,
+        CAST(30 AS INTEGER) AS budget_overrun_prob,
+        (SELECT factory FROM (SELECT factory, sum(total_opex) AS c FROM r GROUP BY factory) ORDER BY c DESC, factory LIMIT 1)
+          AS most_expensive_factory,
+        (SELECT shift FROM (SELECT shift, avg(total_opex) AS c FROM r GROUP BY shift) ORDER BY c DESC, shift LIMIT 1)
+          AS most_expensive_shift,
+        round(a, 2) AS avg_daily_cost_next_month
+      FROM (SELECT coalesce(sum(round(prediction, 12)), 0) AS t, avg(round(prediction, 12)) AS a FROM pred)""",
+                     extra=GRID + OLS + _future(h))
+
+
+ORACLE.update({
+    "filter_dates": _records_where("date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"),
+    "filter_factory": _records_where("factory = 'F03'"),
+    "filter_shift": _records_where("shift = 'S_N'"),
+    "filter_energy": _records_where("energy_type_1 >= 10.0 AND energy_type_1 <= 40.0 AND energy_type_2 >= 20.0"),
+    "apply_filters": _records_where(
+        "date BETWEEN DATE '1995-06-01' AND DATE '1998-06-30' AND factory = 'F03' AND shift = 'S_R' "
+        "AND energy_type_1 >= 5.0 AND energy_type_1 <= 45.0 AND energy_type_2 >= 10.0"),
+    "filter_preset": _records_where(
+        "date BETWEEN CAST((SELECT max(date) FROM r) - INTERVAL 12 MONTH AS DATE) AND (SELECT max(date) FROM r)"),
+    "filtered_kpis": _kpis(f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' "
+                           "AND factory = 'F02'", True),
+    "factory_ranking": _ranking("factory", "coalesce(sum(total_opex), 0)", "total_opex"),
+    "shift_ranking": _ranking("shift", "avg(total_opex)", "avg_opex"),
+    "most_expensive": with_ctes("""SELECT
+        (SELECT factory FROM (SELECT factory, sum(total_opex) AS c FROM r GROUP BY factory) ORDER BY c DESC, factory LIMIT 1)
+          AS most_expensive_factory,
+        (SELECT shift FROM (SELECT shift, avg(total_opex) AS c FROM r GROUP BY shift) ORDER BY c DESC, shift LIMIT 1)
+          AS most_expensive_shift"""),
+    "kpis_labelled": _kpis_long(),
+    "kpis_formatted": _kpis_formatted(),
+    "filter_values": with_ctes("""SELECT DISTINCT 'factory' AS dimension, factory AS value FROM r
+        UNION ALL SELECT DISTINCT 'shift' AS dimension, shift AS value FROM r"""),
+    "filter_ranges": with_ctes("""SELECT min(energy_type_1) AS energy1_min, max(energy_type_1) AS energy1_max,
+        min(energy_type_2) AS energy2_min, max(energy_type_2) AS energy2_max FROM r"""),
+    "trend_daily": with_ctes("SELECT date AS period, coalesce(sum(total_opex), 0) AS value FROM r GROUP BY 1"),
+    "trend_weekly": with_ctes(
+        "SELECT CAST(date_trunc('week', date) AS DATE) AS period, coalesce(sum(total_opex), 0) AS value FROM r GROUP BY 1"),
+    "trend_monthly": with_ctes(
+        "SELECT CAST(date_trunc('month', date) AS DATE) AS period, coalesce(sum(total_opex), 0) AS value FROM r GROUP BY 1"),
+    "cost_composition": with_ctes(" UNION ALL ".join(
+        f"SELECT factory, '{c}' AS component, coalesce(sum({c}), 0) AS cost FROM r GROUP BY factory"
+        for c in ["hr_cost", "operation_cost", "admin_cost", "other_cost"])),
+    "factory_shift_matrix": with_ctes("SELECT factory, " + ", ".join(
+        f"coalesce(sum(CASE WHEN shift = '{s}' THEN total_opex END), 0) AS {s}" for s in ["S_A", "S_N", "S_R"])
+        + " FROM r GROUP BY factory"),
+    "energy_mix": with_ctes("""SELECT energy_type, total, total / (t1 + t2) * 100 AS share FROM (
+        SELECT 'Energy Type 1' AS energy_type, t1 AS total, t1, t2 FROM s
+        UNION ALL SELECT 'Energy Type 2', t2, t1, t2 FROM s) WHERE t1 + t2 <> 0""",
+        extra=", s AS (SELECT coalesce(sum(energy_type_1), 0) AS t1, coalesce(sum(energy_type_2), 0) AS t2 FROM r)"),
+    "describe": _describe(),
+    "correlation": _correlation(),
+    "whatif": _whatif(False),
+    "whatif_like_for_like": _whatif(True),
+    "daily_grid": with_ctes("SELECT date, total_opex, total_energy FROM grid", extra=GRID),
+    "calendar_features": with_ctes(
+        "SELECT date, total_opex, dayofweek, month, day, days_since_start FROM grid", extra=GRID),
+    "forecast_split": with_ctes("""SELECT date, total_opex, dayofweek, month, day, days_since_start,
+        days_since_start % 5 = 4 AS is_test FROM grid""", extra=GRID),
+    "forecast": _forecast(30),
+    "forecast_metrics": _forecast_metrics(),
+    "forecast_total": _forecast_total(30),
+    "future_kpis": _future_kpis(30),
+    "trend_line": with_ctes("""SELECT round(regr_slope(total_opex, days_since_start), 6) AS slope,
+        round(regr_intercept(total_opex, days_since_start), 6) AS intercept,
+        round(regr_r2(total_opex, days_since_start), 6) AS r2, CAST(count(*) AS BIGINT) AS days FROM grid""",
+        extra=GRID),
+})

@@ -16,11 +16,16 @@ it, but on DataFrames:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# Upper bound on (groups x probabilities) carried as a literal.
+MAX_TARGETS = 100_000
+
 
 def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
                         weight_col: str, out_col: str = "_before") -> DataFrame:
@@ -72,20 +77,29 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
               .agg(F.sum(w).cast("long").alias("_w")))
     ordered = with_global_offsets(vals, group_cols, value_col, "_w")
 
-    # Target ranks per group: (q_index, q, lo rank, hi rank, fraction);
-    # #groups x #probs elements, looked up through a scalar sub-query.
+    # Target ranks per group.  The per-group counts table has one row per
+    # group (bounded by the number of groups, not by the data), so it is
+    # read on the driver and the targets travel as a literal map.
+    counts = vals.groupBy(*group_cols).agg(F.sum("_w").alias("_n")) \
+                 .select(_group_key(group_cols).alias("_g"), "_n").collect()
+    if len(counts) * len(probs) > MAX_TARGETS:
+        raise ValueError("too many quantile targets; use fewer groups or probabilities")
+    entries = []
+    for g, n in counts:
+        items = []
+        for i, p in enumerate(probs):
+            pos = float(p) * (n - 1)
+            items.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+                                  F.lit(int(math.floor(pos))).cast("long").alias("lo"),
+                                  F.lit(int(math.ceil(pos))).cast("long").alias("hi"),
+                                  F.lit(pos).alias("pos")))
+        entries += [F.lit(g), F.array(*items)]
+    if not entries:
+        return df.sparkSession.createDataFrame(
+            [], ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
+                          + ["q_index int", "q double", "value double"]))
+    lookup = F.create_map(*entries)
     gkey = _group_key(group_cols)
-    probs_arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                          for i, p in enumerate(probs)])
-    counts = vals.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
-    targets = counts.select(
-        gkey.alias("_g"),
-        F.transform(probs_arr, lambda x: F.struct(
-            x["i"].alias("i"), x["p"].alias("p"),
-            F.floor(x["p"] * (F.col("_n") - 1)).alias("lo"),
-            F.ceil(x["p"] * (F.col("_n") - 1)).alias("hi"),
-            (x["p"] * (F.col("_n") - 1)).alias("pos"))).alias("_t"))
-    lookup = targets.select(F.map_from_entries(F.collect_list(F.struct("_g", "_t")))).scalar()
 
     return _assemble(ordered, lookup, gkey, group_cols, value_col)
 

@@ -45,15 +45,9 @@ def _factory() -> F.Column:
     return F.concat(F.lit("F"), F.lpad((F.col("l_suppkey") % F.lit(7)).cast("string"), 2, "0"))
 
 
-def cost_records(spark: SparkSession, sf_dir: str, revenue: bool = True,
-                 sparse: bool = False) -> DataFrame:
-    """Typed cost records: date, factory, shift, six measures (+ revenue).
-
-    ``sparse`` keeps one supplier in a hundred, which leaves most calendar
-    days empty (a gap-filling test input, not a sample of the work)."""
+def cost_records(spark: SparkSession, sf_dir: str, revenue: bool = True) -> DataFrame:
+    """Typed cost records: date, factory, shift, six measures (+ revenue)."""
     li = table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLUMNS)
-    if sparse:
-        li = li.where(F.col("l_suppkey") % F.lit(100) == F.lit(3))
     m = _measures()
     if not revenue:
         m.pop("revenue")
