@@ -95,3 +95,14 @@ QUERIES.update({
     "future_kpis": lambda s, d: FC.future_kpis(records(s, d), 30),
     "trend_line": lambda s, d: FC.trend_line(records(s, d)),
 })
+
+
+# --- anomalies ---------------------------------------------------------------
+from ..operators import anomaly as AN  # noqa: E402
+
+QUERIES.update({
+    "anomaly_depth": lambda s, d: AN.anomaly_depth(records(s, d)),
+    "anomaly_rate": lambda s, d: AN.anomaly_rate(AN.anomaly_depth(records(s, d))),
+    "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
+    "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
+})

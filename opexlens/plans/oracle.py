@@ -268,3 +268,29 @@ ORACLE.update({
         round(regr_r2(total_opex, days_since_start), 6) AS r2, CAST(count(*) AS BIGINT) AS days FROM grid""",
         extra=GRID),
 })
+
+
+# Expected isolation depth: points = distinct interpolated quantiles k/255
+# (position p * (n - 1), linear between neighbours), depth per distinct value
+# via a join against the points with lag / lead neighbours.
+DEPTH = """, srt AS (SELECT total_opex AS v, row_number() OVER (ORDER BY total_opex) - 1 AS rk FROM r),
+  cnt AS (SELECT count(*) AS n FROM r),
+  tg AS (SELECT k, (k / 255.0) * (n - 1) AS pos, CAST(floor((k / 255.0) * (n - 1)) AS BIGINT) AS lo,
+                CAST(ceil((k / 255.0) * (n - 1)) AS BIGINT) AS hi FROM cnt, range(0, 256) t(k)),
+  qv AS (SELECT CASE WHEN lo = hi THEN a.v ELSE (hi - pos) * a.v + (pos - lo) * b.v END AS p
+         FROM tg JOIN srt a ON a.rk = tg.lo JOIN srt b ON b.rk = tg.hi),
+  pts AS (SELECT p, lag(p) OVER (ORDER BY p) AS prv, lead(p) OVER (ORDER BY p) AS nxt FROM (SELECT DISTINCT p FROM qv)),
+  dv AS (SELECT v, round(sum(CASE WHEN p > v THEN (p - greatest(coalesce(prv, v), v)) / (p - v)
+                                  WHEN p < v THEN (least(coalesce(nxt, v), v) - p) / (v - p) ELSE 0.0 END), 6) AS d
+         FROM (SELECT DISTINCT total_opex AS v FROM r), pts GROUP BY v),
+  thr AS (SELECT quantile_cont(d, 0.1) AS t FROM r JOIN dv ON r.total_opex = dv.v),
+  flagged AS (SELECT r.*, dv.d AS anomaly_depth, dv.d < (SELECT t FROM thr) AS anomaly
+              FROM r JOIN dv ON r.total_opex = dv.v)"""
+
+ORACLE.update({
+    "anomaly_depth": with_ctes("SELECT * FROM flagged", extra=DEPTH),
+    "anomaly_rate": with_ctes("""SELECT coalesce(avg(CAST(anomaly AS DOUBLE)) * 100, 0.0) AS anomaly_rate,
+        CAST(coalesce(sum(CAST(anomaly AS BIGINT)), 0) AS BIGINT) AS anomalies, CAST(count(*) AS BIGINT) AS rows
+        FROM flagged""", extra=DEPTH),
+    "anomaly_rows": with_ctes("SELECT date, total_opex FROM flagged WHERE anomaly", extra=DEPTH),
+})

@@ -16,8 +16,8 @@ it, but on DataFrames:
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +84,18 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                  .select(_group_key(group_cols).alias("_g"), "_n").collect()
     if len(counts) * len(probs) > MAX_TARGETS:
         raise ValueError("too many quantile targets; use fewer groups or probabilities")
-    entries = []
+    targets: dict[str, tuple] = {}
     for g, n in counts:
-        items = []
-        for i, p in enumerate(probs):
-            pos = float(p) * (n - 1)
-            items.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-                                  F.lit(int(math.floor(pos))).cast("long").alias("lo"),
-                                  F.lit(int(math.ceil(pos))).cast("long").alias("hi"),
-                                  F.lit(pos).alias("pos")))
-        entries += [F.lit(g), F.array(*items)]
-    if not entries:
-        return df.sparkSession.createDataFrame(
-            [], ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
-                          + ["q_index int", "q double", "value double"]))
-    lookup = F.create_map(*entries)
-    gkey = _group_key(group_cols)
-
-    return _assemble(ordered, lookup, gkey, group_cols, value_col)
+        pos = np.array([float(p) * (n - 1) for p in probs])
+        targets[g] = (np.floor(pos).astype(np.int64), np.ceil(pos).astype(np.int64), pos)
+    if not targets:
+        return df.sparkSession.createDataFrame([], _out_schema(df, group_cols))
+    return _assemble(ordered, targets, probs, group_cols, value_col, df)
+
+
+def _out_schema(df: DataFrame, group_cols: list[str]) -> str:
+    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
+                     + ["q_index int", "q double", "value double"])
 
 
 def _group_key(group_cols: list[str]) -> Column:
@@ -110,28 +104,57 @@ def _group_key(group_cols: list[str]) -> Column:
     return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
 
 
-def _assemble(ordered: DataFrame, lookup: Column, gkey: Column,
-              group_cols: list[str], value_col: str) -> DataFrame:
-    start, end = F.col("_before"), F.col("_before") + F.col("_w")
-
-    def inside(r: Column) -> Column:
-        return (r >= start) & (r < end)
-
-    hits = ordered.select(
-        *group_cols, F.col(value_col).cast("double").alias("_v"),
-        F.filter(F.element_at(lookup, gkey),
-                 lambda t: inside(t["lo"]) | inside(t["hi"])).alias("_hit"),
-        start.alias("_s"), end.alias("_e"))
-    hits = hits.where(F.size("_hit") > 0) \
-               .select(*group_cols, "_v", "_s", "_e", F.explode("_hit").alias("t"))
-    in_lo = (F.col("t.lo") >= F.col("_s")) & (F.col("t.lo") < F.col("_e"))
-    in_hi = (F.col("t.hi") >= F.col("_s")) & (F.col("t.hi") < F.col("_e"))
-    agg = hits.groupBy(*group_cols, F.col("t.i").alias("q_index")).agg(
-        F.first("t.p").alias("q"), F.first("t.pos").alias("pos"),
-        F.first("t.lo").alias("lo"), F.first("t.hi").alias("hi"),
-        F.max(F.when(in_lo, F.col("_v"))).alias("lo_v"),
-        F.max(F.when(in_hi, F.col("_v"))).alias("hi_v"))
+def _assemble(ordered: DataFrame, targets: dict, probs: list[float],
+              group_cols: list[str], value_col: str, src: DataFrame) -> DataFrame:
+    """Find the rows whose rank interval [_before, _before + _w) holds a
+    target rank: a vectorised binary search per Arrow batch, emitting only
+    the (few) hit rows; then interpolate per (group, quantile)."""
+    gtypes = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in group_cols)
+    hit_schema = (gtypes + ", " if gtypes else "") + "_t int, _side int, _v double"
+
+    def find(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = []
+            for g, part in pdf.groupby("_g", sort=False):
+                if g not in targets:
+                    continue
+                s = part["_before"].to_numpy(dtype=np.int64)
+                e = s + part["_w"].to_numpy(dtype=np.int64)
+                v = part["_v"].to_numpy(dtype=float)
+                for side, ranks in ((0, targets[g][0]), (1, targets[g][1])):
+                    # Row j holds rank r iff s[j] <= r < e[j]; rows are disjoint
+                    # intervals, so sort them by start and search.
+                    order = np.argsort(s, kind="stable")
+                    j = np.searchsorted(s[order], ranks, side="right") - 1
+                    ok = j >= 0
+                    jj = order[np.where(ok, j, 0)]
+                    ok &= ranks < e[jj]
+                    if ok.any():
+                        hit = part.iloc[jj[ok]][group_cols].copy() if group_cols else pd.DataFrame(index=range(int(ok.sum())))
+                        hit = hit.reset_index(drop=True)
+                        hit["_t"] = np.nonzero(ok)[0].astype(np.int32)
+                        hit["_side"] = np.int32(side)
+                        hit["_v"] = v[jj[ok]]
+                        out.append(hit)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    hits = ordered.select(*group_cols, _group_key(group_cols).alias("_g"), "_before", "_w",
+                          F.col(value_col).cast("double").alias("_v")).mapInPandas(find, hit_schema)
+    agg = hits.groupBy(*group_cols, "_t").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("lo_v"),
+        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("hi_v"))
+    # Attach each target's (q, lo, hi, pos): a literal table of bounded size.
+    rows = []
+    for g, (lo, hi, pos) in targets.items():
+        for i, p in enumerate(probs):
+            rows.append((g, i, float(p), int(lo[i]), int(hi[i]), float(pos[i])))
+    spec = ordered.sparkSession.createDataFrame(
+        rows, "_g string, _t int, q double, lo long, hi long, pos double")
+    agg = agg.withColumn("_g", _group_key(group_cols)).join(F.broadcast(spec), ["_g", "_t"])
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo_v")).otherwise(
         (F.col("hi") - F.col("pos")) * F.col("lo_v") + (F.col("pos") - F.col("lo")) * F.col("hi_v"))
-    return agg.select(*group_cols, F.col("q_index").cast("int").alias("q_index"),
+    return agg.select(*group_cols, F.col("_t").cast("int").alias("q_index"),
                       F.col("q").cast("double").alias("q"), value.cast("double").alias("value"))
