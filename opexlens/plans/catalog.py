@@ -106,3 +106,50 @@ QUERIES.update({
     "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
     "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
 })
+
+
+# --- raw upload cleaning, names, encodings, context --------------------------
+from ..operators import context as CX  # noqa: E402
+from ..operators import drivers as DR  # noqa: E402
+from ..functions.values import null_token  # noqa: E402
+
+KEYS = X.KEY_COLUMNS
+ORDER = ["date", *KEYS]
+
+
+def raw(spark, sf_dir):
+    return X.raw_records(spark, sf_dir)
+
+
+def _ntz(df):
+    return df.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+def _raw_clean(s, d):
+    return _ntz(C.clean(raw(s, d)))
+
+
+QUERIES.update({
+    "normalize_columns": lambda s, d: C.normalize_columns(raw(s, d)),
+    "na_tokens": lambda s, d: C.normalize_columns(raw(s, d)).select(
+        *KEYS, null_token(F.col("factory")).alias("factory"), null_token(F.col("shift")).alias("shift")),
+    "coerce_dates": lambda s, d: _ntz(C.coerce_dates(C.normalize_columns(raw(s, d))).select(*KEYS, "date")),
+    "drop_bad_dates": lambda s, d: _ntz(C.drop_bad_dates(C.coerce_dates(C.normalize_columns(raw(s, d))))
+                                        .select(*KEYS, "date")),
+    "coerce_numeric": lambda s, d: C.coerce_numeric(C.normalize_columns(raw(s, d))).select(
+        *KEYS, "energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost", "other_cost", "revenue"),
+    "fill_categoricals": lambda s, d: C.fill_categoricals(C.normalize_columns(raw(s, d))).select(
+        *KEYS, "factory", "shift"),
+    "derive_totals": lambda s, d: C.clean(raw(s, d), with_shift_code=False).select(*KEYS, "total_opex", "total_energy"),
+    "clean_raw": _raw_clean,
+    "kpis_raw": lambda s, d: K.kpis(C.clean(raw(s, d), with_shift_code=False)),
+    "encode_shift": lambda s, d: C.encode_shift(records(s, d)).select(*KEYS, "shift", "shift_code"),
+    "display_names": lambda s, d: C.display_names(records(s, d)),
+    "one_hot": lambda s, d: DR.one_hot(records(s, d).select(*KEYS, "factory", "shift")),
+    "sample_rows": lambda s, d: CX.sample_rows(records(s, d), ORDER, 10),
+    "insight_context": lambda s, d: CX.insight_context(records(s, d)),
+    "chat_context": lambda s, d: CX.chat_context(records(s, d), ORDER, 10),
+    "cost_drivers": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS),
+    "cost_driver_metrics": lambda s, d: DR.cost_driver_metrics(records(s, d), key_cols=KEYS),
+    "top_drivers": lambda s, d: DR.top_drivers(DR.cost_drivers(records(s, d), key_cols=KEYS), 3),
+})

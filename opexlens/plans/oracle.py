@@ -294,3 +294,105 @@ ORACLE.update({
         FROM flagged""", extra=DEPTH),
     "anomaly_rows": with_ctes("SELECT date, total_opex FROM flagged WHERE anomaly", extra=DEPTH),
 })
+
+
+# --- raw upload cleaning -----------------------------------------------------
+from ..functions.values import NUMBER_PATTERN  # noqa: E402
+from ..schema import NA_TOKENS  # noqa: E402
+
+
+def _num_text(expr: str, bad: int, pad: int) -> str:
+    t = f"CAST(CAST({expr} AS BIGINT) AS VARCHAR)"
+    return (f"CASE WHEN l_linenumber = {bad} THEN 'n/a' WHEN l_linenumber = {pad} THEN ' ' || {t} || ' ' "
+            f"ELSE {t} END")
+
+
+_D = "CAST(l_shipdate AS DATE)"
+RAW = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN l_linenumber = 7 AND l_linestatus = 'O' THEN 'not a date'
+       WHEN l_returnflag = 'A' THEN strftime({_D}, '%Y-%m-%d')
+       WHEN l_returnflag = 'N' THEN strftime({_D}, '%m/%d/%Y')
+       ELSE strftime({_D}, '%d %b %Y') END AS " Date ",
+  CASE WHEN l_linenumber = 7 THEN 'NA' ELSE concat('F', lpad(CAST(l_suppkey % 7 AS VARCHAR), 2, '0')) END AS "Factory",
+  CASE WHEN l_linenumber = 6 THEN NULL ELSE concat('S_', l_returnflag) END AS "Shift",
+  {_num_text("l_quantity", 1, 2)} AS "Energy Type 1",
+  {_num_text("floor(l_quantity * (1 + 10 * l_tax))", 2, 3)} AS "Energy Type 2",
+  {_num_text("floor(l_extendedprice * l_discount)", 3, 4)} AS "HR Cost",
+  {_num_text("floor(l_extendedprice * 0.5)", 4, 5)} AS "Operation Cost",
+  {_num_text("floor(l_extendedprice * l_tax)", 5, 6)} AS "Admin Cost",
+  {_num_text("l_linenumber * 10", 6, 1)} AS "Other Cost",
+  {_num_text("floor(l_extendedprice)", 7, 3)} AS "Revenue"
+FROM lineitem"""
+
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+
+
+def _num(c: str) -> str:
+    return (f"coalesce(CASE WHEN regexp_full_match(trim({c}), '{NUMBER_PATTERN}') "
+            f"THEN TRY_CAST(trim({c}) AS DOUBLE) END, 0.0)")
+
+
+def _cat(c: str) -> str:
+    return f"coalesce(CASE WHEN trim({c}) IN ({_TOKENS}) THEN NULL ELSE {c} END, 'unknown')"
+
+
+_PARSED = """coalesce(try_strptime(trim(" Date "), '%Y-%m-%d'), try_strptime(trim(" Date "), '%m/%d/%Y'),
+                      try_strptime(trim(" Date "), '%d %b %Y'))"""
+
+RAW_NORMALIZED = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " Date " AS date, "Factory" AS factory,
+  "Shift" AS shift, "Energy Type 1" AS energy_type_1, "Energy Type 2" AS energy_type_2, "HR Cost" AS hr_cost,
+  "Operation Cost" AS operation_cost, "Admin Cost" AS admin_cost, "Other Cost" AS other_cost, "Revenue" AS revenue
+FROM ({RAW})"""
+
+RAW_CLEAN = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date, factory, shift,
+    energy_type_1, energy_type_2, hr_cost, operation_cost, admin_cost, other_cost, revenue,
+    hr_cost + operation_cost + admin_cost + other_cost AS total_opex, energy_type_1 + energy_type_2 AS total_energy
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_PARSED} AS date,
+          {_cat('"Factory"')} AS factory, {_cat('"Shift"')} AS shift,
+          {_num('"Energy Type 1"')} AS energy_type_1, {_num('"Energy Type 2"')} AS energy_type_2,
+          {_num('"HR Cost"')} AS hr_cost, {_num('"Operation Cost"')} AS operation_cost,
+          {_num('"Admin Cost"')} AS admin_cost, {_num('"Other Cost"')} AS other_cost, {_num('"Revenue"')} AS revenue
+        FROM ({RAW}))
+  WHERE date IS NOT NULL"""
+
+ORACLE.update({
+    "normalize_columns": RAW_NORMALIZED,
+    "na_tokens": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CASE WHEN trim(factory) IN ({_TOKENS}) THEN NULL ELSE factory END AS factory,
+        CASE WHEN trim(shift) IN ({_TOKENS}) THEN NULL ELSE shift END AS shift FROM ({RAW_NORMALIZED})""",
+    "coerce_dates": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_PARSED} AS date FROM ({RAW})""",
+    "drop_bad_dates": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date FROM (
+        SELECT *, {_PARSED} AS date FROM ({RAW})) WHERE date IS NOT NULL""",
+    "coerce_numeric": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        {_num('"Energy Type 1"')} AS energy_type_1, {_num('"Energy Type 2"')} AS energy_type_2,
+        {_num('"HR Cost"')} AS hr_cost, {_num('"Operation Cost"')} AS operation_cost,
+        {_num('"Admin Cost"')} AS admin_cost, {_num('"Other Cost"')} AS other_cost, {_num('"Revenue"')} AS revenue
+        FROM ({RAW})""",
+    "fill_categoricals": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        {_cat('"Factory"')} AS factory, {_cat('"Shift"')} AS shift FROM ({RAW})""",
+    "derive_totals": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total_opex, total_energy
+        FROM ({RAW_CLEAN})""",
+    "clean_raw": f"""SELECT *, CAST(dense_rank() OVER (ORDER BY shift) - 1 AS INTEGER) AS shift_code FROM ({RAW_CLEAN})""",
+    "kpis_raw": _kpis(f"SELECT * EXCLUDE (total_opex, total_energy) FROM ({RAW_CLEAN})", True),
+    "encode_shift": with_ctes("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, shift,
+        CAST(dense_rank() OVER (ORDER BY shift) - 1 AS INTEGER) AS shift_code FROM r"""),
+    "display_names": with_ctes("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date AS "Date",
+        factory AS "Factory", shift AS "Shift", energy_type_1 AS "Energy_Type_1", energy_type_2 AS "Energy_Type_2",
+        hr_cost AS "HR_Cost", operation_cost AS "Operation_Cost", admin_cost AS "Admin_Cost",
+        other_cost AS "Other_Cost", revenue, total_opex AS "Total_OpEx", total_energy AS "Total_Energy" FROM r"""),
+    "one_hot": with_ctes("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, factory, shift, "
+                         + ", ".join([f"CAST(CASE WHEN factory = 'F0{i}' THEN 1 ELSE 0 END AS INTEGER) AS factory_F0{i}"
+                                      for i in range(7)]
+                                     + [f"CAST(CASE WHEN shift = '{s}' THEN 1 ELSE 0 END AS INTEGER) AS shift_{s}"
+                                        for s in ["S_A", "S_N", "S_R"]]) + " FROM r"),
+    "sample_rows": with_ctes("SELECT * FROM r ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10"),
+    "insight_context": f"WITH kb AS ({_kpis(REC, True)})\n" + """SELECT line_no, label, text FROM (
+        SELECT 1 AS line_no, 'Total Operational Expenditure' AS label, 'Total Operational Expenditure: ' || format('{:,.2f}', total_opex) AS text FROM kb
+        UNION ALL SELECT 2, 'Total Energy Consumption', 'Total Energy Consumption: ' || format('{:,.2f}', total_energy) FROM kb
+        UNION ALL SELECT 3, 'HR Cost %', 'HR Cost %: ' || printf('%.1f', hr_percent) || '%' FROM kb
+        UNION ALL SELECT 4, 'Admin Overhead %', 'Admin Overhead %: ' || printf('%.1f', admin_percent) || '%' FROM kb
+        UNION ALL SELECT 5, 'Most expensive factory', 'Most expensive factory: ' || top_factory FROM kb
+        UNION ALL SELECT 6, 'Least expensive factory', 'Least expensive factory: ' || bottom_factory FROM kb
+        UNION ALL SELECT 7, 'Most expensive shift', 'Most expensive shift: ' || most_expensive_shift FROM kb
+        UNION ALL SELECT 8, 'Energy Efficiency (Revenue/Energy)', 'Energy Efficiency (Revenue/Energy): ' || printf('%.2f', energy_efficiency) FROM kb)""",
+})

@@ -93,6 +93,22 @@ WHATIF_DEFAULT_PCT = 10.0
 # Relative date presets of the dashboard filter.
 PRESETS = ["1D", "1W", "1M", "1Y", "ALL", "CUSTOM"]
 
+# Insight context lines: (kpi key, line label, number format).  Format
+# "money" = thousands separator and 2 decimals, "pct1" = 1 decimal and a
+# percent sign, "num2" = 2 decimals, "text" = as is.
+INSIGHT_LINES = [
+    ("total_opex", "Total Operational Expenditure", "money"),
+    ("total_energy", "Total Energy Consumption", "money"),
+    ("hr_percent", "HR Cost %", "pct1"),
+    ("admin_percent", "Admin Overhead %", "pct1"),
+    ("top_factory", "Most expensive factory", "text"),
+    ("bottom_factory", "Least expensive factory", "text"),
+    ("most_expensive_shift", "Most expensive shift", "text"),
+    ("energy_efficiency", "Energy Efficiency", "num2"),
+]
+INSIGHT_DRIVERS_LABEL = "Top cost drivers"
+INSIGHT_ANOMALY_TEXT = "Anomalies detected: {n} unusual cost spikes."
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------
