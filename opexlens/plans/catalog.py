@@ -153,3 +153,75 @@ QUERIES.update({
     "cost_driver_metrics": lambda s, d: DR.cost_driver_metrics(records(s, d), key_cols=KEYS),
     "top_drivers": lambda s, d: DR.top_drivers(DR.cost_drivers(records(s, d), key_cols=KEYS), 3),
 })
+
+
+# --- sources, sinks, stored models, streaming --------------------------------
+import os  # noqa: E402
+
+from ..operators import forecast as _FC  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources import workbook as WB  # noqa: E402
+from ..streaming import daily as ST  # noqa: E402
+
+
+def _q_load_csv(s, d):
+    path = FS.write_csv(raw(s, d), shared_path(s, "upload-csv"))
+    return K.kpis(C.clean(FS.load_csv(s, path), with_shift_code=False))
+
+
+def _q_load_table(s, d):
+    path = FS.write_csv(raw(s, d), shared_path(s, "upload-table"))
+    return K.kpis(C.clean(FS.load_table(s, path), with_shift_code=False))
+
+
+def _q_load_workbooks(s, d):
+    # One workbook per partition: spread the rows so files are written in parallel.
+    path = WB.write_workbooks(raw(s, d).repartition(F.col("l_orderkey")), shared_path(s, "upload-xlsx"))
+    return K.kpis(C.clean(WB.load_workbooks(s, path), with_shift_code=False))
+
+
+def _q_save_dataset(s, d):
+    path = FS.save_dataset(records(s, d), shared_path(s, "dataset"))
+    back = FS.load_dataset(s, path, start=DATE_LO, end=DATE_HI)
+    return K.kpis(FL.filter_dates(back, DATE_LO, DATE_HI).drop("month"))
+
+
+def _q_export_results(s, d):
+    path = FS.export_results(K.kpis_labelled(records(s, d)), shared_path(s, "export"))
+    return s.read.schema("position int, kpi string, label string, value double, text string").json(path)
+
+
+def _q_forecast_reload(s, d):
+    rec = records(s, d)
+    model, _ = _FC.fit_forecast(rec)
+    path = _FC.save_forecast_model(model, shared_path(s, "forecast-model"))
+    return _FC.forecast_reload(rec, path, 30)
+
+
+def _q_stream_daily_kpis(s, d):
+    work = shared_path(s, "stream")
+    source = os.path.join(work, "events")
+    # The events table, laid out as a folder of files (one per day) that the
+    # stream picks up.
+    X.table(s, d, "events").repartition(F.to_date("ts")).write.mode("overwrite").parquet(source)
+    out = ST.stream_daily_kpis(s, source, work)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "factory", "total_opex", F.col("events").cast("long").alias("events"))
+
+
+QUERIES.update({
+    "load_csv": _q_load_csv,
+    "load_table": _q_load_table,
+    "load_workbooks": _q_load_workbooks,
+    "save_dataset": _q_save_dataset,
+    "export_results": _q_export_results,
+    "forecast_reload": _q_forecast_reload,
+    "stream_daily_kpis": _q_stream_daily_kpis,
+    "fit_score_regression": lambda s, d: DR.fit_score_regression(
+        records(s, d), ["energy_type_1", "energy_type_2", "total_opex"], "revenue", key_cols=KEYS),
+    "fit_score_classifier": lambda s, d: DR.fit_score_classifier(
+        records(s, d), ["energy_type_1", "energy_type_2", "hr_cost", "admin_cost", "other_cost"], "shift",
+        key_cols=KEYS),
+})

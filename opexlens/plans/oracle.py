@@ -396,3 +396,19 @@ ORACLE.update({
         UNION ALL SELECT 7, 'Most expensive shift', 'Most expensive shift: ' || most_expensive_shift FROM kb
         UNION ALL SELECT 8, 'Energy Efficiency (Revenue/Energy)', 'Energy Efficiency (Revenue/Energy): ' || printf('%.2f', energy_efficiency) FROM kb)""",
 })
+
+
+ORACLE.update({
+    "load_csv": ORACLE["kpis_raw"],
+    "load_table": ORACLE["kpis_raw"],
+    "load_workbooks": ORACLE["kpis_raw"],
+    "save_dataset": _kpis(f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", True),
+    "export_results": ORACLE["kpis_labelled"],
+    "forecast_reload": ORACLE["forecast"],
+    "stream_daily_kpis": """SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, factory,
+        sum(total_opex) AS total_opex, CAST(count(*) AS BIGINT) AS events
+      FROM (SELECT date_trunc('day', ts) AS window_start, event_type AS factory,
+                   CAST(floor(value * 100.0) AS DOUBLE) AS total_opex FROM events)
+      GROUP BY window_start, factory
+      HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+})
