@@ -19,21 +19,25 @@ from ..schema import NA_TOKENS, UNKNOWN
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Date and timestamp text forms accepted per row, tried in this order
-# (ISO first; month-first before day-first when both could apply).
+# (ISO first; month-first before day-first when both could apply).  Each
+# comes with a shape pattern checked first: a failed parse attempt is an
+# exception inside the JVM, a failed regex is not, so at most one or two
+# formats are actually tried per value.
+_D, _MON = r"[0-9]{1,2}", r"[A-Za-z]{3,9}"
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "yyyyMMdd",
+    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-MM-dd HH:mm", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$"),
+    ("yyyy-M-d", rf"^[0-9]{{4}}-{_D}-{_D}$"),
+    ("yyyy/M/d", rf"^[0-9]{{4}}/{_D}/{_D}$"),
+    ("M/d/yyyy", rf"^{_D}/{_D}/[0-9]{{4}}$"),
+    ("d/M/yyyy", rf"^{_D}/{_D}/[0-9]{{4}}$"),
+    ("d-M-yyyy", rf"^{_D}-{_D}-[0-9]{{4}}$"),
+    ("d MMM yyyy", rf"^{_D} [A-Za-z]{{3}} [0-9]{{4}}$"),
+    ("d MMMM yyyy", rf"^{_D} {_MON} [0-9]{{4}}$"),
+    ("MMM d, yyyy", rf"^[A-Za-z]{{3}} {_D}, [0-9]{{4}}$"),
+    ("MMMM d, yyyy", rf"^{_MON} {_D}, [0-9]{{4}}$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
 ]
 
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -73,7 +77,8 @@ def to_timestamp_any(c: Column, dtype: T.DataType) -> Column:
     if is_temporal_type(dtype):
         return c
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
+                        for fmt, shape in DATE_FORMATS])
 
 
 def to_category(c: Column) -> Column:

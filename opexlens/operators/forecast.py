@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import ratio, sum0
 from ..schema import BUDGET_OVERRUN_PLACEHOLDER, DEFAULT_HORIZON, FORECAST_FEATURES
+from ..session import cut_lineage
 from .charts import numeric_columns
 from .kpis import _ranked_ends, factory_costs, shift_costs
 
@@ -61,10 +62,12 @@ def fit_forecast(df: DataFrame) -> tuple[LinearRegressionModel | None, DataFrame
     """Fit OLS of daily total_opex on the calendar features over the
     training days (T4).  Returns (model or None when fewer than 10 days,
     split feature table)."""
-    grid = daily_grid(df, ["total_opex"])
-    feats = forecast_split(calendar_features(grid))
     if "date" not in df.columns or "total_opex" not in df.columns:
-        return None, feats
+        return None, None
+    grid = daily_grid(df, ["total_opex"])
+    # One row per calendar day: materialised once in the shared checkpoint
+    # folder, so the count, the fit and the scoring do not rescan records.
+    feats = cut_lineage(forecast_split(calendar_features(grid)))
     if feats.count() < MIN_DAYS:
         return None, feats
     train = _assembler().transform(feats.where(~F.col("is_test")))

@@ -24,9 +24,11 @@ def _ranked_ends(grouped: DataFrame, name: str, measure: str) -> tuple[Column, C
     """(first, last) names in the order measure desc, name asc, as scalar
     sub-queries; 'N/A' when there are no groups."""
     key = F.struct((-F.col(measure)).alias("m"), F.col(name).alias("n"))
-    ends = grouped.agg(F.min_by(name, key).alias("first"), F.max_by(name, key).alias("last"))
-    first = F.coalesce(ends.select("first").scalar(), F.lit(NOT_AVAILABLE))
-    last = F.coalesce(ends.select("last").scalar(), F.lit(NOT_AVAILABLE))
+    # One scalar sub-query carries both ends.
+    ends = grouped.agg(F.struct(F.min_by(name, key).alias("first"),
+                                F.max_by(name, key).alias("last")).alias("e")).scalar()
+    first = F.coalesce(ends.getField("first"), F.lit(NOT_AVAILABLE))
+    last = F.coalesce(ends.getField("last"), F.lit(NOT_AVAILABLE))
     return first, last
 
 

@@ -36,7 +36,7 @@ def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
     keys = [*group_cols, order_col]
     tagged = (df.repartitionByRange(*keys)
                 .withColumn("_pid", F.spark_partition_id()))
-    tagged = cut_lineage(tagged)
+    tagged = cut_lineage(tagged, "ordered")
     local = Window.partitionBy("_pid", *group_cols).orderBy(order_col) \
                   .rowsBetween(Window.unboundedPreceding, -1)
     with_local = tagged.withColumn(
@@ -75,13 +75,16 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     vals = (df.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col)
               .agg(F.sum(w).cast("long").alias("_w")))
+    # Written once: the range partitioner samples its input before the
+    # shuffle, which would otherwise scan and aggregate the facts twice.
+    vals = cut_lineage(vals, "distinct")
     ordered = with_global_offsets(vals, group_cols, value_col, "_w")
 
     # Target ranks per group.  The per-group counts table has one row per
     # group (bounded by the number of groups, not by the data), so it is
     # read on the driver and the targets travel as a literal map.
-    counts = vals.groupBy(*group_cols).agg(F.sum("_w").alias("_n")) \
-                 .select(_group_key(group_cols).alias("_g"), "_n").collect()
+    counts = ordered.groupBy(*group_cols).agg(F.sum("_w").alias("_n")) \
+                    .select(_group_key(group_cols).alias("_g"), "_n").collect()
     if len(counts) * len(probs) > MAX_TARGETS:
         raise ValueError("too many quantile targets; use fewer groups or probabilities")
     targets: dict[str, tuple] = {}

@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an under-split input over the cluster.
+
+    A scan normally yields many more splits than there are cores (every
+    Parquet row group is a split), and then nothing is done.  A file with a
+    single row group yields one split, and every per-row step would run in
+    one task; only then are the rows dealt round-robin to the default
+    parallelism (one shuffle of the scanned columns)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, par // 2):
+        return df.repartition(par)
+    return df
+
+
 def _measures() -> dict:
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
     return {
@@ -67,7 +81,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows with line number 7 and status 'O' carry an unreadable date and are
     dropped by cleaning; every other row survives."""
-    li = table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLUMNS, "l_linestatus")
+    # Text parsing is the CPU-heavy path: spread an under-split scan first.
+    li = spread(table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLUMNS, "l_linestatus"))
     m = _measures()
     d = F.col("l_shipdate").cast("date")
     ln = F.col("l_linenumber")
