@@ -50,20 +50,21 @@ def coerce_dates(df: DataFrame) -> DataFrame:
 
 def drop_bad_dates(df: DataFrame) -> DataFrame:
     """Drop rows whose date is null, for each date column that has at least
-    one good value; the first such column is renamed ``date`` (P5).
+    one good value; the first date column is renamed ``date`` (P5).
 
-    Whether a column has a good value is one global count, evaluated as a
-    scalar sub-query inside the same plan (no collect, no join)."""
+    "Has a good value" is an EXISTS probe (a scalar sub-query over
+    ``limit(1)``): Spark stops at the first non-null date instead of
+    parsing the whole column a second time.  Columns are checked in order,
+    each on the rows the earlier ones kept."""
     cols = date_columns(df)
     if not cols:
         return df
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols])
-    keep = None
+    out = df
     for c in cols:
-        has_good = counts.select((F.col(c) > 0).alias("g")).scalar()
-        cond = F.col(c).isNotNull() | ~has_good
-        keep = cond if keep is None else keep & cond
-    out = df.where(keep)
+        has_good = F.coalesce(
+            out.where(F.col(c).isNotNull()).select(F.lit(True).alias("g")).limit(1).scalar(),
+            F.lit(False))
+        out = out.where(F.col(c).isNotNull() | ~has_good)
     if "date" not in df.columns:
         out = out.withColumnRenamed(cols[0], "date")
     return out

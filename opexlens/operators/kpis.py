@@ -43,15 +43,21 @@ def shift_costs(df: DataFrame) -> DataFrame:
 def kpis(df: DataFrame) -> DataFrame:
     """One-row KPI bundle (A1-A10); a KPI is left out when its inputs are
     missing.  ``efficiency_basis`` says whether energy efficiency is revenue
-    or OpEx per unit of energy."""
-    sums = {}
-    for c in ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]:
-        if c in df.columns:
-            sums[c] = sum0(c).alias(c)
-    if not sums:
+    or OpEx per unit of energy.
+
+    The records are read once: one partial aggregate per (factory, shift)
+    cell carries every sum and count, and the totals, the factory ranking
+    and the shift ranking are all derived from that small table (its
+    exchange is shared by the sub-queries)."""
+    measures = [c for c in ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]
+                if c in df.columns]
+    if not measures:
         return df.sparkSession.range(1).select()
-    base = df.agg(*sums.values())
-    s = {c: F.col(c) for c in sums}
+    dims = [c for c in ["factory", "shift"] if c in df.columns and "total_opex" in df.columns]
+    cells = df.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in measures],
+                                  *([F.count("total_opex").alias("_n")] if "shift" in dims else []))
+    base = cells.agg(*[sum0(c).alias(c) for c in measures])
+    s = {c: F.col(c) for c in measures}
     out: dict[str, Column] = {}
     if "total_opex" in s:
         out["total_opex"] = s["total_opex"]
@@ -69,10 +75,12 @@ def kpis(df: DataFrame) -> DataFrame:
     elif "total_energy" in s and "total_opex" in s:
         out["energy_efficiency"] = ratio(s["total_opex"], s["total_energy"])
         out["efficiency_basis"] = F.lit("opex")
-    if _has(df, "factory", "total_opex"):
-        out["top_factory"], out["bottom_factory"] = _ranked_ends(factory_costs(df), "factory", "total_opex")
-    if _has(df, "shift", "total_opex"):
-        out["most_expensive_shift"], out["cheapest_shift"] = _ranked_ends(shift_costs(df), "shift", "avg_opex")
+    if "factory" in dims:
+        fc = cells.groupBy("factory").agg(sum0("total_opex").alias("total_opex"))
+        out["top_factory"], out["bottom_factory"] = _ranked_ends(fc, "factory", "total_opex")
+    if "shift" in dims:
+        sc = cells.groupBy("shift").agg((F.sum("total_opex") / F.sum("_n")).alias("avg_opex"))
+        out["most_expensive_shift"], out["cheapest_shift"] = _ranked_ends(sc, "shift", "avg_opex")
     if "hr_cost" in s and "total_opex" in s:
         out["hr_percent"] = ratio_pct(s["hr_cost"], s["total_opex"])
     if "admin_cost" in s and "total_opex" in s:

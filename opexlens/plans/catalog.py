@@ -225,3 +225,18 @@ QUERIES.update({
         records(s, d), ["energy_type_1", "energy_type_2", "hr_cost", "admin_cost", "other_cost"], "shift",
         key_cols=KEYS),
 })
+
+
+# --- gates, horizons, sparse grids, what-if scaling ----------------------------
+SPARSE = {"factory": "F03", "shift": "S_A"}     # one site and shift: most days have no record
+SHORT = {"date_range": ("1996-01-01", "1996-01-09")}   # nine days: below the forecast gate
+
+QUERIES.update({
+    "forecast_90": lambda s, d: FC.forecast(records(s, d), 90),
+    "forecast_too_short": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SHORT), 30),
+    "daily_grid_filtered": lambda s, d: FC.daily_grid(FL.apply_filters(records(s, d), SPARSE),
+                                                      ["total_opex", "total_energy"]),
+    "forecast_filtered": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SPARSE), 30),
+    "scale_energy": lambda s, d: W.scale_energy(records(s, d), 10.0).select(
+        *KEYS, "energy_type_1", "energy_type_2"),
+})

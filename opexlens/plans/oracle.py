@@ -177,9 +177,10 @@ def _future(h: int) -> str:
   pred AS ({_score("SELECT * FROM futf")})"""
 
 
-def _forecast(h: int) -> str:
-    return with_ctes("SELECT day_index, date, round(prediction, 2) AS prediction FROM pred",
-                     extra=GRID + OLS + _future(h))
+def _forecast(h: int, src: str = REC) -> str:
+    return with_ctes("""SELECT day_index, date, round(prediction, 2) AS prediction FROM pred
+                        WHERE (SELECT count(*) FROM grid) >= 10""",
+                     src=src, extra=GRID + OLS + _future(h))
 
 
 def _forecast_metrics() -> str:
@@ -412,3 +413,16 @@ ORACLE.update({
       GROUP BY window_start, factory
       HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
 })
+
+
+SPARSE_SRC = f"SELECT * FROM ({REC}) WHERE factory = 'F03' AND shift = 'S_A'"
+SHORT_SRC = f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-01-09'"
+
+ORACLE.update({
+    "forecast_90": _forecast(90),
+    "forecast_too_short": _forecast(30, SHORT_SRC),
+    "daily_grid_filtered": with_ctes("SELECT date, total_opex, total_energy FROM grid", src=SPARSE_SRC, extra=GRID),
+    "forecast_filtered": _forecast(30, SPARSE_SRC),
+    "scale_energy": with_ctes("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        energy_type_1 * (1 + 10.0 / 100) AS energy_type_1, energy_type_2 * (1 + 10.0 / 100) AS energy_type_2 FROM r"""),
+})
