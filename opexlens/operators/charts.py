@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import sum0
 from ..plans.ranking import exact_quantiles
+from ..session import cut_lineage
 from ..schema import COST_COMPONENTS, ENERGY_COLUMNS
 
 MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost",
@@ -84,6 +85,7 @@ def describe(df: DataFrame, digits: int = 6) -> DataFrame:
         vals["date"] = F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).cast("double")
     if not vals:
         return df.sparkSession.createDataFrame([], "column string, statistic string, value double")
+    # Moments: one aggregate over the records (whole-stage codegen).
     moments = []
     for c, v in vals.items():
         moments += [F.count(v).cast("double").alias(f"{c}|count"), F.avg(v).alias(f"{c}|mean"),
@@ -96,10 +98,12 @@ def describe(df: DataFrame, digits: int = 6) -> DataFrame:
     long = wide.unpivot([], names, "key", "value").select(
         F.split("key", r"\|").getItem(0).alias("column"),
         F.split("key", r"\|").getItem(1).alias("statistic"), "value")
+    # Quartiles: every (column, value) pair with its count, written once.
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in vals.items()])).alias("e")) \
-        .select("e.column", "e.v")
-    qs = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"]).select(
+        .select("e.column", "e.v").where(F.col("v").isNotNull())
+    dist = cut_lineage(stacked.groupBy("column", "v").agg(F.count("*").alias("w")), "describe")
+    qs = exact_quantiles(dist, "v", [0.25, 0.5, 0.75], ["column"], weight_col="w", summarized=True).select(
         "column", F.concat((F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
         "value")
     out = long.unionByName(qs)

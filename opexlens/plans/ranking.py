@@ -12,27 +12,27 @@ it, but on DataFrames:
 3. running sums inside each partition, plus per-partition offsets from a
    table with one row per (partition, group) -- bounded by the partition
    count, hence safe to broadcast.
+
+Quantile targets are then located with an equi-join on (partition, group)
+and an interval condition, all inside the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Upper bound on (groups x probabilities) carried as a literal.
+# Upper bound on (groups x probabilities) placed on the driver.
 MAX_TARGETS = 100_000
 
 
-def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
-                        weight_col: str, out_col: str = "_before") -> DataFrame:
-    """Add ``out_col`` = sum of ``weight_col`` over rows that come strictly
-    before this one within its group, ordering by ``order_col``.
-
-    ``order_col`` must be unique within a group (pre-aggregate first)."""
+def _ordered_partitions(df: DataFrame, group_cols: list[str], order_col: str,
+                        weight_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_pid`` and ``_before``, per-(partition, group) offsets)."""
     keys = [*group_cols, order_col]
     tagged = (df.repartitionByRange(*keys)
                 .withColumn("_pid", F.spark_partition_id()))
@@ -46,11 +46,23 @@ def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
     before_part = Window.partitionBy(*group_cols).orderBy("_pid") \
                         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(
-        "_pid", *group_cols,
+        "_pid", *group_cols, "_ptotal",
         F.coalesce(F.sum("_ptotal").over(before_part), F.lit(0)).alias("_offset"))
-    return (with_local.join(F.broadcast(offsets), on=["_pid", *group_cols])
-                      .withColumn(out_col, F.col("_offset") + F.col("_local"))
-                      .drop("_pid", "_local", "_offset"))
+    rows = (with_local.join(F.broadcast(offsets.drop("_ptotal")), on=["_pid", *group_cols])
+                      .withColumn("_before", F.col("_offset") + F.col("_local"))
+                      .drop("_local", "_offset"))
+    return rows, offsets
+
+
+def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
+                        weight_col: str, out_col: str = "_before") -> DataFrame:
+    """Add ``out_col`` = sum of ``weight_col`` over rows that come strictly
+    before this one within its group, ordering by ``order_col``.
+
+    ``order_col`` must be unique within a group (pre-aggregate first)."""
+    rows, _ = _ordered_partitions(df, group_cols, order_col, weight_col)
+    return rows.drop("_pid").withColumnRenamed("_before", out_col) if out_col != "_before" \
+        else rows.drop("_pid")
 
 
 def dense_rank_distinct(df: DataFrame, col: str, out_col: str) -> DataFrame:
@@ -63,101 +75,75 @@ def dense_rank_distinct(df: DataFrame, col: str, out_col: str) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] | None = None,
-                    weight_col: str | None = None) -> DataFrame:
+                    weight_col: str | None = None, summarized: bool = False) -> DataFrame:
     """Exact interpolated quantiles (the ``percentile`` rule: position
     ``p * (n - 1)``, linear between the neighbouring order statistics).
 
     Returns ``(*group_cols, q_index int, q double, value double)``.
     Unlike the ``percentile`` aggregate, no task ever holds all distinct
-    values: the work is a grouped count, a range shuffle and a scan."""
+    values: the work is a grouped count, a range shuffle and a scan.
+
+    ``summarized=True`` says ``df`` already holds each (group, value) once
+    with its count in ``weight_col`` and is materialised; it is then used
+    as is."""
     group_cols = list(group_cols or [])
     w = F.col(weight_col) if weight_col else F.lit(1)
-    vals = (df.where(F.col(value_col).isNotNull())
-              .groupBy(*group_cols, value_col)
-              .agg(F.sum(w).cast("long").alias("_w")))
-    # Written once: the range partitioner samples its input before the
-    # shuffle, which would otherwise scan and aggregate the facts twice.
-    vals = cut_lineage(vals, "distinct")
-    ordered = with_global_offsets(vals, group_cols, value_col, "_w")
-
-    # Target ranks per group.  The per-group counts table has one row per
-    # group (bounded by the number of groups, not by the data), so it is
-    # read on the driver and the targets travel as a literal map.
-    counts = ordered.groupBy(*group_cols).agg(F.sum("_w").alias("_n")) \
-                    .select(_group_key(group_cols).alias("_g"), "_n").collect()
-    if len(counts) * len(probs) > MAX_TARGETS:
+    if summarized:
+        vals = df.where(F.col(value_col).isNotNull()).select(
+            *group_cols, value_col, w.cast("long").alias("_w"))
+    else:
+        vals = (df.where(F.col(value_col).isNotNull())
+                  .groupBy(*group_cols, value_col)
+                  .agg(F.sum(w).cast("long").alias("_w")))
+        # Written once: the range partitioner samples its input before the
+        # shuffle, which would otherwise scan and aggregate the facts twice.
+        vals = cut_lineage(vals, "distinct")
+    ordered, offsets = _ordered_partitions(vals, group_cols, value_col, "_w")
+
+    # The offsets table has one row per (partition, group) -- bounded by the
+    # partition count plus the group count, never by the data -- so it is
+    # read on the driver: it gives each group's size and the partition
+    # holding every target rank.
+    parts = offsets.collect()
+    spark = df.sparkSession
+    if not parts:
+        return spark.createDataFrame([], _out_schema(df, group_cols))
+    by_group: dict[tuple, list] = {}
+    for r in parts:
+        by_group.setdefault(tuple(r[c] for c in group_cols), []).append(
+            (r["_offset"], r["_offset"] + r["_ptotal"], r["_pid"]))
+    if len(by_group) * len(probs) > MAX_TARGETS:
         raise ValueError("too many quantile targets; use fewer groups or probabilities")
-    targets: dict[str, tuple] = {}
-    for g, n in counts:
-        pos = np.array([float(p) * (n - 1) for p in probs])
-        targets[g] = (np.floor(pos).astype(np.int64), np.ceil(pos).astype(np.int64), pos)
-    if not targets:
-        return df.sparkSession.createDataFrame([], _out_schema(df, group_cols))
-    return _assemble(ordered, targets, probs, group_cols, value_col, df)
-
-
-def _out_schema(df: DataFrame, group_cols: list[str]) -> str:
-    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
-                     + ["q_index int", "q double", "value double"])
-
-
-def _group_key(group_cols: list[str]) -> Column:
-    if not group_cols:
-        return F.lit("")
-    return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
-
-
-def _assemble(ordered: DataFrame, targets: dict, probs: list[float],
-              group_cols: list[str], value_col: str, src: DataFrame) -> DataFrame:
-    """Find the rows whose rank interval [_before, _before + _w) holds a
-    target rank: a vectorised binary search per Arrow batch, emitting only
-    the (few) hit rows; then interpolate per (group, quantile)."""
-    gtypes = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in group_cols)
-    hit_schema = (gtypes + ", " if gtypes else "") + "_t int, _side int, _v double"
-
-    def find(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            out = []
-            for g, part in pdf.groupby("_g", sort=False):
-                if g not in targets:
-                    continue
-                s = part["_before"].to_numpy(dtype=np.int64)
-                e = s + part["_w"].to_numpy(dtype=np.int64)
-                v = part["_v"].to_numpy(dtype=float)
-                for side, ranks in ((0, targets[g][0]), (1, targets[g][1])):
-                    # Row j holds rank r iff s[j] <= r < e[j]; rows are disjoint
-                    # intervals, so sort them by start and search.
-                    order = np.argsort(s, kind="stable")
-                    j = np.searchsorted(s[order], ranks, side="right") - 1
-                    ok = j >= 0
-                    jj = order[np.where(ok, j, 0)]
-                    ok &= ranks < e[jj]
-                    if ok.any():
-                        hit = part.iloc[jj[ok]][group_cols].copy() if group_cols else pd.DataFrame(index=range(int(ok.sum())))
-                        hit = hit.reset_index(drop=True)
-                        hit["_t"] = np.nonzero(ok)[0].astype(np.int32)
-                        hit["_side"] = np.int32(side)
-                        hit["_v"] = v[jj[ok]]
-                        out.append(hit)
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    hits = ordered.select(*group_cols, _group_key(group_cols).alias("_g"), "_before", "_w",
-                          F.col(value_col).cast("double").alias("_v")).mapInPandas(find, hit_schema)
-    agg = hits.groupBy(*group_cols, "_t").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("lo_v"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("hi_v"))
-    # Attach each target's (q, lo, hi, pos): a literal table of bounded size.
-    rows = []
-    for g, (lo, hi, pos) in targets.items():
+    gtypes = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
+    spec_rows, placed_rows = [], []
+    for g, spans in by_group.items():
+        spans.sort()
+        n = spans[-1][1]
         for i, p in enumerate(probs):
-            rows.append((g, i, float(p), int(lo[i]), int(hi[i]), float(pos[i])))
-    spec = ordered.sparkSession.createDataFrame(
-        rows, "_g string, _t int, q double, lo long, hi long, pos double")
-    agg = agg.withColumn("_g", _group_key(group_cols)).join(F.broadcast(spec), ["_g", "_t"])
+            pos = float(p) * (n - 1)
+            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
+            spec_rows.append((*g, i, float(p), lo, hi, pos))
+            for side, rank in ((0, lo), (1, hi)):
+                pid = next(pid for start, end, pid in spans if start <= rank < end)
+                placed_rows.append((*g, pid, i, side, rank))
+    spec = spark.createDataFrame(spec_rows, ", ".join(gtypes + ["_t int", "q double", "lo long",
+                                                                "hi long", "pos double"]))
+    placed = spark.createDataFrame(placed_rows, ", ".join(gtypes + ["_pid int", "_t int", "_side int",
+                                                                    "_r long"]))
+    # Each target meets only the rows of its own partition (an equi-join on
+    # partition and group), then the interval condition picks its row.
+    hits = ordered.join(F.broadcast(placed), on=["_pid", *group_cols]) \
+                  .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_w")))
+    agg = hits.groupBy(*group_cols, "_t").agg(
+        F.max(F.when(F.col("_side") == 0, F.col(value_col))).cast("double").alias("lo_v"),
+        F.max(F.when(F.col("_side") == 1, F.col(value_col))).cast("double").alias("hi_v"))
+    agg = agg.join(F.broadcast(spec), on=[*group_cols, "_t"])
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo_v")).otherwise(
         (F.col("hi") - F.col("pos")) * F.col("lo_v") + (F.col("pos") - F.col("lo")) * F.col("hi_v"))
     return agg.select(*group_cols, F.col("_t").cast("int").alias("q_index"),
                       F.col("q").cast("double").alias("q"), value.cast("double").alias("value"))
+
+
+def _out_schema(df: DataFrame, group_cols: list[str]) -> str:
+    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols]
+                     + ["q_index int", "q double", "value double"])
