@@ -426,3 +426,29 @@ ORACLE.update({
     "scale_energy": with_ctes("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
         energy_type_1 * (1 + 10.0 / 100) AS energy_type_1, energy_type_2 * (1 + 10.0 / 100) AS energy_type_2 FROM r"""),
 })
+
+
+_SAMPLE_COLS = [("l_orderkey", "x"), ("l_linenumber", "x"), ("l_partkey", "x"), ("l_suppkey", "x"),
+                ("date", "x"), ("factory", "x"), ("shift", "x"), ("energy_type_1", "d"),
+                ("energy_type_2", "d"), ("hr_cost", "d"), ("operation_cost", "d"), ("admin_cost", "d"),
+                ("other_cost", "d"), ("revenue", "d"), ("total_opex", "d"), ("total_energy", "d")]
+
+
+def _chat_context() -> str:
+    def cell(c: str, kind: str) -> str:
+        v = f"printf('%.6f', {c})" if kind == "d" else f"CAST({c} AS VARCHAR)"
+        return f"'{c}=' || coalesce({v}, '')"
+    row_text = " || ' | ' || ".join(cell(c, k) for c, k in _SAMPLE_COLS)
+    order = "date, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    return f"""WITH kl AS ({_kpis_long()}),
+      ds AS ({_describe()}),
+      sm AS ({with_ctes(f"SELECT * FROM r ORDER BY {order} LIMIT 10")})
+    SELECT 'kpis' AS section, position AS line_no, kpi AS name,
+           coalesce(printf('%.6f', value), text) AS text FROM kl
+    UNION ALL
+    SELECT 'sample', CAST(row_number() OVER (ORDER BY {order}) AS INTEGER), 'row', {row_text} FROM sm
+    UNION ALL
+    SELECT 'statistics', 0, "column" || '.' || statistic, printf('%.6f', value) FROM ds"""
+
+
+ORACLE["chat_context"] = _chat_context()

@@ -71,16 +71,24 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def save_dataset(df: DataFrame, path: str, partition_by_month: bool = True) -> str:
+def save_dataset(df: DataFrame, path: str, partition_by_month: bool = True,
+                 max_records_per_file: int = 5_000_000) -> str:
     """Persist cleaned records as Parquet (S5), partitioned by month so date
-    filters prune whole folders.  Rows are clustered by month first, so
-    each task writes few files."""
-    out = df
+    filters prune whole folders.
+
+    Rows are shuffled on (month, salt), the salt being a row hash modulo the
+    shuffle partition count: a month holding a third of all rows is spread
+    over every writer instead of one, and each writer still touches few
+    month folders.  Files are capped at ``max_records_per_file`` rows."""
+    writer_opts = {"maxRecordsPerFile": str(max_records_per_file)}
     if partition_by_month and "date" in df.columns:
-        out = df.withColumn("month", F.date_format("date", "yyyy-MM")).repartition("month")
-        out.write.mode("overwrite").partitionBy("month").parquet(path)
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts))
+        out = (df.withColumn("month", F.date_format("date", "yyyy-MM"))
+                 .repartition(parts, "month", salt))
+        out.write.mode("overwrite").options(**writer_opts).partitionBy("month").parquet(path)
     else:
-        out.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**writer_opts).parquet(path)
     return path
 
 
