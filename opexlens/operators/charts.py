@@ -74,11 +74,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in MEASURES if c in df.columns]
 
 
-def describe(df: DataFrame, digits: int = 6) -> DataFrame:
+def describe(df: DataFrame, digits: int = 6, exact: bool = True,
+             accuracy: int = 10_000) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max of each measure
     and of ``date`` (V6), long form ``(column, statistic, value)``.  Date
-    statistics are in days since 1970-01-01 and have no std.  Quartiles are
-    exact and interpolated, computed without holding a column in one task."""
+    statistics are in days since 1970-01-01 and have no std.
+
+    Quartiles are exact and interpolated, computed without holding a column
+    in one task (one written table of distinct values per column).  With
+    ``exact=False`` they come from ``percentile_approx`` instead: a bounded
+    sketch in the same single aggregate as the moments (relative rank error
+    about 1/accuracy, no interpolation), for very large inputs."""
     cols = numeric_columns(df)
     vals = {c: F.col(c).cast("double") for c in cols}
     if "date" in df.columns:
@@ -98,6 +104,16 @@ def describe(df: DataFrame, digits: int = 6) -> DataFrame:
     long = wide.unpivot([], names, "key", "value").select(
         F.split("key", r"\|").getItem(0).alias("column"),
         F.split("key", r"\|").getItem(1).alias("statistic"), "value")
+    if not exact:
+        approx = df.agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias(c)
+                          for c, v in vals.items()])
+        qs = approx.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in vals])).alias("e")) \
+            .select("e.column", F.posexplode("e.q").alias("i", "value")) \
+            .select("column", F.element_at(F.array(*[F.lit(x) for x in ("25%", "50%", "75%")]),
+                                           F.col("i") + 1).alias("statistic"), "value")
+        out = long.unionByName(qs)
+        return out.select("column", "statistic", F.round("value", digits).alias("value"))
     # Quartiles: every (column, value) pair with its count, written once.
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in vals.items()])).alias("e")) \
