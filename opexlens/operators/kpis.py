@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ratio, ratio_pct, sum0
 from ..plans.ranking import with_global_offsets
 from ..schema import KPI_LABELS, NOT_AVAILABLE
+from ..session import cut_lineage
 
 
 def _has(df: DataFrame, *cols: str) -> bool:
@@ -45,17 +46,20 @@ def kpis(df: DataFrame) -> DataFrame:
     missing.  ``efficiency_basis`` says whether energy efficiency is revenue
     or OpEx per unit of energy.
 
-    The records are read once: one partial aggregate per (factory, shift)
-    cell carries every sum and count, and the totals, the factory ranking
-    and the shift ranking are all derived from that small table (its
-    exchange is shared by the sub-queries)."""
+    The records are read once: one aggregate per (factory, shift) cell
+    carries every sum and count and is written to the shared folder; the
+    totals, the factory ranking and the shift ranking all read that small
+    table.  (Left lazy, column pruning gives each consumer a slightly
+    different aggregate, no exchange is reused, and the records would be
+    scanned three times.)"""
     measures = [c for c in ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]
                 if c in df.columns]
     if not measures:
         return df.sparkSession.range(1).select()
     dims = [c for c in ["factory", "shift"] if c in df.columns and "total_opex" in df.columns]
-    cells = df.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in measures],
-                                  *([F.count("total_opex").alias("_n")] if "shift" in dims else []))
+    cells = cut_lineage(df.groupBy(*dims).agg(
+        *[F.sum(c).alias(c) for c in measures],
+        *([F.count("total_opex").alias("_n")] if "shift" in dims else [])), "kpi-cells")
     base = cells.agg(*[sum0(c).alias(c) for c in measures])
     s = {c: F.col(c) for c in measures}
     out: dict[str, Column] = {}
