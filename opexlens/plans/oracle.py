@@ -452,3 +452,55 @@ def _chat_context() -> str:
 
 
 ORACLE["chat_context"] = _chat_context()
+
+
+
+def _ols(train: str, feats: list[str], label: str) -> str:
+    """CTEs fitting OLS of ``label`` on ``feats`` over the table ``train`` by
+    sequential orthogonalisation; defines om (means), ob (residualisation
+    coefficients) and og (coefficients on the orthogonal parts)."""
+    k = len(feats)
+    means = ", ".join(f"avg({f}) AS m{i}" for i, f in enumerate(feats)) + f", avg({label}) AS my"
+    centred = ", ".join(f"{f} - m{i} AS c{i}" for i, f in enumerate(feats)) + f", {label} - my AS cy"
+    ctes = [f", om AS (SELECT {means} FROM {train})",
+            f"oc AS (SELECT {centred} FROM {train}, om)"]
+    prev = "oc"
+    for j in range(k):
+        z = f"c{j}" + "".join(f" - b{j}_{i} * z{i}" for i in range(j))
+        if j:
+            coef = ", ".join(f"sum(c{j} * z{i}) / sum(z{i} * z{i}) AS b{j}_{i}" for i in range(j))
+            ctes.append(f"ob{j} AS (SELECT {coef} FROM {prev})")
+            ctes.append(f"oz{j} AS (SELECT {prev}.*, {z} AS z{j} FROM {prev}, ob{j})")
+        else:
+            ctes.append(f"oz0 AS (SELECT oc.*, c0 AS z0 FROM oc)")
+        prev = f"oz{j}"
+    gam = ", ".join(f"sum(cy * z{i}) / sum(z{i} * z{i}) AS g{i}" for i in range(k))
+    ctes.append(f"og AS (SELECT {gam} FROM {prev})")
+    return ",\n  ".join(ctes)
+
+
+def _ols_predict(table: str, feats: list[str], label: str) -> str:
+    """Predictions for ``table`` (needs om, ob1.., og)."""
+    k = len(feats)
+    cs = ", ".join(f"{f} - m{i} AS c{i}" for i, f in enumerate(feats))
+    sql = f"SELECT t.*, {cs} FROM {table} t, om"
+    for j in range(k):
+        z = f"c{j}" + "".join(f" - b{j}_{i} * z{i}" for i in range(j))
+        src = f"({sql}) s" + (f", ob{j}" if j else "")
+        sql = f"SELECT s.*, {z} AS z{j} FROM {src}"
+    pred = "my" + "".join(f" + g{i} * z{i}" for i in range(k))
+    return f"SELECT s.*, {pred} AS prediction FROM ({sql}) s, om, og"
+
+
+def _fit_score_regression(feats: list[str], label: str) -> str:
+    fold = "(datediff('day', DATE '1970-01-01', date) % 5 + 5) % 5"
+    body = f"""SELECT round(1 - sum(({label} - prediction) ^ 2) / sum(({label} - ybar) ^ 2), 6) AS r2,
+        round(avg(abs({label} - prediction)), 4) AS mae,
+        round(sqrt(avg(({label} - prediction) ^ 2)), 4) AS rmse
+      FROM tp, (SELECT avg({label}) AS ybar FROM tp)"""
+    extra = (f", trn AS (SELECT * FROM r WHERE {fold} <> 4), tst AS (SELECT * FROM r WHERE {fold} = 4)"
+             + _ols("trn", feats, label) + f", tp AS ({_ols_predict('tst', feats, label)})")
+    return with_ctes(body, extra=extra)
+
+
+ORACLE["fit_score_regression"] = _fit_score_regression(["energy_type_1", "energy_type_2", "total_opex"], "revenue")
