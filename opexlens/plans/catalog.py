@@ -1,169 +1,69 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
 Every query reads the driver tables through the cost-record views in
-``sources.fixtures`` and runs over all of their rows.
+``sources.fixtures`` and runs over all of their rows; filters are business
+filters (dates, sites, shifts, energy bounds) applied to the whole table.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import null_token
+from ..operators import anomaly as AN
+from ..operators import charts as CH
 from ..operators import clean as C
+from ..operators import context as CX
+from ..operators import drivers as DR
+from ..operators import filters as FL
+from ..operators import forecast as FC
 from ..operators import kpis as K
+from ..operators import whatif as W
+from ..session import shared_path
+from ..sources import files as FS
 from ..sources import fixtures as X
+from ..sources import workbook as WB
+from ..streaming import daily as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+KEYS = X.KEY_COLUMNS
+ORDER = ["date", *KEYS]
 
-def records(spark: SparkSession, sf_dir: str, revenue: bool = True,
-            shift_code: bool = False) -> DataFrame:
-    """Cleaned cost records over lineitem."""
-    return C.clean(X.cost_records(spark, sf_dir, revenue=revenue),
-                   with_shift_code=shift_code)
-
-
-def _q_clean(spark, sf_dir):
-    return records(spark, sf_dir, shift_code=True)
-
-
-def _q_kpis(spark, sf_dir):
-    return K.kpis(records(spark, sf_dir))
-
-
-def _q_kpis_no_revenue(spark, sf_dir):
-    return K.kpis(records(spark, sf_dir, revenue=False))
-
-
-QUERIES: dict[str, Query] = {
-    "clean": _q_clean,
-    "kpis": _q_kpis,
-    "kpis_no_revenue": _q_kpis_no_revenue,
-}
-
-
-# --- filters -----------------------------------------------------------------
-from ..operators import filters as FL  # noqa: E402
-from ..operators import charts as CH  # noqa: E402
-from ..operators import whatif as W  # noqa: E402
-from ..operators import forecast as FC  # noqa: E402
-
+# Parameters of the registered filter queries.
 DATE_LO, DATE_HI = "1996-01-01", "1996-12-31"
 ALL_FILTERS = {"date_range": ("1995-06-01", "1998-06-30"), "factory": "F03", "shift": "S_R",
                "energy1_min": 5.0, "energy1_max": 45.0, "energy2_min": 10.0}
 DASHBOARD_FILTERS = {"date_range": ("1995-01-01", "1997-12-31"), "factory": "F02"}
+SPARSE = {"factory": "F03", "shift": "S_A"}             # one site and shift: most days have no record
+SHORT = {"date_range": ("1996-01-01", "1996-01-09")}   # nine days: below the forecast gate
 
 
-def _latest_date(df: DataFrame):
-    return df.agg(F.max("date")).scalar()
-
-
-QUERIES.update({
-    "filter_dates": lambda s, d: FL.filter_dates(records(s, d), DATE_LO, DATE_HI),
-    "filter_factory": lambda s, d: FL.filter_factory(records(s, d), "F03"),
-    "filter_shift": lambda s, d: FL.filter_shift(records(s, d), "S_N"),
-    "filter_energy": lambda s, d: FL.filter_energy(records(s, d), 10.0, 40.0, 20.0, None),
-    "apply_filters": lambda s, d: FL.apply_filters(records(s, d), ALL_FILTERS),
-    "filter_preset": lambda s, d: (lambda r: FL.filter_preset(r, "1Y", as_of=_latest_date(r)))(records(s, d)),
-    "filtered_kpis": lambda s, d: K.kpis(FL.apply_filters(records(s, d), DASHBOARD_FILTERS)),
-    "factory_ranking": lambda s, d: K.factory_ranking(records(s, d)),
-    "shift_ranking": lambda s, d: K.shift_ranking(records(s, d)),
-    "most_expensive": lambda s, d: K.most_expensive(records(s, d)),
-    "kpis_labelled": lambda s, d: K.kpis_labelled(records(s, d)),
-    "kpis_formatted": lambda s, d: K.kpis_formatted(records(s, d)),
-    "filter_values": lambda s, d: K.filter_values(records(s, d)),
-    "filter_ranges": lambda s, d: K.filter_ranges(records(s, d)),
-    "trend_daily": lambda s, d: CH.trend(records(s, d), "total_opex", "D"),
-    "trend_weekly": lambda s, d: CH.trend(records(s, d), "total_opex", "W"),
-    "trend_monthly": lambda s, d: CH.trend(records(s, d), "total_opex", "M"),
-    "cost_composition": lambda s, d: CH.cost_composition(records(s, d)),
-    "factory_shift_matrix": lambda s, d: CH.factory_shift_matrix(records(s, d)),
-    "energy_mix": lambda s, d: CH.energy_mix(records(s, d)),
-    "describe": lambda s, d: CH.describe(records(s, d)),
-    "correlation": lambda s, d: CH.correlation(records(s, d)),
-    "whatif": lambda s, d: W.whatif(records(s, d), 10.0),
-    "whatif_like_for_like": lambda s, d: W.whatif_like_for_like(records(s, d), 10.0),
-    "daily_grid": lambda s, d: FC.daily_grid(records(s, d), ["total_opex", "total_energy"]),
-    "calendar_features": lambda s, d: FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"])),
-    "forecast_split": lambda s, d: FC.forecast_split(
-        FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"]))),
-    "forecast": lambda s, d: FC.forecast(records(s, d), 30),
-    "forecast_metrics": lambda s, d: FC.forecast_metrics(records(s, d)),
-    "forecast_total": lambda s, d: FC.forecast_total(records(s, d), 30),
-    "future_kpis": lambda s, d: FC.future_kpis(records(s, d), 30),
-    "trend_line": lambda s, d: FC.trend_line(records(s, d)),
-})
-
-
-# --- anomalies ---------------------------------------------------------------
-from ..operators import anomaly as AN  # noqa: E402
-
-QUERIES.update({
-    "anomaly_depth": lambda s, d: AN.anomaly_depth(records(s, d)),
-    "anomaly_rate": lambda s, d: AN.anomaly_rate(AN.anomaly_depth(records(s, d))),
-    "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
-    "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
-})
-
-
-# --- raw upload cleaning, names, encodings, context --------------------------
-from ..operators import context as CX  # noqa: E402
-from ..operators import drivers as DR  # noqa: E402
-from ..functions.values import null_token  # noqa: E402
-
-KEYS = X.KEY_COLUMNS
-ORDER = ["date", *KEYS]
+def records(spark: SparkSession, sf_dir: str, revenue: bool = True,
+            shift_code: bool = False) -> DataFrame:
+    """Cleaned, typed cost records over lineitem."""
+    return C.clean(X.cost_records(spark, sf_dir, revenue=revenue), with_shift_code=shift_code)
 
 
-def raw(spark, sf_dir):
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as an untyped text upload."""
     return X.raw_records(spark, sf_dir)
 
 
-def _ntz(df):
+def _ntz(df: DataFrame) -> DataFrame:
+    # Parsed timestamps are wall-clock values: compare them zone-free.
     return df.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-def _raw_clean(s, d):
-    return _ntz(C.clean(raw(s, d)))
-
-
-QUERIES.update({
-    "normalize_columns": lambda s, d: C.normalize_columns(raw(s, d)),
-    "na_tokens": lambda s, d: C.normalize_columns(raw(s, d)).select(
-        *KEYS, null_token(F.col("factory")).alias("factory"), null_token(F.col("shift")).alias("shift")),
-    "coerce_dates": lambda s, d: _ntz(C.coerce_dates(C.normalize_columns(raw(s, d))).select(*KEYS, "date")),
-    "drop_bad_dates": lambda s, d: _ntz(C.drop_bad_dates(C.coerce_dates(C.normalize_columns(raw(s, d))))
-                                        .select(*KEYS, "date")),
-    "coerce_numeric": lambda s, d: C.coerce_numeric(C.normalize_columns(raw(s, d))).select(
-        *KEYS, "energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost", "other_cost", "revenue"),
-    "fill_categoricals": lambda s, d: C.fill_categoricals(C.normalize_columns(raw(s, d))).select(
-        *KEYS, "factory", "shift"),
-    "derive_totals": lambda s, d: C.clean(raw(s, d), with_shift_code=False).select(*KEYS, "total_opex", "total_energy"),
-    "clean_raw": _raw_clean,
-    "kpis_raw": lambda s, d: K.kpis(C.clean(raw(s, d), with_shift_code=False)),
-    "encode_shift": lambda s, d: C.encode_shift(records(s, d)).select(*KEYS, "shift", "shift_code"),
-    "display_names": lambda s, d: C.display_names(records(s, d)),
-    "one_hot": lambda s, d: DR.one_hot(records(s, d).select(*KEYS, "factory", "shift")),
-    "sample_rows": lambda s, d: CX.sample_rows(records(s, d), ORDER, 10),
-    "insight_context": lambda s, d: CX.insight_context(records(s, d)),
-    "chat_context": lambda s, d: CX.chat_context(records(s, d), ORDER, 10),
-    "cost_drivers": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS),
-    "cost_driver_metrics": lambda s, d: DR.cost_driver_metrics(records(s, d), key_cols=KEYS),
-    "top_drivers": lambda s, d: DR.top_drivers(DR.cost_drivers(records(s, d), key_cols=KEYS), 3),
-})
+def _latest_date(df: DataFrame):
+    return df.agg(F.max("date")).scalar()
 
 
 # --- sources, sinks, stored models, streaming --------------------------------
-import os  # noqa: E402
-
-from ..operators import forecast as _FC  # noqa: E402
-from ..session import shared_path  # noqa: E402
-from ..sources import files as FS  # noqa: E402
-from ..sources import workbook as WB  # noqa: E402
-from ..streaming import daily as ST  # noqa: E402
-
 
 def _q_load_csv(s, d):
     path = FS.write_csv(raw(s, d), shared_path(s, "upload-csv"))
@@ -194,16 +94,16 @@ def _q_export_results(s, d):
 
 def _q_forecast_reload(s, d):
     rec = records(s, d)
-    model, _ = _FC.fit_forecast(rec)
-    path = _FC.save_forecast_model(model, shared_path(s, "forecast-model"))
-    return _FC.forecast_reload(rec, path, 30)
+    model, _ = FC.fit_forecast(rec)
+    path = FC.save_forecast_model(model, shared_path(s, "forecast-model"))
+    return FC.forecast_reload(rec, path, 30)
 
 
 def _q_stream_daily_kpis(s, d):
     work = shared_path(s, "stream")
     source = os.path.join(work, "events")
-    # The events table, laid out as a folder of files (one per day) that the
-    # stream picks up.
+    # The events table laid out as a folder of files (rows clustered by
+    # day) that the stream picks up.
     X.table(s, d, "events").repartition(F.to_date("ts")).write.mode("overwrite").parquet(source)
     out = ST.stream_daily_kpis(s, source, work)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -211,32 +111,99 @@ def _q_stream_daily_kpis(s, d):
                       "factory", "total_opex", F.col("events").cast("long").alias("events"))
 
 
-QUERIES.update({
-    "load_csv": _q_load_csv,
-    "load_table": _q_load_table,
-    "load_workbooks": _q_load_workbooks,
-    "save_dataset": _q_save_dataset,
-    "export_results": _q_export_results,
+QUERIES: dict[str, Query] = {
+    # cleaning (typed input)
+    "clean": lambda s, d: records(s, d, shift_code=True),
+    "encode_shift": lambda s, d: C.encode_shift(records(s, d)).select(*KEYS, "shift", "shift_code"),
+    "display_names": lambda s, d: C.display_names(records(s, d)),
+    # cleaning (text upload)
+    "normalize_columns": lambda s, d: C.normalize_columns(raw(s, d)),
+    "na_tokens": lambda s, d: C.normalize_columns(raw(s, d)).select(
+        *KEYS, null_token(F.col("factory")).alias("factory"), null_token(F.col("shift")).alias("shift")),
+    "coerce_dates": lambda s, d: _ntz(C.coerce_dates(C.normalize_columns(raw(s, d))).select(*KEYS, "date")),
+    "drop_bad_dates": lambda s, d: _ntz(C.drop_bad_dates(C.coerce_dates(C.normalize_columns(raw(s, d))))
+                                        .select(*KEYS, "date")),
+    "coerce_numeric": lambda s, d: C.coerce_numeric(C.normalize_columns(raw(s, d))).select(
+        *KEYS, "energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost", "other_cost",
+        "revenue"),
+    "fill_categoricals": lambda s, d: C.fill_categoricals(C.normalize_columns(raw(s, d))).select(
+        *KEYS, "factory", "shift"),
+    "derive_totals": lambda s, d: C.clean(raw(s, d), with_shift_code=False).select(
+        *KEYS, "total_opex", "total_energy"),
+    "clean_raw": lambda s, d: _ntz(C.clean(raw(s, d))),
+    "kpis_raw": lambda s, d: K.kpis(C.clean(raw(s, d), with_shift_code=False)),
+    # KPIs, rankings, filter options
+    "kpis": lambda s, d: K.kpis(records(s, d)),
+    "kpis_no_revenue": lambda s, d: K.kpis(records(s, d, revenue=False)),
+    "kpis_labelled": lambda s, d: K.kpis_labelled(records(s, d)),
+    "kpis_formatted": lambda s, d: K.kpis_formatted(records(s, d)),
+    "factory_ranking": lambda s, d: K.factory_ranking(records(s, d)),
+    "shift_ranking": lambda s, d: K.shift_ranking(records(s, d)),
+    "most_expensive": lambda s, d: K.most_expensive(records(s, d)),
+    "filter_values": lambda s, d: K.filter_values(records(s, d)),
+    "filter_ranges": lambda s, d: K.filter_ranges(records(s, d)),
+    # filters
+    "filter_dates": lambda s, d: FL.filter_dates(records(s, d), DATE_LO, DATE_HI),
+    "filter_factory": lambda s, d: FL.filter_factory(records(s, d), "F03"),
+    "filter_shift": lambda s, d: FL.filter_shift(records(s, d), "S_N"),
+    "filter_energy": lambda s, d: FL.filter_energy(records(s, d), 10.0, 40.0, 20.0, None),
+    "apply_filters": lambda s, d: FL.apply_filters(records(s, d), ALL_FILTERS),
+    "filter_preset": lambda s, d: (lambda r: FL.filter_preset(r, "1Y", as_of=_latest_date(r)))(records(s, d)),
+    "filtered_kpis": lambda s, d: K.kpis(FL.apply_filters(records(s, d), DASHBOARD_FILTERS)),
+    # chart tables and statistics
+    "trend_daily": lambda s, d: CH.trend(records(s, d), "total_opex", "D"),
+    "trend_weekly": lambda s, d: CH.trend(records(s, d), "total_opex", "W"),
+    "trend_monthly": lambda s, d: CH.trend(records(s, d), "total_opex", "M"),
+    "cost_composition": lambda s, d: CH.cost_composition(records(s, d)),
+    "factory_shift_matrix": lambda s, d: CH.factory_shift_matrix(records(s, d)),
+    "energy_mix": lambda s, d: CH.energy_mix(records(s, d)),
+    "describe": lambda s, d: CH.describe(records(s, d)),
+    "correlation": lambda s, d: CH.correlation(records(s, d)),
+    # what-if
+    "scale_energy": lambda s, d: W.scale_energy(records(s, d), 10.0).select(
+        *KEYS, "energy_type_1", "energy_type_2"),
+    "whatif": lambda s, d: W.whatif(records(s, d), 10.0),
+    "whatif_like_for_like": lambda s, d: W.whatif_like_for_like(records(s, d), 10.0),
+    # daily grid and forecast
+    "daily_grid": lambda s, d: FC.daily_grid(records(s, d), ["total_opex", "total_energy"]),
+    "daily_grid_filtered": lambda s, d: FC.daily_grid(FL.apply_filters(records(s, d), SPARSE),
+                                                      ["total_opex", "total_energy"]),
+    "calendar_features": lambda s, d: FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"])),
+    "forecast_split": lambda s, d: FC.forecast_split(
+        FC.calendar_features(FC.daily_grid(records(s, d), ["total_opex"]))),
+    "forecast": lambda s, d: FC.forecast(records(s, d), 30),
+    "forecast_90": lambda s, d: FC.forecast(records(s, d), 90),
+    "forecast_too_short": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SHORT), 30),
+    "forecast_filtered": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SPARSE), 30),
+    "forecast_metrics": lambda s, d: FC.forecast_metrics(records(s, d)),
+    "forecast_total": lambda s, d: FC.forecast_total(records(s, d), 30),
+    "future_kpis": lambda s, d: FC.future_kpis(records(s, d), 30),
+    "trend_line": lambda s, d: FC.trend_line(records(s, d)),
     "forecast_reload": _q_forecast_reload,
-    "stream_daily_kpis": _q_stream_daily_kpis,
+    # anomalies
+    "anomaly_depth": lambda s, d: AN.anomaly_depth(records(s, d)),
+    "anomaly_rate": lambda s, d: AN.anomaly_rate(AN.anomaly_depth(records(s, d))),
+    "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
+    "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
+    # encodings, drivers, generic models
+    "one_hot": lambda s, d: DR.one_hot(records(s, d).select(*KEYS, "factory", "shift")),
+    "cost_drivers": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS),
+    "cost_driver_metrics": lambda s, d: DR.cost_driver_metrics(records(s, d), key_cols=KEYS),
+    "top_drivers": lambda s, d: DR.top_drivers(DR.cost_drivers(records(s, d), key_cols=KEYS), 3),
     "fit_score_regression": lambda s, d: DR.fit_score_regression(
         records(s, d), ["energy_type_1", "energy_type_2", "total_opex"], "revenue", key_cols=KEYS),
     "fit_score_classifier": lambda s, d: DR.fit_score_classifier(
         records(s, d), ["energy_type_1", "energy_type_2", "hr_cost", "admin_cost", "other_cost"], "shift",
         key_cols=KEYS),
-})
-
-
-# --- gates, horizons, sparse grids, what-if scaling ----------------------------
-SPARSE = {"factory": "F03", "shift": "S_A"}     # one site and shift: most days have no record
-SHORT = {"date_range": ("1996-01-01", "1996-01-09")}   # nine days: below the forecast gate
-
-QUERIES.update({
-    "forecast_90": lambda s, d: FC.forecast(records(s, d), 90),
-    "forecast_too_short": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SHORT), 30),
-    "daily_grid_filtered": lambda s, d: FC.daily_grid(FL.apply_filters(records(s, d), SPARSE),
-                                                      ["total_opex", "total_energy"]),
-    "forecast_filtered": lambda s, d: FC.forecast(FL.apply_filters(records(s, d), SPARSE), 30),
-    "scale_energy": lambda s, d: W.scale_energy(records(s, d), 10.0).select(
-        *KEYS, "energy_type_1", "energy_type_2"),
-})
+    # context tables
+    "sample_rows": lambda s, d: CX.sample_rows(records(s, d), ORDER, 10),
+    "insight_context": lambda s, d: CX.insight_context(records(s, d)),
+    "chat_context": lambda s, d: CX.chat_context(records(s, d), ORDER, 10),
+    # sources, sinks, streaming
+    "load_csv": _q_load_csv,
+    "load_table": _q_load_table,
+    "load_workbooks": _q_load_workbooks,
+    "save_dataset": _q_save_dataset,
+    "export_results": _q_export_results,
+    "stream_daily_kpis": _q_stream_daily_kpis,
+}

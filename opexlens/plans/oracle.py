@@ -5,6 +5,9 @@ Spark query returns."""
 
 from __future__ import annotations
 
+from ..functions.values import NUMBER_PATTERN
+from ..schema import KPI_LABELS, NA_TOKENS
+
 # Cost-record view over lineitem (same rule as sources.fixtures).
 REC_COLUMNS = """
   l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -77,7 +80,6 @@ _KPI_TEXT = {"top_factory", "bottom_factory", "most_expensive_shift", "cheapest_
 
 
 def _kpis_long() -> str:
-    from ..schema import KPI_LABELS
     parts = []
     for i, k in enumerate(_KPI_ORDER):
         v = "CAST(NULL AS DOUBLE)" if k in _KPI_TEXT else k
@@ -298,8 +300,6 @@ ORACLE.update({
 
 
 # --- raw upload cleaning -----------------------------------------------------
-from ..functions.values import NUMBER_PATTERN  # noqa: E402
-from ..schema import NA_TOKENS  # noqa: E402
 
 
 def _num_text(expr: str, bad: int, pad: int) -> str:
