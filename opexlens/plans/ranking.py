@@ -30,28 +30,47 @@ from ..session import cut_lineage
 MAX_TARGETS = 100_000
 
 
-def _ordered_partitions(df: DataFrame, group_cols: list[str], order_col: str,
-                        weight_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_pid`` and ``_before``, per-(partition, group) offsets)."""
+def _tag_partitions(df: DataFrame, group_cols: list[str], order_col: str) -> DataFrame:
+    """Range-partition by (group, order) and record each row's partition id,
+    written once (each written file then holds a single ``_pid``)."""
     keys = [*group_cols, order_col]
     tagged = (df.repartitionByRange(*keys)
                 .withColumn("_pid", F.spark_partition_id()))
-    tagged = cut_lineage(tagged, "ordered")
-    local = Window.partitionBy("_pid", *group_cols).orderBy(order_col) \
-                  .rowsBetween(Window.unboundedPreceding, -1)
-    with_local = tagged.withColumn(
-        "_local", F.coalesce(F.sum(weight_col).over(local), F.lit(0)))
-    # One row per (partition, group): at most partitions + groups rows.
+    return cut_lineage(tagged, "ordered")
+
+
+def _partition_offsets(tagged: DataFrame, group_cols: list[str], weight_col: str) -> DataFrame:
+    """One row per (partition, group): its weight and the weight before it."""
     per_part = tagged.groupBy("_pid", *group_cols).agg(F.sum(weight_col).alias("_ptotal"))
     before_part = Window.partitionBy(*group_cols).orderBy("_pid") \
                         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
+    return per_part.select(
         "_pid", *group_cols, "_ptotal",
         F.coalesce(F.sum("_ptotal").over(before_part), F.lit(0)).alias("_offset"))
-    rows = (with_local.join(F.broadcast(offsets.drop("_ptotal")), on=["_pid", *group_cols])
+
+
+def _rows_before(tagged: DataFrame, offsets: DataFrame, group_cols: list[str], order_col: str,
+                 weight_col: str, pids: list[int] | None = None) -> DataFrame:
+    """Rows with ``_before``; with ``pids`` only those partitions are read
+    (the filter on ``_pid`` skips the other files by their statistics)."""
+    if pids is not None:
+        tagged = tagged.where(F.col("_pid").isin(pids))
+        offsets = offsets.where(F.col("_pid").isin(pids))
+    local = Window.partitionBy("_pid", *group_cols).orderBy(order_col) \
+                  .rowsBetween(Window.unboundedPreceding, -1)
+    with_local = tagged.withColumn(
+        "_local", F.coalesce(F.sum(weight_col).over(local), F.lit(0)))
+    return (with_local.join(F.broadcast(offsets.drop("_ptotal")), on=["_pid", *group_cols])
                       .withColumn("_before", F.col("_offset") + F.col("_local"))
                       .drop("_local", "_offset"))
-    return rows, offsets
+
+
+def _ordered_partitions(df: DataFrame, group_cols: list[str], order_col: str,
+                        weight_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_pid`` and ``_before``, per-(partition, group) offsets)."""
+    tagged = _tag_partitions(df, group_cols, order_col)
+    offsets = _partition_offsets(tagged, group_cols, weight_col)
+    return _rows_before(tagged, offsets, group_cols, order_col, weight_col), offsets
 
 
 def with_global_offsets(df: DataFrame, group_cols: list[str], order_col: str,
@@ -98,7 +117,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         # Written once: the range partitioner samples its input before the
         # shuffle, which would otherwise scan and aggregate the facts twice.
         vals = cut_lineage(vals, "distinct")
-    ordered, offsets = _ordered_partitions(vals, group_cols, value_col, "_w")
+    tagged = _tag_partitions(vals, group_cols, value_col)
+    offsets = _partition_offsets(tagged, group_cols, "_w")
 
     # The offsets table has one row per (partition, group) -- bounded by the
     # partition count plus the group count, never by the data -- so it is
@@ -130,8 +150,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                                                                 "hi long", "pos double"]))
     placed = spark.createDataFrame(placed_rows, ", ".join(gtypes + ["_pid int", "_t int", "_side int",
                                                                     "_r long"]))
-    # Each target meets only the rows of its own partition (an equi-join on
-    # partition and group), then the interval condition picks its row.
+    # Only partitions holding a target are read and ordered; each target
+    # meets only the rows of its own partition (an equi-join on partition
+    # and group), then the interval condition picks its row.
+    ordered = _rows_before(tagged, offsets, group_cols, value_col, "_w",
+                           pids=sorted({r[len(group_cols)] for r in placed_rows}))
     hits = ordered.join(F.broadcast(placed), on=["_pid", *group_cols]) \
                   .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_w")))
     agg = hits.groupBy(*group_cols, "_t").agg(
