@@ -109,3 +109,42 @@ def export_results(df: DataFrame, path: str) -> str:
 
 __all__ = ["NA_TOKENS", "LoadError", "load_csv", "load_table", "write_csv", "save_dataset",
            "load_dataset", "export_results"]
+
+
+class DatasetNotFound(KeyError):
+    """No stored dataset under the given id (the registry's 'not found')."""
+
+
+def save_session(root: str, records: DataFrame, results: dict[str, DataFrame] | None = None,
+                 forecast_model=None, dataset_id: str | None = None) -> str:
+    """Store an analysed upload under ``root/<id>``: the cleaned records
+    (partitioned by month), result tables as Parquet and the fitted forecast
+    model (S5).  Returns the id."""
+    import uuid
+    dataset_id = dataset_id or uuid.uuid4().hex
+    base = f"{root.rstrip('/')}/{dataset_id}"
+    save_dataset(records, f"{base}/records")
+    for name, df in (results or {}).items():
+        df.write.mode("overwrite").parquet(f"{base}/results/{name}")
+    if forecast_model is not None:
+        forecast_model.write().overwrite().save(f"{base}/models/forecast")
+    return dataset_id
+
+
+def load_session(spark: SparkSession, root: str, dataset_id: str) -> dict:
+    """Open a stored upload: ``records``, each result table, and the
+    forecast model when one was stored.  Unknown ids raise DatasetNotFound."""
+    base = f"{root.rstrip('/')}/{dataset_id}"
+    is_dir, _ = _listing(spark, f"{base}/records")
+    if not is_dir:
+        raise DatasetNotFound(dataset_id)
+    out: dict = {"records": load_dataset(spark, f"{base}/records")}
+    has_results, names = _listing(spark, f"{base}/results")
+    for name in (names if has_results else []):
+        if not name.startswith(("_", ".")):
+            out[name] = spark.read.parquet(f"{base}/results/{name}")
+    has_model, _ = _listing(spark, f"{base}/models/forecast")
+    if has_model:
+        from pyspark.ml.regression import LinearRegressionModel
+        out["forecast_model"] = LinearRegressionModel.load(f"{base}/models/forecast")
+    return out
