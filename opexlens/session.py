@@ -68,6 +68,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+# Tables written by cut_lineage in this process, for release_stage_tables.
+_STAGE_TABLES: list[str] = []
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and continue from it (never a local checkpoint).  One pass: unlike
@@ -76,4 +80,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _STAGE_TABLES.append(path)
     return spark.read.parquet(path)
+
+
+def release_stage_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote (Hadoop FileSystem
+    API, so local, HDFS and object-store folders alike).  Call it only after
+    every DataFrame built on them has been collected or written.  Returns
+    the number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGE_TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p) and fs.delete(p, True):
+            removed += 1
+    return removed
