@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import sum0
 from ..plans.ranking import exact_quantiles
-from ..session import cut_lineage
+from ..session import cut_lineage, small_frame
 from ..schema import COST_COMPONENTS, ENERGY_COLUMNS
 
 MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost",
@@ -27,7 +27,7 @@ def trend(df: DataFrame, metric: str = "total_opex", freq: str = "D") -> DataFra
     if freq not in _TRUNC:
         raise ValueError("freq must be D, W or M")
     if "date" not in df.columns or metric not in df.columns:
-        return df.sparkSession.createDataFrame([], "period date, value double")
+        return small_frame(df.sparkSession, [], "period date, value double")
     d = F.to_date("date")
     period = d if _TRUNC[freq] is None else F.to_date(F.date_trunc(_TRUNC[freq], d))
     return df.groupBy(period.alias("period")).agg(sum0(metric).cast("double").alias("value"))
@@ -38,7 +38,7 @@ def cost_composition(df: DataFrame) -> DataFrame:
     ``(factory, component, cost)`` (V3)."""
     comps = [c for c in COST_COMPONENTS if c in df.columns]
     if not comps or "factory" not in df.columns:
-        return df.sparkSession.createDataFrame([], "factory string, component string, cost double")
+        return small_frame(df.sparkSession, [], "factory string, component string, cost double")
     wide = df.groupBy("factory").agg(*[sum0(c).alias(c) for c in comps])
     return wide.unpivot("factory", comps, "component", "cost")
 
@@ -48,7 +48,7 @@ def factory_shift_matrix(df: DataFrame, shifts: list[str] | None = None) -> Data
     values become columns, so they are listed up front (distinct shifts are
     read once when not given)."""
     if not all(c in df.columns for c in ("factory", "shift", "total_opex")):
-        return df.sparkSession.createDataFrame([], "factory string")
+        return small_frame(df.sparkSession, [], "factory string")
     if shifts is None:
         shifts = sorted(r[0] for r in df.select("shift").distinct().collect())
     return (df.groupBy("factory").pivot("shift", shifts).agg(F.sum("total_opex"))
@@ -59,7 +59,7 @@ def energy_mix(df: DataFrame) -> DataFrame:
     """Energy type 1 and 2 totals with their share; no rows when both are
     0 or a type is missing (V5)."""
     if not all(c in df.columns for c in ENERGY_COLUMNS):
-        return df.sparkSession.createDataFrame([], "energy_type string, total double, share double")
+        return small_frame(df.sparkSession, [], "energy_type string, total double, share double")
     tot = df.agg(sum0(ENERGY_COLUMNS[0]).alias("t1"), sum0(ENERGY_COLUMNS[1]).alias("t2"))
     rows = tot.select(F.explode(F.array(
         F.struct(F.lit("Energy Type 1").alias("energy_type"), F.col("t1").alias("total"),
@@ -90,7 +90,7 @@ def describe(df: DataFrame, digits: int = 6, exact: bool = True,
     if "date" in df.columns:
         vals["date"] = F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).cast("double")
     if not vals:
-        return df.sparkSession.createDataFrame([], "column string, statistic string, value double")
+        return small_frame(df.sparkSession, [], "column string, statistic string, value double")
     # Moments: one aggregate over the records (whole-stage codegen).
     moments = []
     for c, v in vals.items():
@@ -132,7 +132,7 @@ def correlation(df: DataFrame, digits: int = 8) -> DataFrame:
     cols = numeric_columns(df)
     pairs = list(combinations(cols, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+        return small_frame(df.sparkSession, [], "column_a string, column_b string, corr double")
     wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "key", "corr").select(
         F.split("key", r"\|").getItem(0).alias("column_a"),

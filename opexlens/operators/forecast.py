@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import ratio, sum0
 from ..schema import BUDGET_OVERRUN_PLACEHOLDER, DEFAULT_HORIZON, FORECAST_FEATURES
-from ..session import cut_lineage
+from ..session import cut_lineage, small_frame
 from .charts import numeric_columns
 from .kpis import _ranked_ends, factory_costs, shift_costs
 
@@ -103,7 +103,7 @@ def forecast(df: DataFrame, horizon: int = DEFAULT_HORIZON, digits: int = 2) ->
     empty with the same schema when there are fewer than 10 days (T7)."""
     model, feats = fit_forecast(df)
     if model is None:
-        return df.sparkSession.createDataFrame([], FORECAST_SCHEMA)
+        return small_frame(df.sparkSession, [], FORECAST_SCHEMA)
     return predict_future(model, feats, horizon, digits)
 
 
@@ -111,7 +111,7 @@ def forecast_metrics(df: DataFrame, digits: int = 6) -> DataFrame:
     """Holdout R^2, MAE and RMSE of the fitted model (T5)."""
     model, feats = fit_forecast(df)
     if model is None:
-        return df.sparkSession.createDataFrame([], "r2 double, mae double, rmse double")
+        return small_frame(df.sparkSession, [], "r2 double, mae double, rmse double")
     test = model.transform(_assembler().transform(feats.where(F.col("is_test"))))
     err = F.col("total_opex") - F.col("prediction")
     s = test.agg(F.avg("total_opex").alias("ybar"), F.count("*").alias("n"),

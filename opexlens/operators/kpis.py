@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ratio, ratio_pct, sum0
 from ..plans.ranking import with_global_offsets
 from ..schema import KPI_LABELS, NOT_AVAILABLE
-from ..session import cut_lineage
+from ..session import cut_lineage, small_frame
 
 
 def _has(df: DataFrame, *cols: str) -> bool:
@@ -154,7 +154,7 @@ def filter_values(df: DataFrame) -> DataFrame:
     parts = [df.select(F.lit(c).alias("dimension"), F.col(c).alias("value"))
              for c in ["factory", "shift"] if c in df.columns]
     if not parts:
-        return df.sparkSession.createDataFrame([], "dimension string, value string")
+        return small_frame(df.sparkSession, [], "dimension string, value string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small_frame
 
 # Upper bound on (groups x probabilities) placed on the driver.
 MAX_TARGETS = 100_000
@@ -127,7 +127,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     parts = offsets.collect()
     spark = df.sparkSession
     if not parts:
-        return spark.createDataFrame([], _out_schema(df, group_cols))
+        return small_frame(spark, [], _out_schema(df, group_cols))
     by_group: dict[tuple, list] = {}
     for r in parts:
         by_group.setdefault(tuple(r[c] for c in group_cols), []).append(
@@ -146,10 +146,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
             for side, rank in ((0, lo), (1, hi)):
                 pid = next(pid for start, end, pid in spans if start <= rank < end)
                 placed_rows.append((*g, pid, i, side, rank))
-    spec = spark.createDataFrame(spec_rows, ", ".join(gtypes + ["_t int", "q double", "lo long",
-                                                                "hi long", "pos double"]))
-    placed = spark.createDataFrame(placed_rows, ", ".join(gtypes + ["_pid int", "_t int", "_side int",
-                                                                    "_r long"]))
+    spec = small_frame(spark, spec_rows, ", ".join(gtypes + ["_t int", "q double", "lo long",
+                                                             "hi long", "pos double"]))
+    placed = small_frame(spark, placed_rows, ", ".join(gtypes + ["_pid int", "_t int", "_side int",
+                                                                 "_r long"]))
     # Only partitions holding a target are read and ordered; each target
     # meets only the rows of its own partition (an equi-join on partition
     # and group), then the interval condition picks its row.

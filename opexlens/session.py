@@ -45,6 +45,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame from a few driver-side rows (model outputs, quantile
+    targets).  Goes through Arrow from pandas, which needs no Python worker
+    on the executors (a plain ``createDataFrame(list)`` is a Python RDD)."""
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    pdf = pd.DataFrame(rows, columns=[f.name for f in st.fields]) if rows else \
+        pd.DataFrame({f.name: pd.Series([], dtype=object) for f in st.fields})
+    prev = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        return spark.createDataFrame(pdf, schema=st)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", prev)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
