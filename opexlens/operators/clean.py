@@ -2,9 +2,10 @@
 
 Each operator is ``DataFrame -> DataFrame`` and chains with
 ``df.transform``.  All are narrow projections except ``drop_bad_dates``
-(one scalar sub-query counting good dates, no shuffle of the rows) and
-``encode_shift`` (a join against the distinct shifts, which AQE turns into
-a broadcast once it has measured the small side).
+(an EXISTS probe that stops at the first good date; no shuffle of the
+rows) and ``encode_shift`` (a join against the ranked distinct shifts, read
+from a small written table, so the planner broadcasts it by its measured
+size).
 """
 
 from __future__ import annotations
