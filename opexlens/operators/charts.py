@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.values import sum0
 from ..plans.ranking import exact_quantiles
 from ..session import cut_lineage, small_frame
-from ..schema import COST_COMPONENTS, ENERGY_COLUMNS
+from ..schema import COST_COMPONENTS, ENERGY_COLUMNS, ENERGY_MIX_NAMES
 
 MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost",
             "other_cost", "revenue", "profit", "total_opex", "total_energy"]
@@ -62,9 +62,9 @@ def energy_mix(df: DataFrame) -> DataFrame:
         return small_frame(df.sparkSession, [], "energy_type string, total double, share double")
     tot = df.agg(sum0(ENERGY_COLUMNS[0]).alias("t1"), sum0(ENERGY_COLUMNS[1]).alias("t2"))
     rows = tot.select(F.explode(F.array(
-        F.struct(F.lit("Energy Type 1").alias("energy_type"), F.col("t1").alias("total"),
+        F.struct(F.lit(ENERGY_MIX_NAMES[0]).alias("energy_type"), F.col("t1").alias("total"),
                  (F.col("t1") + F.col("t2")).alias("all")),
-        F.struct(F.lit("Energy Type 2").alias("energy_type"), F.col("t2").alias("total"),
+        F.struct(F.lit(ENERGY_MIX_NAMES[1]).alias("energy_type"), F.col("t2").alias("total"),
                  (F.col("t1") + F.col("t2")).alias("all")))).alias("e")).select("e.*")
     return rows.where(F.col("all") != 0).select(
         "energy_type", "total", (F.col("total") / F.col("all") * 100).alias("share"))

@@ -8,12 +8,15 @@ side) and attached as scalar sub-queries -- no join, no collect.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, ratio_pct, sum0
 from ..plans.ranking import with_global_offsets
-from ..schema import KPI_LABELS, NOT_AVAILABLE
+from ..schema import KPI_LABELS, MONEY_LABEL_WORDS, NOT_AVAILABLE, UTILIZATION_LABEL_WORD
 from ..session import cut_lineage, small_frame
 
 
@@ -114,10 +117,10 @@ def kpis_formatted(df: DataFrame) -> DataFrame:
     label = F.col("label")
     num = F.format_string("%.2f", F.col("value"))
     shown = (F.when(F.col("value").isNull(), F.col("text"))
-             .when(label.contains("Utilization"),
+             .when(label.contains(UTILIZATION_LABEL_WORD),
                    F.concat(F.format_string("%.1f", F.col("value") * 100), F.lit("%")))
              .when(label.contains("%"), F.concat(num, F.lit("%")))
-             .when(label.contains("Revenue") | label.contains("Cost") | label.contains("Profit"),
+             .when(reduce(or_, [label.contains(w) for w in MONEY_LABEL_WORDS]),
                    F.concat(F.lit("$"), num))
              .otherwise(num))
     return long.select("position", "kpi", "label", shown.alias("display"))

@@ -107,6 +107,16 @@ INSIGHT_LINES = [
     ("energy_efficiency", "Energy Efficiency", "num2"),
 ]
 INSIGHT_DRIVERS_LABEL = "Top cost drivers"
+# What "Energy Efficiency" divides, by basis (the label names it).
+EFFICIENCY_BASIS_TEXT = {"revenue": "Revenue/Energy", "opex": "OpEx/Energy"}
+
+# KPI display rules: labels containing one of these words are money ($
+# prefix); labels containing the utilisation word are shown x100 with "%".
+MONEY_LABEL_WORDS = ["Revenue", "Cost", "Profit"]
+UTILIZATION_LABEL_WORD = "Utilization"
+
+# Names of the two energy-mix slices.
+ENERGY_MIX_NAMES = ["Energy Type 1", "Energy Type 2"]
 INSIGHT_ANOMALY_TEXT = "Anomalies detected: {n} unusual cost spikes."
 
 # ---------------------------------------------------------------------------
