@@ -182,7 +182,7 @@ QUERIES: dict[str, Query] = {
     "forecast_reload": _q_forecast_reload,
     # anomalies
     "anomaly_depth": lambda s, d: AN.anomaly_depth(records(s, d)),
-    "anomaly_rate": lambda s, d: AN.anomaly_rate(AN.anomaly_depth(records(s, d))),
+    "anomaly_rate": lambda s, d: AN.anomaly_depth_rate(records(s, d)),
     "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
     "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
     # encodings, drivers, generic models
