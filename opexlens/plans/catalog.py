@@ -198,6 +198,8 @@ QUERIES: dict[str, Query] = {
     # context tables
     "sample_rows": lambda s, d: CX.sample_rows(records(s, d), ORDER, 10),
     "insight_context": lambda s, d: CX.insight_context(records(s, d)),
+    "insight_context_anomalies": lambda s, d: (lambda r: CX.insight_context(r, anomalies=AN.anomaly_depth(r)))(
+        records(s, d)),
     "chat_context": lambda s, d: CX.chat_context(records(s, d), ORDER, 10),
     # sources, sinks, streaming
     "load_csv": _q_load_csv,

@@ -504,3 +504,9 @@ def _fit_score_regression(feats: list[str], label: str) -> str:
 
 
 ORACLE["fit_score_regression"] = _fit_score_regression(["energy_type_1", "energy_type_2", "total_opex"], "revenue")
+
+
+ORACLE["insight_context_anomalies"] = ORACLE["insight_context"] + f"""
+UNION ALL
+SELECT 9 AS line_no, 'Anomalies' AS label, 'Anomalies detected: ' || CAST(n AS VARCHAR) || ' unusual cost spikes.' AS text
+FROM ({with_ctes("SELECT count(*) AS n FROM flagged WHERE anomaly", extra=DEPTH)}) WHERE n > 0"""

@@ -32,7 +32,7 @@ ROWS = {
     "anomaly_depth": "M6, M7", "anomaly_rate": "M8", "anomaly_rows": "F11, M8", "anomaly_forest": "M5",
     "one_hot": "M4", "cost_drivers": "M1, M2", "cost_driver_metrics": "M3", "top_drivers": "O4",
     "fit_score_regression": "M10, M11, M13", "fit_score_classifier": "M12, M13",
-    "sample_rows": "O5", "insight_context": "C1", "chat_context": "C2",
+    "sample_rows": "O5", "insight_context": "C1", "insight_context_anomalies": "C1 (+ anomaly line), M8", "chat_context": "C2",
     "load_csv": "S1", "load_table": "S3", "load_workbooks": "S2", "save_dataset": "S5",
     "export_results": "S6", "stream_daily_kpis": "§2.15",
 }
