@@ -12,7 +12,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import NA_TOKENS
 
 
 class LoadError(ValueError):
@@ -107,9 +106,6 @@ def export_results(df: DataFrame, path: str) -> str:
     return path
 
 
-__all__ = ["NA_TOKENS", "LoadError", "load_csv", "load_table", "write_csv", "save_dataset",
-           "load_dataset", "export_results"]
-
 
 class DatasetNotFound(KeyError):
     """No stored dataset under the given id (the registry's 'not found')."""
