@@ -1,0 +1,2 @@
+"""Column expressions shared by the operators (numbers, dates, categories,
+names, guarded ratios)."""

@@ -1,0 +1,2 @@
+"""Sources and sinks: driver-table views, CSV / workbook / Parquet readers,
+dataset and session stores, JSON export."""

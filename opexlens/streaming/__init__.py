@@ -1,0 +1 @@
+"""Structured Streaming: watermarked daily OpEx windows per site."""
