@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from opexlens.llm import mixing, packing, sharding
+from opexlens.llm import mixing, packing, quality, sharding, sketches
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_quality": quality.op5_quality,
+    "op10_fingerprints": sketches.op10_fingerprints,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_quality": quality.OP5_SQL,
+}
