@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from opexlens.llm import mixing, packing, quality, sharding, sketches
+from opexlens.llm import mixing, packing, quality, sharding, sketches, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op5_quality": quality.op5_quality,
+    "op6_substrings": substrings.op6_substrings,
     "op10_fingerprints": sketches.op10_fingerprints,
 }
 
 ORACLE: dict[str, str] = {
     "op5_quality": quality.OP5_SQL,
+    "op6_substrings": substrings.OP6_SQL,
 }
