@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from opexlens.llm import mixing, packing, quality, sharding, sketches, substrings
+from opexlens.llm import jaccard, mixing, packing, quality, sharding, sketches, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_near_duplicates": jaccard.op4_near_duplicates,
     "op5_quality": quality.op5_quality,
     "op6_substrings": substrings.op6_substrings,
     "op10_fingerprints": sketches.op10_fingerprints,
