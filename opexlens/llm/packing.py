@@ -183,12 +183,11 @@ def load_encoder(vocabulary: str):
     return encode
 
 
-def _tokenize(vocabulary: str, end_id: int, id_col: str):
+def _tokenize(vocabulary: str, end_id: int, keep: list[str]):
     def run(batches):
         encode = load_encoder(vocabulary)
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("mid")
-            keys = batch.column(id_col)
+            texts = batch.column("text")
             out, counts, held, first = [], [], 0, 0
             for i, text in enumerate(texts):
                 got = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
@@ -200,23 +199,23 @@ def _tokenize(vocabulary: str, end_id: int, id_col: str):
                 held += len(out[-1])
                 if held > 8 << 20 or i + 1 == len(texts):
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(first, len(out)), keys.slice(first, len(out)), pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
-                        ["mid", "key", "n", "ids"])
+                        [batch.column(c).slice(first, len(out)) for c in keep] + [pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
+                        keep + ["n", "ids"])
                     first, out, counts, held = i + 1, [], [], 0
     return run
 
 
-def _emit(layout: dict, full_first: dict, stream_first: int, width: int):
+def _emit(layout: dict, full_first: dict, stream_first: int, width: int, keep: list[str]):
     """Arrow step: token rows with their rank -> pieces."""
     def run(batches):
         for pdf in batches:
             out = []
-            for key, n, ids, rank, full in zip(pdf["key"], pdf["n"], pdf["ids"], pdf["rank"], pdf["full"]):
+            for *key, n, ids, rank, full in zip(*[pdf[c] for c in keep], pdf["n"], pdf["ids"], pdf["rank"], pdf["full"]):
                 tokens = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 whole, rest = divmod(int(n), width)
                 full = int(full)
                 for k in range(whole):
-                    out.append((key, k * width, width, zlib.crc32(tokens[k * width:(k + 1) * width].tobytes()), n, full_first[rest] + full + k, 0))
+                    out.append((*key, k * width, width, zlib.crc32(tokens[k * width:(k + 1) * width].tobytes()), n, full_first[rest] + full + k, 0))
                 if not rest:
                     continue
                 rows, left_rank, position = layout[rest]
@@ -225,32 +224,33 @@ def _emit(layout: dict, full_first: dict, stream_first: int, width: int):
                 if rank < left_rank:
                     first, copies, times, sequence, offset = (int(v) for v in rows[i])
                     copy, turn = divmod(int(rank) - first, times)
-                    out.append((key, at, rest, zlib.crc32(tokens[at:].tobytes()), n, sequence + turn, offset + copy * rest))
+                    out.append((*key, at, rest, zlib.crc32(tokens[at:].tobytes()), n, sequence + turn, offset + copy * rest))
                     continue
                 p = position + (int(rank) - left_rank) * rest
                 while rest:
                     piece = min(rest, width - p % width)
-                    out.append((key, at, piece, zlib.crc32(tokens[at:at + piece].tobytes()), n, stream_first + p // width, p % width))
+                    out.append((*key, at, piece, zlib.crc32(tokens[at:at + piece].tobytes()), n, stream_first + p // width, p % width))
                     at, p, rest = at + piece, p + piece, rest - piece
-            yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pd.DataFrame(out, columns=[*keep, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     return run
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, width: int = WIDTH, end_id: int = END_ID,
-         max_waste: int = 0) -> DataFrame:
+         max_waste: int = 0, carry: list[str] | None = None) -> DataFrame:
     """One row per piece: the id column, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset.  Other columns of ``df`` are not read.
+    doc_tokens, sequence_id, offset, then the columns named in ``carry``.
+    Other columns of ``df`` are not read.
 
     Null and empty texts are one end id.  Repeated rows are packed each; an
     empty table gives no rows.  ``vocabulary`` is the tokenizer file."""
     if vocabulary is None:
         import public_tokenizers
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    key_type = df.schema[id_col].dataType.simpleString()
-    spark = df.sparkSession
-    source = df.select(F.col(id_col).alias("key"), "text", F.monotonically_increasing_id().alias("mid"))
+    spark, kept = df.sparkSession, {f"k{i}": c for i, c in enumerate([id_col, *(carry or [])])}
+    fields = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for k, c in kept.items())
+    source = df.select("text", F.monotonically_increasing_id().alias("mid"), *[F.col(f"`{c}`").alias(k) for k, c in kept.items()])
     with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        tokens = stage(source.mapInArrow(_tokenize(vocabulary, end_id, "key"), f"mid long, key {key_type}, n long, ids binary"), "pack-ids")
+        tokens = stage(source.mapInArrow(_tokenize(vocabulary, end_id, ["mid", *kept]), f"mid long, {fields}, n long, ids binary"), "pack-ids")
 
     # Rank of each document within its remainder length, and the full
     # sequences before it.  A length may hold a third of all rows, so ranks
@@ -272,10 +272,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, w
              .withColumn("f0", F.sum("whole").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole"))
              .join(shifts, ["rest", "salt"])
              .select("mid", (F.col("r0") + F.col("c0")).alias("rank"), (F.col("f0") + F.col("w0")).alias("full")))
-    return tokens.join(ranks, "mid").mapInPandas(
-        _emit(layout, full_first, n_patterns, width),
-        f"key {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-    ).withColumnRenamed("key", id_col)
+    values = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = tokens.join(ranks, "mid").mapInPandas(
+        _emit(layout, full_first, n_patterns, width, list(kept)), f"{fields}, " + ", ".join(f"{v} long" for v in values))
+    return pieces.select(F.col("k0").alias(id_col), *values, *[F.col(k).alias(c) for k, c in list(kept.items())[1:]])
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

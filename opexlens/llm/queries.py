@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opexlens.llm import html_text, jaccard, lines, mixing, packing, quality, sharding, sketches, substrings
+from opexlens.llm import html_text, jaccard, lines, mixing, packing, quality, sharding, sketches, substrings, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_duplicates": jaccard.op4_near_duplicates,
     "op5_quality": quality.op5_quality,
     "op6_substrings": substrings.op6_substrings,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_lines": lines.op8_lines,
     "op9_html": html_text.op9_html,
     "op10_fingerprints": sketches.op10_fingerprints,
