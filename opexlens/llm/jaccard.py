@@ -244,19 +244,35 @@ def in_blocks(df: DataFrame, key: str, size: str, member: str, most: int) -> Dat
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node connected to each node of the edges
-    (a, b).  Every round takes the smallest label next door, then the label's
-    own label; rounds are written tables, and it ends when none changes."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels = stage(labels, "cc-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("n1")).agg(F.min("root").alias("r1"))
-        hooked = labels.join(near, labels["node"] == near["n1"]).select("node", F.col("root").alias("old"), F.least("root", "r1").alias("new"))
-        parent = hooked.select(F.col("node").alias("p"), F.col("new").alias("grand"))
-        step = stage(hooked.join(parent, hooked["new"] == parent["p"]).select("node", F.least("new", "grand").alias("root"), "old"), "cc-labels")
-        labels = step.select("node", "root")
-        if step.where("root <> old").isEmpty():
-            return labels
+    (a, b).
+
+    Contraction: every node joins the first of its neighbours and itself in
+    hash order (a seeded order leaves no long chains), joined nodes become
+    one, and the edges between different ones go to the next round, until
+    none is left.  A star of any size is gone after two or three rounds."""
+    def undirected(a, b):
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    left = stage(edges.where("a <> b").select(*undirected("a", "b")).distinct(), "cc-edges")
+    merged = None
+    while not left.isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
+        own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
+        up = stage(first.select("node", F.least("m", own)["v"].alias("up")), "cc-up")
+        if merged is None:
+            merged = up.withColumnRenamed("up", "now")
+        else:
+            merged = merged.join(up.withColumnRenamed("node", "n"), F.col("now") == F.col("n"), "left") \
+                .select("node", F.coalesce("up", "now").alias("now"))
+        merged = stage(merged, "cc-merged")
+        ends = [up.select(F.col("node").alias(f"n{c}"), F.col("up").alias(f"u{c}")) for c in "ab"]
+        left = stage(left.join(ends[0], F.col("a") == F.col("na")).join(ends[1], F.col("b") == F.col("nb"))
+                     .where("ua <> ub").select(*undirected("ua", "ub")).distinct(), "cc-edges")
+    if merged is None:
+        return edges.sparkSession.createDataFrame([], "node long, root long")
+    least = merged.groupBy("now").agg(F.min("node").alias("root"))
+    return merged.join(least, "now").select("node", "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", up: int = 4, down: int = 5, tolerance: float = 1e-6) -> DataFrame:
