@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from opexlens.llm.common import communication_matrix, fresh, permute, stage, table
 
 CHUNK = 1000
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 10_000
 
 
 def _permute_udf():
