@@ -18,7 +18,13 @@ from opexlens.session import shared_path
 # Word characters of every operator: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Settings of the jobs that write a stage: shuffle files go when the table is
+# written; Arrow batches stay small, as texts may be long.
+STAGE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +61,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     job's shuffle files are released as soon as the table is written."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}")
-    with settings(spark, **{_CLEANUP: "true"}):
+    with settings(spark, **STAGE_SETTINGS):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path

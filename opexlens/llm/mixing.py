@@ -96,7 +96,7 @@ def _quotas(sources: DataFrame, block_words: int, shards: int, seed: int) -> Dat
     tree = splitting_tree(chunks["q"].to_numpy(np.int64), shards, np.random.default_rng([seed, 0])) if len(chunks) else []
     per_chunk = {int(c): tree[i].tolist() for i, c in enumerate(chunks["chunk"])}
 
-    def deal(key, part: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rng, left = np.random.default_rng([seed, 1, int(key[0])]), part.sort_values("source_rank")
         rest = left["quota"].to_numpy(np.int64).copy()
         edges = np.zeros((len(left), shards + 1), np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opexlens.llm.common import partitions, settings, stage, table
+from opexlens.llm.common import partitions, stage, table
 
 WIDTH = 1024
 END_ID = 0
@@ -249,8 +249,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, w
     spark, kept = df.sparkSession, {f"k{i}": c for i, c in enumerate([id_col, *(carry or [])])}
     fields = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for k, c in kept.items())
     source = df.select("text", F.monotonically_increasing_id().alias("mid"), *[F.col(f"`{c}`").alias(k) for k, c in kept.items()])
-    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        tokens = stage(source.mapInArrow(_tokenize(vocabulary, end_id, ["mid", *kept]), f"mid long, {fields}, n long, ids binary"), "pack-ids")
+    tokens = stage(source.mapInArrow(_tokenize(vocabulary, end_id, ["mid", *kept]), f"mid long, {fields}, n long, ids binary"), "pack-ids")
 
     # Rank of each document within its remainder length, and the full
     # sequences before it.  A length may hold a third of all rows, so ranks

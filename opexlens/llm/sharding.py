@@ -54,7 +54,7 @@ def shard(df: DataFrame, n_shards: int = 40, seed: int = 7) -> DataFrame:
     firsts = np.cumsum(drawn, axis=0) - drawn
     per_chunk = {int(c): (drawn[i].tolist(), firsts[i].tolist()) for i, c in enumerate(chunks["chunk"])}
 
-    def deal(key, part: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pid")
         own, first = per_chunk[int(key[0])]
         table = communication_matrix(part["n"].to_numpy(np.int64), np.array(own, np.int64), np.random.default_rng([seed, 1, int(key[0])]))

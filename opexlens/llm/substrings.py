@@ -20,8 +20,8 @@ window exists in every occurrence of that window.
 3. Documents drop the words covered by repeated windows.
 
 Fingerprints are compared as pairs of independent 64-bit values.  Equal rows
-of one Arrow batch are reduced before every shuffle, so a passage or document
-in a third of the corpus costs one row per batch and symbol.
+of a task (half a million at a time) are reduced before every shuffle, so a
+passage or document in a third of the corpus costs a row per symbol and task.
 """
 
 from __future__ import annotations
@@ -161,10 +161,13 @@ def _reduce(key: np.ndarray, span: np.ndarray, doc_id: np.ndarray) -> np.ndarray
 _ROW = "key long, span long, doc_id long, place long, again boolean"
 
 
-def _batch(parts: list, text_hash: np.ndarray) -> pa.RecordBatch:
-    doc_id, row, start, count, key, span = (np.concatenate(x) for x in zip(*parts))
+_FLUSH = 1 << 19  # rows gathered over batches before they are reduced
+
+
+def _batch(parts: list) -> pa.RecordBatch:
+    doc_id, tag, start, count, key, span = (np.concatenate(x) for x in zip(*parts))
     again = _reduce(key, span, doc_id)
-    place = (text_hash[row].astype(np.int64) << (_START_BITS + _N_BITS)) | (start << _N_BITS) | count
+    place = (tag.astype(np.int64) << (_START_BITS + _N_BITS)) | (start << _N_BITS) | count
     with np.errstate(over="ignore"):  # settled rows only pass through: spread them
         key = np.where(again, mix64(place.astype(np.uint64) + doc_id.astype(np.uint64) * _A), key)
     return pa.RecordBatch.from_arrays(
@@ -172,25 +175,39 @@ def _batch(parts: list, text_hash: np.ndarray) -> pa.RecordBatch:
         ["key", "span", "doc_id", "place", "again"])
 
 
+def _reduced(parts):
+    """Gathers the parts of several batches, so that reduction pays."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows >= _FLUSH:
+            yield _batch(held)
+            held, rows = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _symbols(size: int, rounds: int):
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tags, parts = batch.column("tag").to_numpy(zero_copy_only=False), []
+            tags = batch.column("tag").to_numpy(zero_copy_only=False)
             for lo, texts in text_blocks(batch.column("text")):
                 row, start, count, key, span = _window_rows(texts, size, rounds)
-                parts.append((ids[row + lo], row + lo, start, count, key, span))
-            if parts:
-                yield _batch(parts, tags)
+                yield ids[row + lo], tags[row + lo], start, count, key, span
+
+    def run(batches):
+        yield from _reduced(parts(batches))
     return run
 
 
 def _windows(size: int):
     """Documents with the places to settle -> one row per window there."""
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tags, places, parts = batch.column("tag").to_numpy(zero_copy_only=False), batch.column("places"), []
+            tags, places = batch.column("tag").to_numpy(zero_copy_only=False), batch.column("places")
             for lo, texts in text_blocks(batch.column("text")):
                 first, _, one, two = _parse(texts)
                 for i in range(len(texts)):
@@ -199,9 +216,11 @@ def _windows(size: int):
                     start = np.repeat((place >> _N_BITS) & ((1 << _START_BITS) - 1), count)
                     start = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                     at = start + first[i]
-                    parts.append((np.full(len(at), ids[lo + i]), np.full(len(at), lo + i), start, np.ones(len(at), np.int64), one.of(at, at + size), two.of(at, at + size)))
-            if parts:
-                yield _batch(parts, tags)
+                    yield (np.full(len(at), ids[lo + i]), np.full(len(at), tags[lo + i]), start, np.ones(len(at), np.int64),
+                           one.of(at, at + size), two.of(at, at + size))
+
+    def run(batches):
+        yield from _reduced(parts(batches))
     return run
 
 
