@@ -11,13 +11,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, ratio_pct, sum0
 from ..plans.ranking import with_global_offsets
 from ..schema import KPI_LABELS, MONEY_LABEL_WORDS, NOT_AVAILABLE, UTILIZATION_LABEL_WORD
-from ..session import cut_lineage, small_frame
+from ..session import small_frame
 
 
 def _has(df: DataFrame, *cols: str) -> bool:
@@ -36,6 +36,13 @@ def _ranked_ends(grouped: DataFrame, name: str, measure: str) -> tuple[Column, C
     return first, last
 
 
+def _ends(name: str, measure: str, first: str, last: str) -> list[Column]:
+    """The same ends as aggregates over rows that carry their group's measure."""
+    key = F.struct((-F.col(measure)).alias("m"), F.col(name).alias("n"))
+    return [F.coalesce(F.min_by(name, key), F.lit(NOT_AVAILABLE)).alias(first),
+            F.coalesce(F.max_by(name, key), F.lit(NOT_AVAILABLE)).alias(last)]
+
+
 def factory_costs(df: DataFrame) -> DataFrame:
     return df.groupBy("factory").agg(sum0("total_opex").alias("total_opex"))
 
@@ -50,20 +57,26 @@ def kpis(df: DataFrame) -> DataFrame:
     or OpEx per unit of energy.
 
     The records are read once: one aggregate per (factory, shift) cell
-    carries every sum and count and is written to the shared folder; the
-    totals, the factory ranking and the shift ranking all read that small
-    table.  (Left lazy, column pruning gives each consumer a slightly
-    different aggregate, no exchange is reused, and the records would be
-    scanned three times.)"""
+    carries every sum and count, windows over the cells add each cell's
+    factory and shift totals, and one last aggregate takes the sums and the
+    ends of both rankings.  Nothing is written."""
     measures = [c for c in ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]
                 if c in df.columns]
     if not measures:
         return df.sparkSession.range(1).select()
     dims = [c for c in ["factory", "shift"] if c in df.columns and "total_opex" in df.columns]
-    cells = cut_lineage(df.groupBy(*dims).agg(
+    cells = df.groupBy(*dims).agg(
         *[F.sum(c).alias(c) for c in measures],
-        *([F.count("total_opex").alias("_n")] if "shift" in dims else [])), "kpi-cells")
-    base = cells.agg(*[sum0(c).alias(c) for c in measures])
+        *([F.count("total_opex").alias("_n")] if "shift" in dims else []))
+    ends: list[Column] = []
+    if "factory" in dims:
+        cells = cells.withColumn("_factory", F.coalesce(F.sum("total_opex").over(Window.partitionBy("factory")), F.lit(0.0)))
+        ends += _ends("factory", "_factory", "top_factory", "bottom_factory")
+    if "shift" in dims:
+        by_shift = Window.partitionBy("shift")
+        cells = cells.withColumn("_shift", F.sum("total_opex").over(by_shift) / F.sum("_n").over(by_shift))
+        ends += _ends("shift", "_shift", "most_expensive_shift", "cheapest_shift")
+    base = cells.agg(*[sum0(c).alias(c) for c in measures], *ends)
     s = {c: F.col(c) for c in measures}
     out: dict[str, Column] = {}
     if "total_opex" in s:
@@ -83,11 +96,9 @@ def kpis(df: DataFrame) -> DataFrame:
         out["energy_efficiency"] = ratio(s["total_opex"], s["total_energy"])
         out["efficiency_basis"] = F.lit("opex")
     if "factory" in dims:
-        fc = cells.groupBy("factory").agg(sum0("total_opex").alias("total_opex"))
-        out["top_factory"], out["bottom_factory"] = _ranked_ends(fc, "factory", "total_opex")
+        out["top_factory"], out["bottom_factory"] = F.col("top_factory"), F.col("bottom_factory")
     if "shift" in dims:
-        sc = cells.groupBy("shift").agg((F.sum("total_opex") / F.sum("_n")).alias("avg_opex"))
-        out["most_expensive_shift"], out["cheapest_shift"] = _ranked_ends(sc, "shift", "avg_opex")
+        out["most_expensive_shift"], out["cheapest_shift"] = F.col("most_expensive_shift"), F.col("cheapest_shift")
     if "hr_cost" in s and "total_opex" in s:
         out["hr_percent"] = ratio_pct(s["hr_cost"], s["total_opex"])
     if "admin_cost" in s and "total_opex" in s:
@@ -153,15 +164,12 @@ def most_expensive(df: DataFrame) -> DataFrame:
 
 def filter_values(df: DataFrame) -> DataFrame:
     """Distinct factories and shifts for the filter lists (A13), as rows
-    ``(dimension, value)``; sort at display time."""
-    parts = [df.select(F.lit(c).alias("dimension"), F.col(c).alias("value"))
-             for c in ["factory", "shift"] if c in df.columns]
-    if not parts:
+    ``(dimension, value)``, in one scan; sort at display time."""
+    dims = [c for c in ["factory", "shift"] if c in df.columns]
+    if not dims:
         return small_frame(df.sparkSession, [], "dimension string, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("value").isNotNull()).distinct()
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dims])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
 
 
 def filter_ranges(df: DataFrame) -> DataFrame:

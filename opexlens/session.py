@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,28 +66,35 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present; only when it is
-    unset (local tests) a folder of our own is created."""
+    The cluster's setting is always used when present.  Only a local session
+    (one machine, as in tests) gets a folder of its own when it is unset; on
+    a cluster a machine-local folder would lose data, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="opexlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared checkpoint folder, for written tables
-    that cut lineage (survives executor loss, unlike local checkpoints)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+# Open scopes, innermost last; the outermost collects what is written
+# outside any ``stage_scope``.
+_SCOPES: list[list[str]] = [[]]
 
 
-# Tables written by cut_lineage in this process, for release_stage_tables.
-_STAGE_TABLES: list[str] = []
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path inside the shared checkpoint folder, for written tables
+    that cut lineage (survives executor loss, unlike local checkpoints).  It
+    belongs to the innermost open ``stage_scope``."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCOPES[-1].append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -94,24 +102,41 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     and continue from it (never a local checkpoint).  One pass: unlike
     ``DataFrame.checkpoint`` the input is not computed a second time for
     the write, and a lost executor only costs re-reading the files."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    _STAGE_TABLES.append(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def release_stage_tables(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote (Hadoop FileSystem
-    API, so local, HDFS and object-store folders alike).  Call it only after
-    every DataFrame built on them has been collected or written.  Returns
-    the number of tables removed."""
-    jvm = spark.sparkContext._jvm
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    """Delete through the Hadoop FileSystem API (local, HDFS and object
+    stores alike); returns how many existed."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
-    while _STAGE_TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
+    while paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p) and fs.delete(p, True):
             removed += 1
     return removed
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Everything written to the shared folder inside the block (stage
+    tables, CSV, workbooks, datasets, stream folders) is deleted at its end.
+    Collect or write the block's results inside it; tables of other scopes
+    are left alone."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        _delete(spark, paths)
+
+
+def release_stage_tables(spark: SparkSession) -> int:
+    """Delete what was written outside any open ``stage_scope``.  Call it
+    only after every DataFrame built on it has been collected or written.
+    Returns the number of paths removed."""
+    return _delete(spark, _SCOPES[0])
