@@ -11,14 +11,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import sum0
-from ..plans.ranking import exact_quantiles
+from ..functions.values import is_numeric_type, sum0
+from ..plans.ranking import column_quantiles
 from ..session import cut_lineage, small_frame
 from ..schema import COST_COMPONENTS, ENERGY_COLUMNS, ENERGY_MIX_NAMES
 
-MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admin_cost",
-            "other_cost", "revenue", "profit", "total_opex", "total_energy"]
-
 _TRUNC = {"D": None, "W": "week", "M": "month"}
 
 
@@ -43,16 +40,27 @@ def cost_composition(df: DataFrame) -> DataFrame:
     return wide.unpivot("factory", comps, "component", "cost")
 
 
+def factory_shift_cells(df: DataFrame) -> DataFrame:
+    """Sum of total_opex per (factory, shift) that occurs, long form (V4):
+    one grouped aggregate, whatever the number of sites and shifts."""
+    if not all(c in df.columns for c in ("factory", "shift", "total_opex")):
+        return small_frame(df.sparkSession, [], "factory string, shift string, total_opex double")
+    return df.groupBy("factory", "shift").agg(sum0("total_opex").alias("total_opex"))
+
+
 def factory_shift_matrix(df: DataFrame, shifts: list[str] | None = None) -> DataFrame:
-    """Factory x shift sums of total_opex, absent cells 0 (V4).  The shift
-    values become columns, so they are listed up front (distinct shifts are
-    read once when not given)."""
+    """The same cells as a factory x shift table, absent cells 0 (V4).  The
+    records are read once, into the cells; the shifts become columns, so
+    this form is for a number of shifts that fits a table's width (the long
+    form has no such bound)."""
     if not all(c in df.columns for c in ("factory", "shift", "total_opex")):
         return small_frame(df.sparkSession, [], "factory string")
+    cells = factory_shift_cells(df)
     if shifts is None:
-        shifts = sorted(r[0] for r in df.select("shift").distinct().collect())
-    return (df.groupBy("factory").pivot("shift", shifts).agg(F.sum("total_opex"))
-              .na.fill(0.0, subset=shifts))
+        cells = cut_lineage(cells, "cells")
+        shifts = sorted(r[0] for r in cells.select("shift").where(F.col("shift").isNotNull()).distinct().collect())
+    return (cells.groupBy("factory").pivot("shift", shifts).agg(F.sum("total_opex"))
+                 .na.fill(0.0, subset=shifts))
 
 
 def energy_mix(df: DataFrame) -> DataFrame:
@@ -71,17 +79,18 @@ def energy_mix(df: DataFrame) -> DataFrame:
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    return [c for c in MEASURES if c in df.columns]
+    """Every numeric column, in schema order."""
+    return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
 def describe(df: DataFrame, digits: int = 6, exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
-    """count, mean, std (sample), min, 25%, 50%, 75%, max of each measure
-    and of ``date`` (V6), long form ``(column, statistic, value)``.  Date
-    statistics are in days since 1970-01-01 and have no std.
+    """count, mean, std (sample), min, 25%, 50%, 75%, max of each numeric
+    column and of ``date`` (V6), long form ``(column, statistic, value)``.
+    Date statistics are in days since 1970-01-01 and have no std.
 
-    Quartiles are exact and interpolated, computed without holding a column
-    in one task (one written table of distinct values per column).  With
+    Quartiles are exact and interpolated; of the records only the values in
+    narrow brackets around them are shuffled (``column_quantiles``).  With
     ``exact=False`` they come from ``percentile_approx`` instead: a bounded
     sketch in the same single aggregate as the moments (relative rank error
     about 1/accuracy, no interpolation), for very large inputs."""
@@ -114,12 +123,7 @@ def describe(df: DataFrame, digits: int = 6, exact: bool = True,
                                            F.col("i") + 1).alias("statistic"), "value")
         out = long.unionByName(qs)
         return out.select("column", "statistic", F.round("value", digits).alias("value"))
-    # Quartiles: every (column, value) pair with its count, written once.
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in vals.items()])).alias("e")) \
-        .select("e.column", "e.v").where(F.col("v").isNotNull())
-    dist = cut_lineage(stacked.groupBy("column", "v").agg(F.count("*").alias("w")), "describe")
-    qs = exact_quantiles(dist, "v", [0.25, 0.5, 0.75], ["column"], weight_col="w", summarized=True).select(
+    qs = column_quantiles(df, vals, [0.25, 0.5, 0.75], accuracy).select(
         "column", F.concat((F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
         "value")
     out = long.unionByName(qs)
@@ -127,7 +131,7 @@ def describe(df: DataFrame, digits: int = 6, exact: bool = True,
 
 
 def correlation(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Pearson correlation of every pair of measures, one ``agg`` (V7);
+    """Pearson correlation of every pair of numeric columns, one ``agg`` (V7);
     long form ``(column_a, column_b, corr)`` with column_a before column_b."""
     cols = numeric_columns(df)
     pairs = list(combinations(cols, 2))
