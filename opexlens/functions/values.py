@@ -38,7 +38,22 @@ DATE_FORMATS = [
     ("MMM d, yyyy", rf"^[A-Za-z]{{3}} {_D}, [0-9]{{4}}$"),
     ("MMMM d, yyyy", rf"^{_MON} {_D}, [0-9]{{4}}$"),
     ("yyyyMMdd", r"^[0-9]{8}$"),
+    ("M/d/yyyy H:mm", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}$"),
+    ("d/M/yyyy H:mm", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}$"),
+    ("M/d/yyyy H:mm:ss", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$"),
+    ("d/M/yyyy H:mm:ss", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$"),
+    ("M/d/yyyy h:mm a", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}} [AaPp][Mm]$"),
+    ("M/d/yy", rf"^{_D}/{_D}/[0-9]{{2}}$"),
+    ("d/M/yy", rf"^{_D}/{_D}/[0-9]{{2}}$"),
+    ("d.M.yyyy", rf"^{_D}[.]{_D}[.][0-9]{{4}}$"),
+    ("d-MMM-yyyy", rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{4}}$"),
+    ("d-MMM-yy", rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{2}}$"),
+    ("MMM d yyyy", rf"^[A-Za-z]{{3}} {_D} [0-9]{{4}}$"),
+    ("MMMM d yyyy", rf"^{_MON} {_D} [0-9]{{4}}$"),
+    ("yyyy-M", rf"^[0-9]{{4}}-{_D}$"),
 ]
+# ISO date and time with fractions of a second or a zone: Spark's own cast.
+ISO_TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"
 
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                   T.FloatType, T.DoubleType, T.DecimalType)
@@ -73,12 +88,14 @@ def to_timestamp_any(c: Column, dtype: T.DataType) -> Column:
     """Parse a date column; unparseable values become null.
 
     Dates and timestamps pass through unchanged (no parsing on typed
-    input); text is tried against every format in DATE_FORMATS per row."""
+    input); text is tried against every format in DATE_FORMATS per row, then
+    as an ISO timestamp with fraction or zone.  Two-digit years are 20xx."""
     if is_temporal_type(dtype):
         return c
     s = F.trim(c.cast("string"))
     return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
-                        for fmt, shape in DATE_FORMATS])
+                        for fmt, shape in DATE_FORMATS],
+                      F.when(s.rlike(ISO_TIMESTAMP), s.try_cast("timestamp")))
 
 
 def to_category(c: Column) -> Column:

@@ -11,13 +11,13 @@ size).
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import (
-    is_temporal_type, normalized_names, to_category, to_number, to_timestamp_any,
+    is_temporal_type, normalized_names, null_token, to_category, to_number, to_timestamp_any,
 )
 from ..plans.ranking import dense_rank_distinct
 from ..schema import (
@@ -51,12 +51,13 @@ def coerce_dates(df: DataFrame) -> DataFrame:
 
 def drop_bad_dates(df: DataFrame) -> DataFrame:
     """Drop rows whose date is null, for each date column that has at least
-    one good value; the first date column is renamed ``date`` (P5).
+    one good value; the first usable date column is renamed ``date`` (P5).
 
     "Has a good value" is an EXISTS probe (a scalar sub-query over
     ``limit(1)``): Spark stops at the first non-null date instead of
     parsing the whole column a second time.  Columns are checked in order,
-    each on the rows the earlier ones kept."""
+    each on the rows the earlier ones kept.  Only with several candidates
+    and no ``date`` among them, one aggregate finds the first usable one."""
     cols = date_columns(df)
     if not cols:
         return df
@@ -67,10 +68,36 @@ def drop_bad_dates(df: DataFrame) -> DataFrame:
             F.lit(False))
         out = out.where(F.col(c).isNotNull() | ~has_good)
     if "date" not in df.columns:
-        out = out.withColumnRenamed(cols[0], "date")
+        first = cols[0]
+        if len(cols) > 1:
+            good = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+            first = next((c for c in cols if good[c]), first)
+        out = out.withColumnRenamed(first, "date")
     return out
 
 
+def dropped_rows(df: DataFrame) -> DataFrame:
+    """How many rows cleaning drops for an unreadable date: ``(rows,
+    dropped)`` of an upload before cleaning."""
+    typed = coerce_dates(normalize_columns(df))
+    cols = date_columns(typed)
+    counts = typed.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"good_{c}") for c in cols],
+                       F.count(F.when(reduce(and_, [F.col(c).isNotNull() for c in cols]), 1)).alias("all_good")) if cols else None
+    if len(cols) <= 1:
+        if not cols:
+            return df.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("dropped"))
+        return counts.select("rows", F.when(F.col("all_good") > 0, F.col("rows") - F.col("all_good")).otherwise(0).cast("long").alias("dropped"))
+    kept = drop_bad_dates(typed).agg(F.count("*").alias("kept")).scalar()
+    return counts.select("rows", (F.col("rows") - kept).cast("long").alias("dropped"))
+
+
+def null_tokens(df: DataFrame) -> DataFrame:
+    """Text that a file reader treats as missing becomes null, in every text
+    column (S4)."""
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return df.withColumns({c: null_token(F.col(f"`{c}`")) for c in texts}) if texts else df
+
+
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """Known measure columns to double; unreadable or missing -> 0."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -118,6 +145,7 @@ def encode_shift(df: DataFrame) -> DataFrame:
 def clean(df: DataFrame, with_shift_code: bool = True) -> DataFrame:
     """Full cleaning pipeline."""
     out = (df.transform(normalize_columns)
+             .transform(null_tokens)
              .transform(coerce_dates)
              .transform(drop_bad_dates)
              .transform(coerce_numeric)

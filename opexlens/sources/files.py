@@ -8,23 +8,54 @@ columns, row by row, on the executors.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.filters import filter_dates
 
+MONTH = "_month"  # partition folder of saved datasets
 
 class LoadError(ValueError):
     """Any failure to read an upload, reported as one error."""
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Comma-separated file(s) with a header; every cell read as text,
-    blank lines skipped.  Null tokens are handled by the cleaning step (a
-    CSV reader takes only one null marker)."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-                 .option("mode", "PERMISSIVE").option("multiLine", False)
-                 .csv(path))
+def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Comma-separated file(s) with a header; every cell read as text, blank
+    lines skipped, quotes doubled inside quoted cells.  Null tokens are
+    handled by the cleaning step (a CSV reader takes only one null marker).
+
+    Files of a folder may have different headers: files are grouped by their
+    header and the groups united by column name.  ``multi_line`` reads line
+    feeds inside quoted cells, at the price of one task per file; without it
+    large files are split."""
+    options = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(), "escape": '"'}
+    reader = spark.read.options(**options)
+    groups: dict[tuple, list[str]] = {}
+    for f in _csv_files(spark, path):
+        groups.setdefault(_first_record(spark, f), []).append(f)
+    if len(groups) < 2:
+        return reader.csv(path)
+    parts = [reader.csv(files) for _, files in sorted(groups.items(), key=lambda g: g[1][0])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a folder (metadata only), in name order."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath) or not fs.getFileStatus(hpath).isDirectory():
+        return []
+    return sorted(str(st.getPath().toString()) for st in fs.listStatus(hpath)
+                  if st.isFile() and st.getLen() and not st.getPath().getName().startswith(("_", ".")))
+
+
+def _first_record(spark: SparkSession, file: str) -> tuple:
+    """Column names of a CSV file as Spark's reader sees them (it reads the
+    start of the file only)."""
+    return tuple(spark.read.options(header="true", escape='"', multiLine="false").csv(file).columns)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -75,29 +106,27 @@ def save_dataset(df: DataFrame, path: str, partition_by_month: bool = True,
     """Persist cleaned records as Parquet (S5), partitioned by month so date
     filters prune whole folders.
 
-    Rows are shuffled on (month, salt), the salt being a row hash modulo the
-    shuffle partition count: a month holding a third of all rows is spread
-    over every writer instead of one, and each writer still touches few
-    month folders.  Files are capped at ``max_records_per_file`` rows."""
-    writer_opts = {"maxRecordsPerFile": str(max_records_per_file)}
+    Rows are rebalanced by month: each month goes to one writer task, and a
+    month far larger than the advisory partition size is split over as many
+    as it needs.  Files are capped at ``max_records_per_file`` rows."""
+    options = {"maxRecordsPerFile": str(max_records_per_file)}
     if partition_by_month and "date" in df.columns:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts))
-        out = (df.withColumn("month", F.date_format("date", "yyyy-MM"))
-                 .repartition(parts, "month", salt))
-        out.write.mode("overwrite").options(**writer_opts).partitionBy("month").parquet(path)
+        out = df.withColumn(MONTH, F.date_format("date", "yyyy-MM")).hint("rebalance", MONTH)
+        out.write.mode("overwrite").options(**options).partitionBy(MONTH).parquet(path)
     else:
-        df.write.mode("overwrite").options(**writer_opts).parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
     return path
 
 
 def load_dataset(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Read a saved dataset; with a date range, the month partitions outside
-    it are pruned before any file is opened."""
+    """Read a saved dataset; with a date range (both ends included) only its
+    rows, and months outside it are pruned before any file is opened."""
     df = spark.read.parquet(path)
-    if start is not None and end is not None and "month" in df.columns:
-        df = df.where(F.col("month").between(str(start)[:7], str(end)[:7]))
-    return df
+    if MONTH not in df.columns:
+        return df if start is None or end is None else filter_dates(df, start, end)
+    if start is not None and end is not None:
+        df = filter_dates(df.where(F.col(MONTH).between(str(start)[:7], str(end)[:7])), start, end)
+    return df.drop(MONTH)
 
 
 def export_results(df: DataFrame, path: str) -> str:

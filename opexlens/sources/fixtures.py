@@ -98,17 +98,3 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         num_text(m["other_cost"], 6, 1).alias("Other Cost"),
         num_text(m["revenue"], 7, 3).alias("Revenue"),
     )
-
-
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost records from the ``events`` stream table: the event type plays
-    the factory, ``floor(value * 100)`` the cost, and ``ts`` (a
-    TIMESTAMP_NTZ in the files) is cast to TIMESTAMP so watermarks accept it."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    return ev.select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.to_date(F.col("ts")).alias("date"),
-        F.col("event_type").alias("factory"),
-        F.floor(F.col("value") * F.lit(100.0)).cast("double").alias("total_opex"),
-    )

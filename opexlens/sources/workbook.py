@@ -4,8 +4,9 @@ and round trips.
 There is no built-in Spark reader for workbooks.  A folder of workbooks is
 listed with the ``binaryFile`` source; ``mapInPandas`` opens each one (a
 workbook is a zip of XML parts, read with the standard library) and emits
-its first sheet's cells as text, one task per file.  Columns are named from
-the first sheet row of the first workbook.
+its first sheet's rows, one task per file.  Rows carry their cells by column
+name, so workbooks of different headers unite by name; they are written once
+and the columns are the names that occur.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _CELL = re.compile(r"([A-Z]+)(\d+)")
 # Rows per sheet a workbook can hold, less the header row.
@@ -41,35 +46,105 @@ def _col_letters(i: int) -> str:
     return s
 
 
-def read_sheet(content: bytes) -> list[list[str | None]]:
-    """Rows of the first worksheet as text (shared and inline strings,
-    numbers as written)."""
+# Built-in number formats of the file format that show dates
+# or times.
+_DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _tag(name: str) -> str:
+    return f"{{{_NS['m']}}}{name}"
+
+
+def _date_styles(z: zipfile.ZipFile) -> list[bool]:
+    """Per cell style: whether its number format shows a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    shows = {i: True for i in _DATE_FORMAT_IDS}
+    for f in root.iter(_tag("numFmt")):
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        shows[int(f.get("numFmtId", -1))] = bool(re.search(r"[dy]|h|m.*s|s.*m", bare)) or bare.strip() == "m"
+    xfs = root.find(_tag("cellXfs"))
+    return [shows.get(int(x.get("numFmtId", 0)), False) for x in (xfs if xfs is not None else ())]
+
+
+def _first_sheet(z: zipfile.ZipFile) -> tuple[str, bool]:
+    """(part name of the first sheet in workbook order, 1904 date system)."""
+    names = z.namelist()
+    fallback = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    if "xl/workbook.xml" not in names:
+        return fallback[0], False
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    props, sheet = book.find(_tag("workbookPr")), book.find(f"{_tag('sheets')}/{_tag('sheet')}")
+    from_1904 = props is not None and props.get("date1904", "0") in ("1", "true")
+    if sheet is not None and "xl/_rels/workbook.xml.rels" in names:
+        rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        for r in rels:
+            if r.get("Id") == sheet.get(f"{_REL}id"):
+                target = r.get("Target", "")
+                part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                if part in names:
+                    return part, from_1904
+    return fallback[0], from_1904
+
+
+def _serial_date(value: str, from_1904: bool) -> str:
+    """Text of a serial day number: a date, with the time if it has one."""
+    try:
+        serial = float(value)
+    except ValueError:
+        return value
+    epoch = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    if not from_1904 and serial < 60:  # the format counts a 29 Feb 1900
+        epoch += timedelta(days=1)
+    try:
+        when = epoch + timedelta(seconds=round(serial * 86400))
+    except OverflowError:
+        return value
+    return when.strftime("%Y-%m-%d") if when.time() == time() else when.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def read_sheet(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first worksheet as text: strings, numbers as written,
+    date cells as ISO text, booleans as TRUE / FALSE, errors as missing.
+    The sheet is parsed as a stream; one row is held at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in root.findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
-        root = ET.fromstring(z.read(sheets[0]))
-    rows: list[list[str | None]] = []
-    for row in root.iter(f"{{{_NS['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in row.findall("m:c", _NS):
-            m = _CELL.match(c.get("r", ""))
-            idx = _col_index(m.group(1)) if m else len(cells)
+            for _, si in ET.iterparse(z.open("xl/sharedStrings.xml")):
+                if si.tag == _tag("si"):
+                    shared.append("".join(t.text or "" for t in si.iter(_tag("t"))))
+                    si.clear()
+        dates, (part, from_1904) = _date_styles(z), _first_sheet(z)
+
+        def text(c) -> str | None:
             kind = c.get("t")
             if kind == "inlineStr":
-                val = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                v = c.find("m:v", _NS)
-                val = None if v is None else v.text
-                if kind == "s" and val is not None:
-                    val = shared[int(val)]
-            cells[idx] = val
-        if cells:
-            rows.append([cells.get(i) for i in range(max(cells) + 1)])
-    return rows
+                return "".join(t.text or "" for t in c.iter(_tag("t")))
+            v = c.find(_tag("v"))
+            value = None if v is None else v.text
+            if value is None or kind == "e":
+                return None
+            if kind == "s":
+                return shared[int(value)]
+            if kind == "b":
+                return "TRUE" if value.strip() == "1" else "FALSE"
+            style = int(c.get("s", 0))
+            if kind in (None, "n") and style < len(dates) and dates[style]:
+                return _serial_date(value, from_1904)
+            return value
+
+        for _, row in ET.iterparse(z.open(part)):
+            if row.tag != _tag("row"):
+                continue
+            cells: dict[int, str | None] = {}
+            for c in row.findall(_tag("c")):
+                m = _CELL.match(c.get("r", ""))
+                cells[_col_index(m.group(1)) if m else max(cells, default=-1) + 1] = text(c)
+            if cells:
+                yield [cells.get(i) for i in range(max(cells) + 1)]
+            row.clear()
 
 
 def write_sheet(header: list[str], rows: list[list]) -> bytes:
@@ -101,27 +176,53 @@ def write_sheet(header: list[str], rows: list[list]) -> bytes:
     return buf.getvalue()
 
 
-def load_workbooks(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
-    """All ``*.xlsx`` files under ``path`` as one text table."""
+def _column_names(header: list[str | None], width: int) -> list[str]:
+    """Names of a sheet's columns: blank or missing header cells get their
+    position, repeated names a number."""
+    out: list[str] = []
+    for i in range(width):
+        name = (header[i] if i < len(header) else None) or f"_c{i}"
+        base, k = name, 1
+        while name in out:
+            k += 1
+            name = f"{base}_{k}"
+        out.append(name)
+    return out
+
+
+def _read_rows(batches):
+    """Files -> rows (file, cells by name, names in sheet order); a row
+    without cells stands for the header of each file."""
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["path", "cells", "names"], dtype=object)
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            rows = read_sheet(content)
+            header = next(rows, [])
+            names, out = _column_names(header, len(header)), []
+            for row in rows:
+                if len(row) > len(names):  # cells right of the header
+                    names = _column_names(header, len(row))
+                if any(v not in (None, "") for v in row):
+                    out.append((path, {n: v for n, v in zip(names, row) if v is not None}, None))
+                if len(out) >= 5000:
+                    yield frame(out)
+                    out = []
+            yield frame(out + [(path, {}, names)])
+
+
+def load_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """All ``*.xlsx`` files under ``path`` as one text table with the union
+    of their columns, in order of first appearance."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]")
                   .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    if header is None:
-        first = files.orderBy("path").select("content").limit(1).collect()
-        if not first:
-            raise ValueError(f"no workbook under {path}")
-        header = [h if h is not None else f"_c{i}" for i, h in enumerate(read_sheet(first[0][0])[0])]
-    names = list(header)
-    schema = ", ".join(f"`{n}` string" for n in names)
-
-    def parse(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = read_sheet(content)[1:]
-                width = len(names)
-                fixed = [(r + [None] * width)[:width] for r in rows if any(v not in (None, "") for v in r)]
-                yield pd.DataFrame(fixed, columns=names, dtype=object)
-
-    return files.mapInPandas(parse, schema)
+    rows = cut_lineage(files.mapInPandas(_read_rows, "path string, cells map<string,string>, names array<string>"), "workbook-rows")
+    seen = (rows.where(F.col("names").isNotNull()).select("path", F.posexplode("names").alias("pos", "name"))
+            .groupBy("name").agg(F.min(F.struct("path", "pos")).alias("at")).orderBy("at").collect())  # one row per column
+    if not seen and rows.isEmpty():
+        raise ValueError(f"no workbook under {path}")
+    cells = rows.where(F.col("names").isNull())
+    return cells.select(*[F.try_element_at("cells", F.lit(r["name"])).alias(r["name"]) for r in seen])
 
 
 def _uri(path: str) -> str:
@@ -133,34 +234,35 @@ def _uri(path: str) -> str:
     return "file://" + "/" + path.lstrip("/")
 
 
-def write_workbooks(df: DataFrame, path: str) -> str:
-    """One workbook per partition, written through pyarrow's filesystem
-    layer (local, HDFS or object stores alike)."""
+def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 100_000) -> str:
+    """Workbooks of at most ``rows_per_file`` rows, written as the rows of a
+    partition come in, through pyarrow's filesystem layer (local, HDFS or
+    object stores alike)."""
+    per_file = min(rows_per_file, SHEET_ROW_LIMIT)
     header = df.columns
     target = path.rstrip("/")
 
     def write(batches):
         from pyarrow import fs
         from pyspark import TaskContext
-        rows = []
-        for pdf in batches:
-            rows += pdf.astype(object).where(pdf.notna(), None).values.tolist()
-        if not rows:
-            return
         filesystem, base = fs.FileSystem.from_uri(_uri(target))
         filesystem.create_dir(base, recursive=True)
         # Named by partition (not attempt): a retried task overwrites its
         # own files instead of leaving a duplicate behind.
-        pid = TaskContext.get().partitionId()
-        names, counts = [], []
-        for k in range(0, len(rows), SHEET_ROW_LIMIT):
-            chunk = rows[k:k + SHEET_ROW_LIMIT]
-            name = f"{base}/part-{pid:05d}-{k // SHEET_ROW_LIMIT:03d}.xlsx"
+        pid, rows, k = TaskContext.get().partitionId(), [], 0
+
+        def flush(chunk):
+            name = f"{base}/part-{pid:05d}-{k:05d}.xlsx"
             with filesystem.open_output_stream(name) as out:
                 out.write(write_sheet(header, chunk))
-            names.append(name)
-            counts.append(len(chunk))
-        yield pd.DataFrame({"file": names, "rows": counts})
+            return pd.DataFrame({"file": [name], "rows": [len(chunk)]})
+        for pdf in batches:
+            rows += pdf.astype(object).where(pdf.notna(), None).values.tolist()
+            while len(rows) >= per_file:
+                yield flush(rows[:per_file])
+                rows, k = rows[per_file:], k + 1
+        if rows:
+            yield flush(rows)
 
     written = df.select(*[F.col(c).cast("string") for c in header]) \
                 .mapInPandas(write, "file string, rows long")
