@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, sum0
-from ..schema import BUDGET_OVERRUN_PLACEHOLDER, DEFAULT_HORIZON, FORECAST_FEATURES
+from ..schema import BUDGET_OVERRUN_PLACEHOLDER, DEFAULT_HORIZON, FORECAST_FEATURES, FUTURE_KPI_SCHEMA, NOT_AVAILABLE
 from ..session import cut_lineage, small_frame
 from .charts import numeric_columns
-from .kpis import _ranked_ends, factory_costs, shift_costs
+from .kpis import _ranked_ends, factory_costs
 
 MIN_DAYS = 10
 FORECAST_SCHEMA = "day_index int, date date, prediction double"
@@ -28,8 +28,10 @@ def daily_grid(df: DataFrame, measures: list[str] | None = None) -> DataFrame:
     """Sum of each measure per calendar day between the first and last
     date, days without records filled with 0 (T1)."""
     measures = measures or numeric_columns(df)
-    daily = df.groupBy(F.to_date("date").alias("date")).agg(
-        *[sum0(m).cast("double").alias(m) for m in measures])
+    # Written once (a row per day): its ends, the calendar join and whatever
+    # follows read it instead of the records.
+    daily = cut_lineage(df.where(F.col("date").isNotNull()).groupBy(F.to_date("date").alias("date")).agg(
+        *[sum0(m).cast("double").alias(m) for m in measures]), "daily")
     bounds = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     calendar = bounds.where(F.col("lo").isNotNull()).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("date"))
@@ -126,28 +128,37 @@ def forecast_metrics(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def forecast_total(df: DataFrame, horizon: int = DEFAULT_HORIZON, digits: int = 2) -> DataFrame:
-    """Total, mean and number of forecast days."""
+    """Total, mean and number of forecast days (T8); no row without a
+    forecast."""
     fc = forecast(df, horizon, digits=12)
     return fc.agg(F.round(sum0("prediction"), digits).alias("total_forecast"),
                   F.round(F.avg("prediction"), digits).alias("avg_daily_forecast"),
-                  F.count("*").cast("long").alias("days"))
+                  F.count("*").cast("long").alias("days")).where("days > 0")
 
 
 def future_kpis(df: DataFrame, horizon: int = DEFAULT_HORIZON, digits: int = 2) -> DataFrame:
     """Forecast summary cards (T9): next-period total and daily mean,
     energy demand = forecast total x (energy / OpEx), the most expensive
-    factory (sum) and shift (mean), and the fixed overrun placeholder."""
-    fc = forecast(df, horizon, digits=12)
-    tot = fc.agg(sum0("prediction").alias("t"), F.avg("prediction").alias("a"))
-    if "total_energy" in df.columns:
-        energy_ratio = df.agg(ratio(sum0("total_energy"), sum0("total_opex"))).scalar()
-        demand = F.col("t") * energy_ratio
-    else:
-        demand = F.lit(0.0)
-    top_f = _ranked_ends(factory_costs(df), "factory", "total_opex")[0] if "factory" in df.columns \
-        else F.lit("N/A")
-    top_s = _ranked_ends(shift_costs(df), "shift", "avg_opex")[0] if "shift" in df.columns \
-        else F.lit("N/A")
+    factory (sum) and shift (mean), and the fixed overrun placeholder.  No
+    row when there is no forecast (a missing column, under 10 days).
+
+    The records are read once, into sums per (date, factory, shift)."""
+    nothing = small_frame(df.sparkSession, [], FUTURE_KPI_SCHEMA)
+    if "date" not in df.columns or "total_opex" not in df.columns:
+        return nothing
+    dims = [c for c in ("factory", "shift") if c in df.columns]
+    measures = [c for c in ("total_opex", "total_energy") if c in df.columns]
+    cells = cut_lineage(df.groupBy(F.to_date("date").alias("date"), *dims).agg(
+        *[F.sum(c).alias(c) for c in measures], F.count("total_opex").alias("_n")), "future-cells")
+    fc = forecast(cells, horizon, digits=12)
+    tot = fc.agg(sum0("prediction").alias("t"), F.avg("prediction").alias("a"), F.count("*").alias("d")).where("d > 0")
+    demand = F.col("t") * cells.agg(ratio(sum0("total_energy"), sum0("total_opex"))).scalar() if "total_energy" in measures else F.lit(0.0)
+    top_f = top_s = F.lit(NOT_AVAILABLE)
+    if "factory" in dims:
+        top_f = _ranked_ends(factory_costs(cells), "factory", "total_opex")[0]
+    if "shift" in dims:
+        by_shift = cells.groupBy("shift").agg((F.sum("total_opex") / F.sum("_n")).alias("avg_opex"))
+        top_s = _ranked_ends(by_shift, "shift", "avg_opex")[0]
     return tot.select(
         F.round("t", digits).alias("next_month_total_cost"),
         F.round(demand, digits).alias("estimated_energy_demand"),
@@ -157,7 +168,8 @@ def future_kpis(df: DataFrame, horizon: int = DEFAULT_HORIZON, digits: int = 2)
 
 
 def trend_line(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Least-squares line of daily OpEx over days since start."""
+    """Least-squares line of daily OpEx over days since start (T11); the
+    records are read once, into the daily grid."""
     feats = calendar_features(daily_grid(df, ["total_opex"]))
     y, x = F.col("total_opex"), F.col("days_since_start").cast("double")
     return feats.agg(F.round(F.regr_slope(y, x), digits).alias("slope"),

@@ -5,8 +5,13 @@ Spark query returns."""
 
 from __future__ import annotations
 
-from ..functions.values import NUMBER_PATTERN
-from ..schema import KPI_LABELS, NA_TOKENS
+from ..schema import KPI_LABELS
+
+# The oracle's own statement of what a number looks like and of the texts a
+# file reader takes for missing (not the constants of the code under test).
+NUMBER_TEXT = "^[-+]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][-+]?\\d+)?$"
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 # Cost-record view over lineitem (same rule as sources.fixtures).
 REC_COLUMNS = """
@@ -79,14 +84,14 @@ _KPI_ORDER = ["total_opex", "total_energy", "total_revenue", "profit", "profit_m
 _KPI_TEXT = {"top_factory", "bottom_factory", "most_expensive_shift", "cheapest_shift"}
 
 
-def _kpis_long() -> str:
+def _kpis_long(src: str = REC) -> str:
     parts = []
     for i, k in enumerate(_KPI_ORDER):
         v = "CAST(NULL AS DOUBLE)" if k in _KPI_TEXT else k
         t = k if k in _KPI_TEXT else "CAST(NULL AS VARCHAR)"
         parts.append(f"SELECT {i} AS position, '{k}' AS kpi, '{KPI_LABELS[k]}' AS label, "
                      f"{v} AS value, {t} AS text FROM kb")
-    return f"WITH kb AS ({_kpis(REC, True)})\n" + "\nUNION ALL\n".join(parts)
+    return f"WITH kb AS ({_kpis(src, True)})\n" + "\nUNION ALL\n".join(parts)
 
 
 def _kpis_formatted() -> str:
@@ -104,8 +109,13 @@ MEASURES = ["energy_type_1", "energy_type_2", "hr_cost", "operation_cost", "admi
             "other_cost", "revenue", "total_opex", "total_energy"]
 
 
-def _describe() -> str:
-    vals = [f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM r" for c in MEASURES]
+EXTRA_SRC = f"SELECT *, CAST(l_partkey % 50 AS DOUBLE) AS water_use, CAST(l_suppkey % 9 AS INTEGER) AS headcount FROM ({REC})"
+# Columns in the order the records have them (pairs of the correlation).
+EXTRA_MEASURES = [*MEASURES, "water_use", "headcount"]
+
+
+def _describe(measures=MEASURES, src=REC) -> str:
+    vals = [f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM r" for c in measures]
     vals.append("SELECT 'date' AS col, CAST(datediff('day', DATE '1970-01-01', date) AS DOUBLE) AS v FROM r")
     stats = [("count", "CAST(count(v) AS DOUBLE)"), ("mean", "avg(v)"), ("min", "min(v)"),
              ("max", "max(v)"), ("std", "stddev_samp(v)"), ("25%", "quantile_cont(v, 0.25)"),
@@ -113,15 +123,15 @@ def _describe() -> str:
     sel = "\nUNION ALL\n".join(
         f"SELECT col AS \"column\", '{s}' AS statistic, round({e}, 6) AS value FROM vals "
         + ("WHERE col <> 'date' " if s == "std" else "") + "GROUP BY col" for s, e in stats)
-    return with_ctes(sel, extra=", vals AS (" + "\nUNION ALL\n".join(vals) + ")")
+    return with_ctes(sel, src=src, extra=", vals AS (" + "\nUNION ALL\n".join(vals) + ")")
 
 
-def _correlation() -> str:
+def _correlation(measures=MEASURES, src=REC) -> str:
     parts = []
-    for i, a in enumerate(MEASURES):
-        for b in MEASURES[i + 1:]:
+    for i, a in enumerate(measures):
+        for b in measures[i + 1:]:
             parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 8) AS corr FROM r")
-    return with_ctes("\nUNION ALL\n".join(parts))
+    return with_ctes("\nUNION ALL\n".join(parts), src=src)
 
 
 def _whatif(like: bool) -> str:
@@ -325,11 +335,11 @@ RAW = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   {_num_text("floor(l_extendedprice)", 7, 3)} AS "Revenue"
 FROM lineitem"""
 
-_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in MISSING_TEXTS)
 
 
 def _num(c: str) -> str:
-    return (f"coalesce(CASE WHEN regexp_full_match(trim({c}), '{NUMBER_PATTERN}') "
+    return (f"coalesce(CASE WHEN regexp_full_match(trim({c}), '{NUMBER_TEXT}') "
             f"THEN TRY_CAST(trim({c}) AS DOUBLE) END, 0.0)")
 
 
@@ -403,15 +413,16 @@ ORACLE.update({
     "load_csv": ORACLE["kpis_raw"],
     "load_table": ORACLE["kpis_raw"],
     "load_workbooks": ORACLE["kpis_raw"],
-    "save_dataset": _kpis(f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", True),
+    "save_dataset": with_ctes("SELECT * FROM r"),
+    "save_dataset_range": _records_where("date BETWEEN DATE '1996-01-17' AND DATE '1996-12-05'"),
+    "session_store": ORACLE["forecast"],
     "export_results": ORACLE["kpis_labelled"],
     "forecast_reload": ORACLE["forecast"],
     "stream_daily_kpis": """SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, factory,
         sum(total_opex) AS total_opex, CAST(count(*) AS BIGINT) AS events
       FROM (SELECT date_trunc('day', ts) AS window_start, event_type AS factory,
                    CAST(floor(value * 100.0) AS DOUBLE) AS total_opex FROM events)
-      GROUP BY window_start, factory
-      HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+      GROUP BY window_start, factory""",
 })
 
 
@@ -492,8 +503,12 @@ def _ols_predict(table: str, feats: list[str], label: str) -> str:
     return f"SELECT s.*, {pred} AS prediction FROM ({sql}) s, om, og"
 
 
+# One row key in five is held out, by the key's MD5.
+FOLD = "(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8))::BIGINT % 5)"
+
+
 def _fit_score_regression(feats: list[str], label: str) -> str:
-    fold = "(datediff('day', DATE '1970-01-01', date) % 5 + 5) % 5"
+    fold = FOLD
     body = f"""SELECT round(1 - sum(({label} - prediction) ^ 2) / sum(({label} - ybar) ^ 2), 6) AS r2,
         round(avg(abs({label} - prediction)), 4) AS mae,
         round(sqrt(avg(({label} - prediction) ^ 2)), 4) AS rmse
@@ -510,3 +525,99 @@ ORACLE["insight_context_anomalies"] = ORACLE["insight_context"] + f"""
 UNION ALL
 SELECT 9 AS line_no, 'Anomalies' AS label, 'Anomalies detected: ' || CAST(n AS VARCHAR) || ' unusual cost spikes.' AS text
 FROM ({with_ctes("SELECT count(*) AS n FROM flagged WHERE anomaly", extra=DEPTH)}) WHERE n > 0"""
+
+
+# --- wider inputs, missing values, dashboards, files of other programs -------
+
+GAPS = """, full_r AS (SELECT * FROM r0), r AS (SELECT * FROM r0 WHERE l_linenumber <> 7)"""
+
+
+def _with_gaps(body: str) -> str:
+    return f"WITH r0 AS ({cleaned()}){GAPS}{DEPTH}\n{body}"
+
+
+ORACLE.update({
+    "describe_extra": _describe(EXTRA_MEASURES, EXTRA_SRC),
+    # The records hold the extra columns after the derived totals.
+    "correlation_extra": _correlation(EXTRA_MEASURES, EXTRA_SRC),
+    "factory_shift_cells": with_ctes("SELECT factory, shift, coalesce(sum(total_opex), 0) AS total_opex FROM r GROUP BY factory, shift"),
+    "filter_energy_max": _records_where("energy_type_2 <= 30.0"),
+    "canonical_names": with_ctes("SELECT * FROM r"),
+    "null_tokens": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CASE WHEN trim("Factory") IN ({_TOKENS}) THEN NULL ELSE "Factory" END AS factory,
+        CASE WHEN trim("Shift") IN ({_TOKENS}) THEN NULL ELSE "Shift" END AS shift,
+        CASE WHEN trim("HR Cost") IN ({_TOKENS}) THEN NULL ELSE "HR Cost" END AS hr_cost,
+        CASE WHEN l_linenumber IN (3, 4) THEN NULL ELSE 'ok' END AS remark FROM ({RAW})""",
+    "usable_date": ORACLE["drop_bad_dates"],
+    "dropped_rows": """SELECT count(*) AS rows, CAST(count(*) FILTER (l_linenumber = 7 AND l_linestatus = 'O') AS BIGINT) AS dropped
+        FROM lineitem""",
+    "forecast_total_short": "SELECT CAST(0 AS DOUBLE) AS total_forecast, CAST(0 AS DOUBLE) AS avg_daily_forecast, CAST(0 AS BIGINT) AS days WHERE false",
+    "future_kpis_short": """SELECT CAST(0 AS DOUBLE) AS next_month_total_cost, CAST(0 AS DOUBLE) AS estimated_energy_demand,
+        CAST(0 AS INTEGER) AS budget_overrun_prob, '' AS most_expensive_factory, '' AS most_expensive_shift,
+        CAST(0 AS DOUBLE) AS avg_daily_cost_next_month WHERE false""",
+    "anomaly_missing": _with_gaps("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total_opex, anomaly_depth, anomaly FROM flagged
+        UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, NULL, NULL, false FROM full_r WHERE l_linenumber = 7"""),
+    "anomaly_rate_missing": _with_gaps("""SELECT a * 100.0 / n AS anomaly_rate, CAST(a AS BIGINT) AS anomalies, CAST(n AS BIGINT) AS rows
+        FROM (SELECT count(*) AS a FROM flagged WHERE anomaly), (SELECT count(*) AS n FROM full_r)"""),
+    "anomaly_forest_share": "SELECT count(*) AS rows, count(*) AS scored, true AS within_share, true AS scores_ok FROM lineitem",
+    "one_hot_long": with_ctes("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'factory_' || factory AS feature FROM r
+        UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'shift_' || shift FROM r"""),
+    "driver_split": f"SELECT {FOLD} = 4 AS is_test, count(*) AS rows FROM lineitem GROUP BY 1",
+    "driver_features": with_ctes("""SELECT unnest(['energy_type_1', 'energy_type_2', 'hr_cost', 'admin_cost', 'other_cost']) AS feature
+        UNION ALL SELECT DISTINCT 'factory_' || factory FROM r UNION ALL SELECT DISTINCT 'shift_' || shift FROM r"""),
+    "driver_importance_total": "SELECT CAST(1 AS DOUBLE) AS total, true AS none_negative",
+})
+
+
+def _section(name: str, sql: str, item: str, values: list[str], texts: list[str] = ()) -> list[str]:
+    """Long rows of one section: numbers, then names."""
+    return [f"SELECT '{name}' AS section, {item} AS item, '{v}' AS measure, CAST({v} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM ({sql})"
+            for v in values] + [f"SELECT '{name}', {item}, '{t}', NULL, {t} FROM ({sql})" for t in texts]
+
+
+VIEW = f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' AND factory = 'F02'"
+
+
+def _charts(src: str, trend: str) -> list[str]:
+    return _section("kpis", _kpis_long(src), "kpi", ["value"], ["text"]) + _section(
+        trend, with_ctes("SELECT date AS period, coalesce(sum(total_opex), 0) AS value FROM r GROUP BY 1", src), "CAST(period AS VARCHAR)", ["value"])
+
+
+def _filtered_dashboard() -> str:
+    composition = " UNION ALL ".join(f"SELECT factory, '{c}' AS component, coalesce(sum({c}), 0) AS cost FROM r GROUP BY factory"
+                                     for c in ["hr_cost", "operation_cost", "admin_cost", "other_cost"])
+    mix = """SELECT energy_type, total, total / (t1 + t2) * 100 AS share FROM (
+        SELECT 'Energy Type 1' AS energy_type, t1 AS total, t1, t2 FROM s UNION ALL SELECT 'Energy Type 2', t2, t1, t2 FROM s) WHERE t1 + t2 <> 0"""
+    parts = _charts(VIEW, "line_chart")
+    parts += _section("stacked_bar", with_ctes(composition, VIEW), "factory || '|' || component", ["cost"])
+    parts += _section("heatmap", with_ctes("SELECT factory, shift, coalesce(sum(total_opex), 0) AS total_opex FROM r GROUP BY factory, shift", VIEW),
+                      "factory || '|' || shift", ["total_opex"])
+    parts += _section("pie_energy", with_ctes(mix, VIEW, ", s AS (SELECT coalesce(sum(energy_type_1), 0) AS t1, coalesce(sum(energy_type_2), 0) AS t2 FROM r)"),
+                      "energy_type", ["total", "share"])
+    return "\nUNION ALL\n".join(parts)
+
+
+def _upload_analysis() -> str:
+    parts = _charts(REC, "trend")
+    parts += _section("forecast", ORACLE["forecast"], "day_index || '|' || CAST(date AS VARCHAR)", ["prediction"])
+    parts += _section("forecast_metrics", ORACLE["forecast_metrics"], "''", ["r2", "mae", "rmse"])
+    parts += _section("future_kpis", ORACLE["future_kpis"], "''", ["next_month_total_cost", "estimated_energy_demand", "budget_overrun_prob", "avg_daily_cost_next_month"],
+                      ["most_expensive_factory", "most_expensive_shift"])
+    parts += _section("anomaly_rate", ORACLE["anomaly_rate"], "''", ["anomaly_rate", "anomalies", "rows"])
+    parts += _section("anomalies", ORACLE["anomaly_rows"], "CAST(date AS VARCHAR)", ["total_opex"])
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE.update({
+    "filtered_dashboard": _filtered_dashboard(),
+    "upload_analysis": _upload_analysis(),
+    "load_csv_quoted": f"""WITH k AS ({_kpis(REC, True)}),
+      t AS (SELECT 'say "' || factory || '",' || chr(10) || ' then ' || CAST(l_linenumber AS VARCHAR) AS remark FROM ({REC}))
+    SELECT total_opex, total_energy, total_revenue, top_factory, (SELECT count(*) FROM t) AS rows,
+      (SELECT count(DISTINCT remark) FROM t) AS remarks, (SELECT CAST(sum(length(remark)) AS BIGINT) FROM t) AS remark_chars FROM k""",
+    "load_workbook_dates": ORACLE["trend_monthly"],
+    "load_workbooks_two_headers": f"""SELECT factory, count(*) AS rows,
+        CAST(sum(hr_cost + operation_cost + CASE WHEN factory = 'F00' THEN 0 ELSE admin_cost + other_cost END) AS DOUBLE) AS total_opex,
+        CAST(sum(CASE WHEN factory = 'F00' THEN revenue ELSE 0 END) AS DOUBLE) AS revenue, count(CASE WHEN factory = 'F00' THEN 1 END) AS notes,
+        CAST(sum(CASE WHEN factory = 'F00' THEN 1 ELSE 0 END) AS BIGINT) AS no_shift FROM ({REC}) GROUP BY factory""",
+})

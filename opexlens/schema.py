@@ -72,7 +72,9 @@ NA_TOKENS = [
 # month, days since the first date.
 FORECAST_FEATURES = ["dayofweek", "month", "day", "days_since_start"]
 DEFAULT_HORIZON = 30
-HORIZON_CHOICES = [1, 7, 30, 90]
+# Fields of the future-KPI card.
+FUTURE_KPI_SCHEMA = ("next_month_total_cost double, estimated_energy_demand double, budget_overrun_prob int, "
+                     "most_expensive_factory string, most_expensive_shift string, avg_daily_cost_next_month double")
 
 # Cost-driver model: numeric features (operation_cost is left out), trees, seed.
 DRIVER_FEATURES = ["energy_type_1", "energy_type_2", "hr_cost", "admin_cost", "other_cost"]
@@ -119,6 +121,11 @@ UTILIZATION_LABEL_WORD = "Utilization"
 ENERGY_MIX_NAMES = ["Energy Type 1", "Energy Type 2"]
 INSIGHT_ANOMALY_TEXT = "Anomalies detected: {n} unusual cost spikes."
 
+# Sections of the two dashboard replies.
+FILTERED_SECTIONS = ["kpis", "line_chart", "stacked_bar", "heatmap", "pie_energy"]
+UPLOAD_SECTIONS = ["kpis", "trend", "forecast", "forecast_metrics", "future_kpis", "anomaly_rate", "anomalies",
+                   "driver_importance", "driver_metrics"]
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

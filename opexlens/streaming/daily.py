@@ -2,10 +2,12 @@
 
 ``readStream`` over a folder of Parquet files -> event time as TIMESTAMP
 (watermarks refuse TIMESTAMP_NTZ) -> 1-day watermark -> tumbling 1-day
-windows per factory -> sum of OpEx, appended to a Parquet sink as each
-window closes.  State holds only the open windows; rows older than the
-watermark are dropped, which is the late-data rule.  The checkpoint lives
-in the shared folder, so a restarted query resumes exactly once.
+windows per factory -> sum of OpEx.  Each micro-batch writes the windows it
+changed into its own folder of a Parquet sink (overwritten when the batch is
+run again, so exactly once), and the current value of a window is that of its
+last batch: open windows are part of the answer.  State holds only the open
+windows; rows older than the watermark are dropped, which is the late-data
+rule.  The checkpoint lives in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+BATCH = "batch"  # partition folder of the sink
+WINDOW_COLUMNS = "window_start timestamp, window_end timestamp, factory string, total_opex double, events long"
 EVENT_COLUMNS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -41,19 +45,31 @@ def daily_kpis(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def start_daily_kpis(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                     delay: str = "1 day", available_now: bool = True) -> StreamingQuery:
-    """Run the windowed aggregation into a Parquet sink (append mode)."""
-    q = (daily_kpis(event_stream(spark, source), delay)
-         .writeStream.format("parquet").outputMode("append")
-         .option("path", sink).option("checkpointLocation", checkpoint))
+                     delay: str = "1 day", available_now: bool = True,
+                     max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Run the windowed aggregation into the sink (update mode).  Files are
+    taken in order of their modification time; with
+    ``max_files_per_trigger`` they should follow event time."""
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{sink}/{BATCH}={batch}")
+
+    q = (daily_kpis(event_stream(spark, source, max_files_per_trigger=max_files_per_trigger), delay)
+         .writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
 
 
-def stream_daily_kpis(spark: SparkSession, source: str, work: str, delay: str = "1 day") -> DataFrame:
-    """Process everything available in ``source`` and return the closed
-    windows written so far."""
+def current_windows(spark: SparkSession, sink: str) -> DataFrame:
+    """Every window written so far, with the value of its last batch."""
+    rows = spark.read.schema(f"{WINDOW_COLUMNS}, {BATCH} long").parquet(sink)
+    last = F.max_by(F.struct("window_end", "total_opex", "events"), BATCH).alias("w")
+    return rows.groupBy("window_start", "factory").agg(last).select("window_start", "w.window_end", "factory", "w.total_opex", "w.events")
+
+
+def stream_daily_kpis(spark: SparkSession, source: str, work: str, delay: str = "1 day",
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Process everything available in ``source`` and return all windows,
+    closed and open."""
     sink, ckpt = os.path.join(work, "sink"), os.path.join(work, "checkpoint")
-    q = start_daily_kpis(spark, source, sink, ckpt, delay, available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    start_daily_kpis(spark, source, sink, ckpt, delay, True, max_files_per_trigger).awaitTermination()
+    return current_windows(spark, sink)
