@@ -12,17 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opexlens.llm import jaccard, lines, mixing, packing, toxicity
-from opexlens.llm.common import fresh, stage, table
+from opexlens.llm.common import drop_stage, fresh, stage, table
+from opexlens.session import shared_path, stage_scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by their nearest labelled examples go.
     Text-less documents score as such and stay."""
-    row, = fresh(docs, "__row")
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipe-toxic")
-    scored = toxicity.score(rows.select(row, "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    toxic = stage(scored.where("predicted = 1").select(row), "pipe-toxic-rows")
-    return rows.join(toxic, row, "left_anti").drop(row)
+    h, = fresh(docs, "__h")
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    path = shared_path(spark, "llm-pipe-toxic")
+    with stage_scope(spark):  # the model's tables go once the verdicts are written
+        scored = toxicity.score(hashed.select("doc_id", h, "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+        toxic = stage(scored.where("predicted = 1").select(F.col("doc_id").alias("__id"), F.col(h).alias("__text")).distinct(), "pipe-toxic", path)
+    gone = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__text"))
+    return hashed.join(toxic, gone, "left_anti").drop(h)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 or more stays: the first row."""
-    row, = fresh(docs, "__row")
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipe-near")
-    classes = jaccard.near_duplicates(rows.select(row, "text"), id_col=row)
-    later = stage(classes.where(F.col(row) != F.col("class_id")).select(row), "pipe-near-rows")
-    return rows.join(later, row, "left_anti").drop(row)
+    """One document of each group of similarity 0.8 or more stays: the one
+    with the smallest id."""
+    return jaccard.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``.  A stage's own tables and
+    its input go as soon as its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with stage_scope(spark):
+            after = stage(step(spark, docs, sf_dir), name, path)
+        if before is not None:
+            drop_stage(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opexlens.llm.common import mix64, stage, table, text_blocks, text_buffer, word_hashes, word_spans
+from opexlens.llm.common import fresh, mix64, stage, table, text_blocks, text_buffer, word_hashes, word_spans
+from opexlens.session import shared_path, stage_scope
 
 SHINGLE = 5
 HASHES, ROWS = 128, 4
@@ -275,22 +276,20 @@ def components(edges: DataFrame) -> DataFrame:
     return merged.join(least, "now").select("node", "root")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", up: int = 4, down: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """Per row of ``df``: the id, ``class_id`` (smallest id of its connected
-    group of texts of similarity >= up/down), ``n_links`` (other rows linked
-    to it directly, copies included), ``n_text_links`` (different texts linked) and
-    ``n_copies`` (rows with its text, itself included).
+def text_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", up: int = 4, down: int = 5, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts) of the join.
 
-    Texts without words, null ones too, are compared with nothing: each is a
-    class of its own without links or copies.  Repeated rows are copies.  Other columns of ``df``
-    are not read; an empty table gives no rows."""
+    rows: mid, doc_id, h1, h2, n (shingles) of every row.  texts: one row
+    per different text with shingles: rep, h1, h2 (its hashes), least_id
+    (smallest id that has it), copies, root (of its connected group), links
+    (rows linked to it) and texts (different texts linked), null without links."""
     least = least_matches(up / down, tolerance)
     value = F.coalesce(F.col(text), F.lit(""))
     source = df.select(F.monotonically_increasing_id().alias("mid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"), value.alias("text"))
     sigs = stage(source.mapInArrow(_signatures, "mid long, doc_id long, h1 long, h2 long, n long, sig binary"), "near-sigs")
-    worded = sigs.where("n > 0")
-    reps = stage(worded.groupBy("h1", "h2").agg(F.min("mid").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "near-texts")
+    reps = stage(sigs.where("n > 0").groupBy("h1", "h2").agg(F.min("mid").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
+                                                             F.first("sig").alias("sig")), "near-texts")
 
     bands = reps.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -314,15 +313,58 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", u
     counts = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     classes = components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = reps.select("rep", "h1", "h2", "least_id", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("root", F.coalesce("root", "rep"))
+        .withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
+    return sigs.drop("sig"), named
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row of ``df``: the id, ``class_id`` (smallest id of its connected
+    group of texts of similarity >= up/down), ``n_links`` (other rows linked
+    to it directly, copies included), ``n_text_links`` (different texts linked) and
+    ``n_copies`` (rows with its text, itself included).
+
+    Texts without words, null ones too, are compared with nothing: each is a
+    class of its own without links or copies.  Repeated rows are copies.  Other columns of ``df``
+    are not read; an empty table gives no rows.  ``options``: see :func:`text_classes`."""
+    rows, named = text_classes(df, id_col, text, **options)
     ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    known = named.join(ids, "root").join(counts, "rep", "left").select("h1", "h2", "class_id", "copies", "links", "texts")
-    rows = worded.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select(
+    known = named.join(ids, "root").select("h1", "h2", "class_id", "copies", "links", "texts")
+    worded = rows.where("n > 0").select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select(
         "doc_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0).cast("long")).alias("n_text_links"), F.col("copies").alias("n_copies"))
-    blank = sigs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+    blank = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
                                        F.lit(0).cast("long").alias("n_text_links"), F.lit(1).cast("long").alias("n_copies"))
-    return rows.union(blank).withColumnRenamed("doc_id", id_col)
+    return worded.union(blank).withColumnRenamed("doc_id", id_col)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` with one row of each class of :func:`near_duplicates`: the one
+    with the smallest id (rows without an id come last).  Texts without
+    words all stay."""
+    spark = df.sparkSession
+    path = shared_path(spark, "llm-near-marks")
+    with stage_scope(spark):
+        rows, named = text_classes(df, id_col, text, **options)
+        first = F.min(F.struct(F.col("least_id").isNull().alias("late"), "least_id", "rep")).alias("m")
+        groups = named.groupBy("root").agg(first, F.count("*").alias("in_group")).select("root", F.col("m.rep").alias("stays"), "in_group")
+        # Only texts with a copy or a link need a mark; of a text that stays,
+        # the row with its smallest id stays (repeats: that row's number).
+        marks = named.join(groups, "root").where("in_group > 1 OR copies > 1") \
+            .select("h1", "h2", "least_id", (F.col("rep") == F.col("stays")).alias("stays"))
+        own = rows.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("doc_id").alias("rid"))
+        same = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("least_id").eqNullSafe(F.col("rid"))
+        marks = marks.join(own, same).groupBy("h1", "h2", "least_id", "stays").agg(F.count("*").alias("repeats"))
+        marks = stage(marks, "near-marks", path)
+    m1, m2, least, stays, repeats, h1, h2 = fresh(df, "__m1", "__m2", "__least", "__stays", "__repeats", "__h1", "__h2")
+    marks = marks.toDF(m1, m2, least, stays, repeats)
+    value = F.coalesce(F.col(text), F.lit(""))
+    hashed = df.withColumn(h1, F.xxhash64(value)).withColumn(h2, F.xxhash64(F.lit(1), value))
+    joined = hashed.join(marks, (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left")
+    chosen = F.col(stays) & F.col(id_col).cast("long").eqNullSafe(F.col(least))
+    out = joined.where(F.col(stays).isNull() | (chosen & (F.col(repeats) == 1)))
+    if not marks.where((F.col(repeats) > 1) & F.col(stays)).isEmpty():  # repeated rows: one of each
+        out = out.union(joined.where(chosen & (F.col(repeats) > 1)).dropDuplicates([h1, h2]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
