@@ -18,42 +18,28 @@ from ..schema import NA_TOKENS, UNKNOWN
 # numbers, so text is checked against this pattern before the cast.
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Date and timestamp text forms accepted per row, tried in this order
-# (ISO first; month-first before day-first when both could apply).  Each
-# comes with a shape pattern checked first: a failed parse attempt is an
-# exception inside the JVM, a failed regex is not, so at most one or two
-# formats are actually tried per value.
-_D, _MON = r"[0-9]{1,2}", r"[A-Za-z]{3,9}"
-DATE_FORMATS = [
-    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd HH:mm", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$"),
-    ("yyyy-M-d", rf"^[0-9]{{4}}-{_D}-{_D}$"),
-    ("yyyy/M/d", rf"^[0-9]{{4}}/{_D}/{_D}$"),
-    ("M/d/yyyy", rf"^{_D}/{_D}/[0-9]{{4}}$"),
-    ("d/M/yyyy", rf"^{_D}/{_D}/[0-9]{{4}}$"),
-    ("d-M-yyyy", rf"^{_D}-{_D}-[0-9]{{4}}$"),
-    ("d MMM yyyy", rf"^{_D} [A-Za-z]{{3}} [0-9]{{4}}$"),
-    ("d MMMM yyyy", rf"^{_D} {_MON} [0-9]{{4}}$"),
-    ("MMM d, yyyy", rf"^[A-Za-z]{{3}} {_D}, [0-9]{{4}}$"),
-    ("MMMM d, yyyy", rf"^{_MON} {_D}, [0-9]{{4}}$"),
-    ("yyyyMMdd", r"^[0-9]{8}$"),
-    ("M/d/yyyy H:mm", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}$"),
-    ("d/M/yyyy H:mm", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}$"),
-    ("M/d/yyyy H:mm:ss", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$"),
-    ("d/M/yyyy H:mm:ss", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$"),
-    ("M/d/yyyy h:mm a", rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}} [AaPp][Mm]$"),
-    ("M/d/yy", rf"^{_D}/{_D}/[0-9]{{2}}$"),
-    ("d/M/yy", rf"^{_D}/{_D}/[0-9]{{2}}$"),
-    ("d.M.yyyy", rf"^{_D}[.]{_D}[.][0-9]{{4}}$"),
-    ("d-MMM-yyyy", rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{4}}$"),
-    ("d-MMM-yy", rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{2}}$"),
-    ("MMM d yyyy", rf"^[A-Za-z]{{3}} {_D} [0-9]{{4}}$"),
-    ("MMMM d yyyy", rf"^{_MON} {_D} [0-9]{{4}}$"),
-    ("yyyy-M", rf"^[0-9]{{4}}-{_D}$"),
+# Date and timestamp text forms accepted per row.  Each is rewritten to ISO
+# order by one pattern and then cast: few expressions, so the generated code
+# stays in one method however many spellings there are.
+_TIME = r"( [0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
+_NAME = "[A-Za-z]{3,9}"
+ISO_DATE = (r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+            r"( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?)?)?$")
+# (pattern, ISO rewrites tried in this order): month-first before day-first
+# with slashes, day-first before month-first with dashes and dots; two-digit
+# years are 20xx.
+NUMERIC_DATES = [
+    (rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}){_TIME}$", ["$3-$1-$2$4", "$3-$2-$1$4"]),
+    (rf"^([0-9]{{1,2}})[.-]([0-9]{{1,2}})[.-]([0-9]{{4}}){_TIME}$", ["$3-$2-$1$4", "$3-$1-$2$4"]),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", ["20$3-$1-$2", "20$3-$2-$1"]),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", ["$1-$2-$3"]),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", ["$1-$2-$3"]),
 ]
-# ISO date and time with fractions of a second or a zone: Spark's own cast.
-ISO_TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"
+# Day, month name, year in either order.
+NAMED_DATES = [(rf"^([0-9]{{1,2}})[ -]({_NAME})[ -]([0-9]{{4}}|[0-9]{{2}})$", 1, 2, 3),
+               (rf"^({_NAME}) ([0-9]{{1,2}}),? ([0-9]{{4}})$", 2, 1, 3)]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+CLOCK_12 = (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2} [AaPp][Mm]$", "M/d/yyyy h:mm a")
 
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                   T.FloatType, T.DoubleType, T.DecimalType)
@@ -88,14 +74,21 @@ def to_timestamp_any(c: Column, dtype: T.DataType) -> Column:
     """Parse a date column; unparseable values become null.
 
     Dates and timestamps pass through unchanged (no parsing on typed
-    input); text is tried against every format in DATE_FORMATS per row, then
-    as an ISO timestamp with fraction or zone.  Two-digit years are 20xx."""
+    input); text is matched against the forms above, row by row."""
     if is_temporal_type(dtype):
         return c
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
-                        for fmt, shape in DATE_FORMATS],
-                      F.when(s.rlike(ISO_TIMESTAMP), s.try_cast("timestamp")))
+    tries = [F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))]
+    for pattern, rewrites in NUMERIC_DATES:
+        tries.append(F.when(s.rlike(pattern), F.coalesce(*[F.regexp_replace(s, pattern, r).try_cast("timestamp") for r in rewrites])))
+    numbers = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS) for name in dict.fromkeys([m, m[:3]]) for v in (name, str(i + 1))])
+    for pattern, day, name, year in NAMED_DATES:
+        part = [F.regexp_extract(s, pattern, g) for g in (year, name, day)]
+        full_year = F.when(F.length(part[0]) == 2, F.concat(F.lit("20"), part[0])).otherwise(part[0])
+        iso = F.concat(full_year, F.lit("-"), F.try_element_at(numbers, F.lower(part[1])), F.lit("-"), part[2])
+        tries.append(F.when(s.rlike(pattern), iso.try_cast("timestamp")))
+    tries.append(F.when(s.rlike(CLOCK_12[0]), F.try_to_timestamp(F.upper(s), F.lit(CLOCK_12[1]))))
+    return F.coalesce(*tries)
 
 
 def to_category(c: Column) -> Column:
