@@ -18,15 +18,10 @@ from opexlens.session import shared_path, stage_scope
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by their nearest labelled examples go.
-    Text-less documents score as such and stay."""
-    h, = fresh(docs, "__h")
-    hashed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    path = shared_path(spark, "llm-pipe-toxic")
-    with stage_scope(spark):  # the model's tables go once the verdicts are written
-        scored = toxicity.score(hashed.select("doc_id", h, "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-        toxic = stage(scored.where("predicted = 1").select(F.col("doc_id").alias("__id"), F.col(h).alias("__text")).distinct(), "pipe-toxic", path)
-    gone = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__text"))
-    return hashed.join(toxic, gone, "left_anti").drop(h)
+    Text-less documents score as such.  Each text is scored where its row is."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    drop_stage(model.vectors)  # the fitted model is all that scoring needs
+    return docs.where(model.of_text(F.col("text")) < 0.5)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,7 +304,7 @@ def text_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", up:
     # One row per text: the one with the smallest id (exact repeats of that
     # row are dropped inside the block).
     texts = source.select("h1", "h2", "doc_id", "text").join(
-        linked.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2"),
+        linked.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2").hint("merge"),
         (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
     blocks = in_blocks(texts.drop("h1", "h2", "g1", "g2", "doc_id", "least_id"), "root", "size", "rep", BLOCK)
     checked = stage(blocks.repartition("root", "c0", "c1").sortWithinPartitions("root", "c0", "c1", "rep")
@@ -359,7 +359,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **option
     marks = marks.toDF(m1, m2, least, stays, repeats)
     value = F.coalesce(F.col(text), F.lit(""))
     hashed = df.withColumn(h1, F.xxhash64(value)).withColumn(h2, F.xxhash64(F.lit(1), value))
-    joined = hashed.join(marks, (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left")
+    # Both sides by key at every size: one plan, and no side has a proven bound.
+    joined = hashed.join(marks.hint("merge"), (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left")
     chosen = F.col(stays) & F.col(id_col).cast("long").eqNullSafe(F.col(least))
     out = joined.where(F.col(stays).isNull() | (chosen & (F.col(repeats) == 1)))
     if not marks.where((F.col(repeats) > 1) & F.col(stays)).isEmpty():  # repeated rows: one of each

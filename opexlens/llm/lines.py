@@ -59,7 +59,8 @@ def remove_wide_lines(df: DataFrame, site: str = "source", id_col: str = "doc_id
     gone = stage(lines.join(wide, ["h1", "h2"]).where(F.col("doc_id").isNull() & F.col("first_id").isNotNull() | (F.col("doc_id") > F.col("first_id")))
                  .groupBy("doc_id", "k").agg(F.collect_set("pos").alias("pos")), "line-gone")
     gone = gone.select(F.col("doc_id").alias("__g"), F.col("k").alias("__k"), F.col("pos").alias(drop))
-    joined = keyed.join(gone, (F.col(key) == F.col("__k")) & F.col(at).eqNullSafe(F.col("__g")), "left")
+    # Both sides by key at every size: one plan, and no side has a proven bound.
+    joined = keyed.join(gone.hint("merge"), (F.col(key) == F.col("__k")) & F.col(at).eqNullSafe(F.col("__g")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
     n_lines = F.size(F.filter(F.split(value, "\n", -1), lambda x: x.rlike(WORD)))
     return joined.select(

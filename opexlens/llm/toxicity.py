@@ -16,9 +16,12 @@ covers all rows.  The driver holds the terms and the examples' term counts only.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opexlens.llm.common import drop_stage, fresh, mix64, stage, table, text_blocks, text_buffer, word_hashes, word_spans
@@ -160,18 +163,34 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS,
-          k: int = K, seed: int = 5) -> DataFrame:
-    """``df`` without its text plus held_out, score (0 to 1), predicted, and
-    the evidence: ids and cosines of the nearest examples, best first.
+class Scorer(NamedTuple):
+    """A fitted model: the terms, their inverse frequencies, the index with
+    the calibration, and the corpus' term vectors (a written table)."""
 
-    ``labels``: the id column and ``toxic`` (0, 1; null: unlabelled), of
-    which ids with crc32(id) mod 5 = 0 are never learned from.  At most
-    ``per_class`` documents of each class are examples (a seeded sample).  A
-    document labelled twice counts as toxic if any label says so.  Null and
-    blank texts have no terms and get the score of term-less documents; with
-    no labels at all every score is 0.  Repeated rows score alike."""
-    spark = df.sparkSession
+    terms: np.ndarray
+    idf: np.ndarray
+    model: tuple
+    k: int
+    prior: float
+    vectors: DataFrame
+    names: list
+    added: list
+
+    def of_text(self, text: Column) -> Column:
+        """The score of a text column, where the rows are."""
+        vectors = _vectors(self.terms, [], ["terms", "counts"])
+        scores = _score(self.model, self.idf, self.k, self.prior, [], ["terms", "counts"])
+
+        @F.pandas_udf("double")
+        def score_text(values: pd.Series) -> pd.Series:
+            batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string(), from_pandas=True)], ["text"])
+            return pd.Series([p for out in scores(vectors([batch])) for p in out.column("score").to_numpy()], dtype=float)
+        return score_text(text)
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS,
+        max_terms: int = MAX_TERMS, k: int = K, seed: int = 5) -> Scorer:
+    """The scorer that :func:`score` applies; see there."""
     names = [c for c in df.columns if c not in (text, "held_out", "score", "predicted", "evidence", "cosines")]
     added = fresh(df, "terms", "counts")
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")) \
@@ -220,8 +239,24 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     examples = texts.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms, ["doc_id", "toxic"], ["terms", "counts"]), f"doc_id {df.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id")
     model = _fit(examples, idf, {c: size.get(c, 0) for c in (0, 1)}, k, prior)
     drop_stage(known, sample)
-    out = vectors.mapInArrow(_score(model, idf, k, prior, names, added), f"{fields}{', ' if fields else ''}score double, evidence array<long>, cosines array<double>")
-    return out.select(*[F.col(f"`{n}`") for n in names], held_out(F.col(f"`{id_col}`")).alias("held_out"), "score",
+    return Scorer(terms, idf, model, k, prior, vectors, names, added)
+
+
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` without its text plus held_out, score (0 to 1), predicted, and
+    the evidence: ids and cosines of the nearest examples, best first.
+
+    ``labels``: the id column and ``toxic`` (0, 1; null: unlabelled), of
+    which ids with crc32(id) mod 5 = 0 are never learned from.  At most
+    ``per_class`` documents of each class are examples (a seeded sample).  A
+    document labelled twice counts as toxic if any label says so.  Null and
+    blank texts have no terms and get the score of term-less documents; with
+    no labels at all every score is 0.  Repeated rows score alike.
+    ``options``: per_class, max_terms, k, seed."""
+    m = fit(df, labels, id_col, text, **options)
+    fields = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in m.names)
+    out = m.vectors.mapInArrow(_score(m.model, m.idf, m.k, m.prior, m.names, m.added), f"{fields}score double, evidence array<long>, cosines array<double>")
+    return out.select(*[F.col(f"`{n}`") for n in m.names], held_out(F.col(f"`{id_col}`")).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
