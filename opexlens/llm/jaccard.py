@@ -370,3 +370,24 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **option
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Every pair of texts that share a shingle, counted, and the closure of the
+# links (quadratic in a shingle's texts: for small tables).
+OP4_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS tid, text, w, copies, least_id FROM (
+    SELECT text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, count(*) AS copies, min(doc_id) AS least_id
+    FROM documents WHERE text IS NOT NULL GROUP BY text) WHERE len(w) > 0),
+sh AS (SELECT DISTINCT tid, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g
+    FROM t, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s(i)),
+n AS (SELECT tid, count(*) AS n FROM sh GROUP BY tid),
+near AS (SELECT x, y FROM (SELECT a.tid AS x, b.tid AS y, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.tid <> b.tid GROUP BY a.tid, b.tid)
+    JOIN n AS p ON p.tid = x JOIN n AS q ON q.tid = y WHERE 5 * c >= 4 * (p.n + q.n - c)),
+reach AS (SELECT tid AS a, tid AS b FROM t UNION SELECT reach.a, near.y FROM reach JOIN near ON near.x = reach.b),
+cls AS (SELECT a AS tid, min(least_id) AS class_id FROM reach JOIN t ON t.tid = reach.b GROUP BY a),
+lnk AS (SELECT x AS tid, sum(copies) AS links, count(*) AS texts FROM near JOIN t ON t.tid = near.y GROUP BY x)
+SELECT d.doc_id, CASE WHEN t.tid IS NULL THEN d.doc_id ELSE class_id END AS class_id,
+    CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(texts, 0) AS BIGINT) AS n_text_links,
+    CAST(coalesce(copies, 1) AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN cls USING (tid) LEFT JOIN lnk USING (tid)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_near_duplicates": jaccard.OP4_SQL,
     "op5_quality": quality.OP5_SQL,
     "op6_substrings": substrings.OP6_SQL,
     "op8_lines": lines.OP8_SQL,
