@@ -20,7 +20,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by their nearest labelled examples go.
     Text-less documents score as such.  Each text is scored where its row is."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    drop_stage(model.vectors)  # the fitted model is all that scoring needs
     return docs.where(model.of_text(F.col("text")) < 0.5)
 
 

@@ -1,17 +1,19 @@
 """Toxicity from the nearest labelled examples.
 
 Texts are bags of words and word beginnings (4, 5 and 6 bytes, ASCII folded
-to lower case).  A bounded sample of labelled documents chooses the terms
-that separate the classes (chi-square) and serves as the examples; document
-frequencies for the inverse frequencies are counted over the whole corpus.
-Each document finds its ``k`` nearest examples by TF-IDF cosine.  Examples
-stand in blocks of an inverted index that keeps each term's largest weight
-per block; a block whose bound cannot beat the k-th best so far is skipped,
-so results are exact.  Votes weighted by similarity are calibrated by a
-logistic fit on leave-one-out votes of the examples.
-
-Bounds (parameters): examples per class, number of terms.  Everything else
-covers all rows.  The driver holds the terms and the examples' term counts only.
+to lower case).  A bounded sample of labelled documents serves as the
+examples, and every term of theirs counts: its weight is the inverse document
+frequency, counted over the whole corpus, times the absolute log odds of the
+classes among the examples (smoothed by half a text), so terms that tell
+nothing weigh little and no term is left out.  Each document finds its ``k``
+nearest examples by the cosine of these vectors.  The commonest ``DENSE``
+terms stand in blocks of examples with each term's largest weight per block,
+all others in posting lists; a block whose bound cannot beat the k-th best of
+the lists alone is skipped, so results are exact.  Votes weighted by similarity are
+calibrated by a logistic fit on leave-one-out votes of the examples.
+
+Bound (parameter): examples per class.  Everything else covers all rows.
+The driver holds the examples' terms and their counts only.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from opexlens.llm.common import drop_stage, fresh, mix64, stage, table, text_blo
 
 PREFIXES = (4, 5, 6)
 BLOCK, K = 64, 15
-PER_CLASS, MAX_TERMS, MIN_CHI2, MIN_LIFT = 2000, 1024, 20.0, 50.0
-MIN_EXAMPLES, MIN_SHARE = 3, 0.02  # texts with a term: at least both, the share of the smaller class
+PER_CLASS, DENSE = 2000, 1024
+QUERIES, POSTINGS = 250, 1 << 18  # texts scored at a time, postings read at a time
 
 
 # -- terms ------------------------------------------------------------------
@@ -62,7 +64,7 @@ def _example_terms(batches):
 
 def _vectors(terms: np.ndarray, keep: list[str], added: list[str]):
     """Columns ``keep``, then the text -> ``keep`` and (term numbers, counts)
-    over the chosen terms (sorted)."""
+    over the examples' terms (sorted)."""
     def run(batches):
         for batch in batches:
             for lo, texts in text_blocks(batch.column(len(keep))):
@@ -84,58 +86,133 @@ def _vectors(terms: np.ndarray, keep: list[str], added: list[str]):
     return run
 
 
-def weights(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """Dense unit vectors (n x terms): (1 + log count) * idf."""
-    out = np.zeros((n, len(idf)), np.float32)
-    out[rows, terms] = (1 + np.log(counts)) * idf[terms]
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
+def _frequencies(terms: np.ndarray):
+    """Texts -> (term number, texts with it), once per task; -1: all texts."""
+    def run(batches):
+        seen, n = np.zeros(len(terms), np.int64), 0
+        for out in _vectors(terms, [], ["terms", "counts"])(batches):
+            n += len(out)
+            seen += np.bincount(out.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=len(terms))
+        found = np.flatnonzero(seen)
+        for lo in range(0, len(found) + 1, 1 << 16):
+            part = found[lo:lo + (1 << 16)]
+            all_texts = ([-1], [n]) if lo == 0 else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(part, all_texts[0]).astype(np.int32)),
+                                              pa.array(np.append(seen[part], all_texts[1]).astype(np.int64))], ["term", "n"])
+    return run
+
+
+def weights(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Entries of unit vectors (rows 0 to n - 1): (1 + log count) * weight."""
+    out = (1 + np.log(counts)) * weight[terms]
+    norm = np.sqrt(np.bincount(rows, weights=out**2, minlength=n))
+    return (out / np.where(norm > 0, norm, 1)[rows]).astype(np.float32)
+
+
+class Vectors(NamedTuple):
+    """Unit vectors: the commonest terms as a dense matrix, the entries of
+    all others as (row, term, value)."""
+
+    dense: np.ndarray
+    row: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    def part(self, lo: int, hi: int) -> Vectors:
+        """Rows lo to hi - 1 (entries are sorted by row)."""
+        a, b = np.searchsorted(self.row, [lo, hi])
+        return Vectors(self.dense[lo:hi], self.row[a:b] - lo, self.term[a:b], self.value[a:b])
+
+
+def vectors(n: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, column: np.ndarray) -> Vectors:
+    """``n`` entries a row; ``column``: a term's dense column, -1 for none."""
+    row = np.repeat(np.arange(len(n)), n)
+    value = weights(row, terms, counts, weight, len(n))
+    at = column[terms]
+    common = at >= 0
+    dense = np.zeros((len(n), int(column.max(initial=-1)) + 1), np.float32)
+    dense[row[common], at[common]] = value[common]
+    return Vectors(dense, row[~common].astype(np.int32), terms[~common].astype(np.int32), value[~common])
 
 
 # -- the block-max index ----------------------------------------------------
 
 class BlockMaxIndex:
-    """Examples in blocks, with every term's largest weight per block."""
+    """Examples in blocks, with every common term's largest weight per block
+    and posting lists of all other terms."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+    def __init__(self, vectors: np.ndarray | Vectors, ids: np.ndarray, labels: np.ndarray):
+        if not isinstance(vectors, Vectors):
+            vectors = Vectors(vectors, *(np.zeros(0, t) for t in (np.int64, np.int64, np.float32)))
+        dense = vectors.dense
         # Examples with the same strongest term stand together, so that a
         # block is strong in few terms and its bound is tight.
-        order = np.lexsort((ids, vectors.argmax(axis=1) if vectors.shape[1] else np.zeros(len(ids)), ~vectors.any(axis=1)))
-        self.vectors, self.ids, self.labels = vectors[order], ids[order], labels[order]
+        order = np.lexsort((ids, dense.argmax(axis=1) if dense.shape[1] else np.zeros(len(ids)), ~dense.any(axis=1)))
+        self.vectors, self.ids, self.labels = dense[order], ids[order], labels[order]
         self.edges = list(range(0, len(ids), BLOCK))
-        self.most = np.stack([self.vectors[e:e + BLOCK].max(axis=0) for e in self.edges], axis=1) if self.edges else np.zeros((vectors.shape[1], 0), np.float32)
-
-    def nearest(self, queries: np.ndarray, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.most = np.stack([self.vectors[e:e + BLOCK].max(axis=0) for e in self.edges], axis=1) if self.edges else np.zeros((dense.shape[1], 0), np.float32)
+        place = np.argsort(order)
+        by_term = np.argsort(vectors.term, kind="stable")
+        self.example, self.value = place[vectors.row[by_term]].astype(np.min_scalar_type(max(1, len(ids)))), vectors.value[by_term]
+        self.first = np.searchsorted(vectors.term[by_term], np.arange(int(vectors.term.max(initial=-1)) + 2))
+        self.place = place  # where each example stands
+
+    def rare(self, queries: Vectors) -> np.ndarray:
+        """Products over the posting lists (queries x examples)."""
+        out = np.zeros((len(queries.dense), len(self.ids)), np.float32)
+        known = np.flatnonzero(queries.term < len(self.first) - 1)
+        row, term, value = queries.row[known], queries.term[known], queries.value[known]
+        size = self.first[term + 1] - self.first[term]
+        upto, at = np.cumsum(size), 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + POSTINGS, side="right")))
+            n = size[at:to]
+            post = np.repeat(self.first[term[at:to]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            lo, hi = int(row[at]), int(row[to - 1]) + 1
+            out[lo:hi] += np.bincount(np.repeat((row[at:to] - lo).astype(np.int64) * len(self.ids), n) + self.example[post], weights=np.repeat(value[at:to], n) * self.value[post],
+                                      minlength=(hi - lo) * len(self.ids)).reshape(hi - lo, -1)
+            at = to
+        return out
+
+    def nearest(self, queries: np.ndarray | Vectors, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines), the k best of each query, best first
         and ties by number; cosine 0 where fewer have a term in common."""
-        best = np.zeros((len(queries), k), np.float32)
-        who = np.full((len(queries), k), -1)
+        rare = None
+        if isinstance(queries, Vectors):
+            if len(queries.dense) > QUERIES:
+                parts = [self.nearest(queries.part(lo, lo + QUERIES), k, None if leave_out is None else leave_out[lo:lo + QUERIES])
+                         for lo in range(0, len(queries.dense), QUERIES)]
+                return tuple(np.concatenate(x) for x in zip(*parts))
+            rare, queries = self.rare(queries), queries.dense
+        who, best = np.full((len(queries), k), -1), np.zeros((len(queries), k), np.float32)
         if not self.edges:
             return who, best
-        bound = queries @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(len(self.edges)):
-            block = order[:, turn]
-            limit = bound[np.arange(len(queries)), block]
-            active = np.flatnonzero((limit > 0) & (limit * (1 + 1e-5) >= best[:, -1]))
-            if not len(active):
-                break
-            for b in np.unique(block[active]):
-                rows = active[block[active] == b]
-                lo = self.edges[b]
-                score = queries[rows] @ self.vectors[lo:lo + BLOCK].T
-                numbers = np.arange(lo, lo + score.shape[1])
-                if leave_out is not None:
-                    score[leave_out[rows][:, None] == numbers] = 0
-                both = np.concatenate([best[rows], score], axis=1)
-                names = np.concatenate([who[rows], np.broadcast_to(numbers, score.shape)], axis=1)
-                names = np.where(both > 0, names, np.iinfo(np.int64).max)
-                pick = np.lexsort((names, -both), axis=1)[:, :k]
-                best[rows] = np.take_along_axis(both, pick, axis=1)
-                who[rows] = np.take_along_axis(np.where(both > 0, names, -1), pick, axis=1)
+        # Common terms only add, so the k-th best of the others is a floor.
+        bound, floor = queries @ self.most, np.zeros(len(queries), np.float32)
+        score = np.zeros((len(queries), len(self.ids)))
+        if rare is not None:
+            bound += np.maximum.reduceat(rare, self.edges, axis=1)
+            if leave_out is not None:
+                rare[np.arange(len(rare)), leave_out] = 0
+            if len(self.ids) > k:
+                floor = np.partition(rare, -k, axis=1)[:, -k]
+        for b, lo in enumerate(self.edges):
+            rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] * (1 + 1e-5) >= floor))
+            if len(rows):
+                product = queries[rows] @ self.vectors[lo:lo + BLOCK].T
+                score[rows, lo:lo + BLOCK] = product if rare is None else product + rare[rows, lo:lo + BLOCK]
+        if leave_out is not None:
+            score[np.arange(len(score)), leave_out] = 0
+        # Far below the spacing of single precision: ties go by number.
+        ranked = score - np.arange(len(self.ids)) * 1e-14
+        pick = np.argpartition(-ranked, k - 1, axis=1)[:, :k] if len(self.ids) > k else np.broadcast_to(np.arange(len(self.ids)), score.shape)
+        pick = np.take_along_axis(pick, np.lexsort((pick, -np.take_along_axis(score, pick, axis=1)), axis=1), axis=1)
+        n = pick.shape[1]
+        best[:, :n] = np.take_along_axis(score, pick, axis=1)
+        who[:, :n] = np.where(best[:, :n] > 0, pick, -1)
         return who, best
 
-    def votes(self, queries: np.ndarray, k: int, prior: float, leave_out: np.ndarray | None = None):
+    def votes(self, queries: np.ndarray | Vectors, k: int, prior: float, leave_out: np.ndarray | None = None):
         """Share of similarity that is toxic, drawn to the prior by half a
         perfect neighbour, with the neighbours behind it."""
         who, cosine = self.nearest(queries, k, leave_out)
@@ -164,35 +241,41 @@ def held_out(doc_id):
 
 
 class Scorer(NamedTuple):
-    """A fitted model: the terms, their inverse frequencies, the index with
-    the calibration, and the corpus' term vectors (a written table)."""
+    """A fitted model: the examples' terms, their weights and dense columns,
+    and the index with the calibration."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
+    column: np.ndarray
     model: tuple
     k: int
     prior: float
-    vectors: DataFrame
-    names: list
-    added: list
+
+    def of_batches(self, keep: list[str]):
+        """Arrow step: columns ``keep``, then the text -> ``keep``, score,
+        evidence, cosines."""
+        found = _vectors(self.terms, keep, ["terms", "counts"])
+        scores = _score(self.model, self.weight, self.column, self.k, self.prior, len(keep))
+
+        def run(batches):
+            for out in scores(found(batches)):
+                yield out.rename_columns(keep + ["score", "evidence", "cosines"])
+        return run
 
     def of_text(self, text: Column) -> Column:
         """The score of a text column, where the rows are."""
-        vectors = _vectors(self.terms, [], ["terms", "counts"])
-        scores = _score(self.model, self.idf, self.k, self.prior, [], ["terms", "counts"])
+        scores = self.of_batches([])
 
         @F.pandas_udf("double")
         def score_text(values: pd.Series) -> pd.Series:
             batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string(), from_pandas=True)], ["text"])
-            return pd.Series([p for out in scores(vectors([batch])) for p in out.column("score").to_numpy()], dtype=float)
+            return pd.Series([p for out in scores([batch]) for p in out.column("score").to_numpy()], dtype=float)
         return score_text(text)
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS,
-        max_terms: int = MAX_TERMS, k: int = K, seed: int = 5) -> Scorer:
+        k: int = K, seed: int = 5) -> Scorer:
     """The scorer that :func:`score` applies; see there."""
-    names = [c for c in df.columns if c not in (text, "held_out", "score", "predicted", "evidence", "cosines")]
-    added = fresh(df, "terms", "counts")
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")) \
         .where(~held_out(F.col("doc_id")))
     # Labels without a document here teach nothing; only those with one are sampled.
@@ -215,31 +298,29 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     of = {int(r["toxic"]): int(r["n"]) for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = of.get(0, 0), of.get(1, 0)
 
-    # Terms: in enough texts (a group of copies is not a pattern), chi-square
-    # and lift above the floors, the strongest first.
-    enough = max(MIN_EXAMPLES, MIN_SHARE * min(n0, n1))
-    a, b = F.col("a"), F.col("b")
-    chi2 = (a * F.lit(float(n0)) - b * F.lit(float(n1)))**2 * (n0 + n1) / ((a + b) * (n0 + n1 - a - b + 1e-9) * max(1, n0) * max(1, n1))
-    lift = F.greatest((a + 0.5) / (n1 + 1.0) / ((b + 0.5) / (n0 + 1.0)), (b + 0.5) / (n0 + 1.0) / ((a + 0.5) / (n1 + 1.0)))
-    chosen = (texts.select("toxic", "text").mapInArrow(_example_terms, "term long, toxic int")
-              .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(a + b >= enough)
-              .select("term", chi2.alias("chi2"), lift.alias("lift")).where((F.col("chi2") >= MIN_CHI2) & (F.col("lift") >= MIN_LIFT))
-              .orderBy(F.desc("chi2"), "term").limit(max_terms).collect()) if n0 and n1 else []
-    terms = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
-
-    fields = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    sparse = ", ".join(f"`{c}` array<int>" for c in added)
-    vectors = stage(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias(fresh(df, "__text")[0]))
-                    .mapInArrow(_vectors(terms, names, added), f"{fields}{', ' if fields else ''}{sparse}"), "toxic-vectors")
-    n_docs, seen = vectors.count(), np.zeros(len(terms))
-    for r in vectors.select(F.explode(F.col(f"`{added[0]}`")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # at most max_terms rows
-        seen[r["t"]] = r["n"]
-    idf = np.log((1 + n_docs) / (1 + seen)) + 1
-
-    examples = texts.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms, ["doc_id", "toxic"], ["terms", "counts"]), f"doc_id {df.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id")
-    model = _fit(examples, idf, {c: size.get(c, 0) for c in (0, 1)}, k, prior)
-    drop_stage(known, sample)
-    return Scorer(terms, idf, model, k, prior, vectors, names, added)
+    # Every term of the examples, weighed by the log odds of the classes.
+    found = texts.select("toxic", "text").mapInArrow(_example_terms, "term long, toxic int").groupBy("term") \
+        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.lit(bool(n0 and n1))).toArrow()
+    terms, a, b = (found.column(c).to_numpy() for c in ("term", "a", "b"))
+    terms = terms.view(np.uint64)
+    order = np.argsort(terms)
+    terms, a, b = terms[order], a[order], b[order]
+    odds = np.abs(np.log((a + 0.5) / (n1 + 1.0) / ((b + 0.5) / (n0 + 1.0))))
+    column = np.full(len(terms), -1, np.int32)
+    common = np.lexsort((terms, -(a + b)))[:DENSE]
+    column[common] = np.arange(len(common))
+
+    # Rows of the terms' counts: at most one per term and task, one per term in all.
+    counted = df.select(F.col(text).alias("text")).mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1)
+    seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    n_docs, seen = seen[-1], seen[:-1]  # -1: all texts
+    weight = (np.log((1 + n_docs) / (1 + seen)) + 1) * odds
+
+    examples = texts.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms, ["doc_id", "toxic"], ["terms", "counts"]), f"doc_id {df.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow()
+    model = _fit(examples, weight, column, {c: size.get(c, 0) for c in (0, 1)}, k, prior)
+    drop_stage(known, sample, texts)
+    return Scorer(terms, weight, column, model, k, prior)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -252,51 +333,59 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     document labelled twice counts as toxic if any label says so.  Null and
     blank texts have no terms and get the score of term-less documents; with
     no labels at all every score is 0.  Repeated rows score alike.
-    ``options``: per_class, max_terms, k, seed."""
+    ``options``: per_class, k, seed."""
     m = fit(df, labels, id_col, text, **options)
-    fields = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in m.names)
-    out = m.vectors.mapInArrow(_score(m.model, m.idf, m.k, m.prior, m.names, m.added), f"{fields}score double, evidence array<long>, cosines array<double>")
-    return out.select(*[F.col(f"`{n}`") for n in m.names], held_out(F.col(f"`{id_col}`")).alias("held_out"), "score",
+    names = [c for c in df.columns if c not in (text, "held_out", "score", "predicted", "evidence", "cosines")]
+    fields = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+    out = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias(fresh(df, "__text")[0])) \
+        .mapInArrow(m.of_batches(names), f"{fields}score double, evidence array<long>, cosines array<double>")
+    return out.select(*[F.col(f"`{n}`") for n in names], held_out(F.col(f"`{id_col}`")).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
-def _dense(terms, counts, idf: np.ndarray) -> np.ndarray:
-    n = np.array([len(t) for t in terms], np.int64)
-    flat = (lambda v: np.concatenate([np.asarray(x, np.int64) for x in v]) if n.sum() else np.zeros(0, np.int64))
-    return weights(np.repeat(np.arange(len(n)), n), flat(terms), flat(counts), idf, len(n))
+def _batch_vectors(terms: pa.Array, counts: pa.Array, weight: np.ndarray, column: np.ndarray) -> Vectors:
+    n = np.diff(terms.offsets.to_numpy())
+    return vectors(n, *(c.flatten().to_numpy(zero_copy_only=False) for c in (terms, counts)), weight, column)
 
 
-def _fit(examples, idf: np.ndarray, size: dict[int, int], k: int, prior: float):
+def _fit(examples, weight: np.ndarray, column: np.ndarray, size: dict[int, int], k: int, prior: float):
     """(index, slope, intercept) from the examples; votes for the fit leave
     the example itself out, and classes weigh as in all labelled rows."""
-    index = BlockMaxIndex(_dense(examples["terms"], examples["counts"], idf), examples["doc_id"].to_numpy(np.int64), examples["toxic"].to_numpy(np.int64))
-    y = index.labels.astype(float)
+    parts, at = [], 0
+    for batch in examples.to_batches(max_chunksize=QUERIES):
+        found = _batch_vectors(batch.column("terms"), batch.column("counts"), weight, column)
+        parts.append(found._replace(row=found.row + np.int32(at)))
+        at += len(batch)
+    own = Vectors(*(np.concatenate(x) for x in zip(*parts))) if parts else vectors(*np.zeros((3, 0), np.int32), weight, column)
+    label = examples["toxic"].to_numpy().astype(np.int64)
+    index = BlockMaxIndex(own, examples["doc_id"].to_numpy().astype(np.int64), label)
+    place = index.place
+    y = label.astype(float)
     if not len(y) or y.min() == y.max():
         return index, 0.0, 30.0 if prior == 1 else -30.0
-    vote, _, _ = index.votes(index.vectors, k, prior, np.arange(len(y)))
+    vote, _, _ = index.votes(own, k, prior, place)
     share = np.array([size[int(c)] / max(1, (y == c).sum()) for c in y])
     return index, *logistic(vote, y, share / share.sum() * len(y))
 
 
-def _score(model, idf: np.ndarray, k: int, prior: float, keep: list[str], added: list[str]):
+def _score(model, weight: np.ndarray, column: np.ndarray, k: int, prior: float, keep: int):
+    """Arrow step: ``keep`` columns, terms, counts -> the columns, score,
+    evidence, cosines."""
     index, slope, intercept = model
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                flat = [part.column(c) for c in added]
-                n = np.diff(flat[0].offsets.to_numpy())
-                terms, counts = (c.flatten().to_numpy(zero_copy_only=False) for c in flat)
-                vote, who, cosine = index.votes(weights(np.repeat(np.arange(len(part)), n), terms, counts, idf, len(part)), k, prior)
+                vote, who, cosine = index.votes(_batch_vectors(part.column(keep), part.column(keep + 1), weight, column), k, prior)
                 p = 1 / (1 + np.exp(-np.clip(slope * vote + intercept, -30, 30))) if prior else np.zeros(len(part))
                 used = who >= 0
                 edge = np.append(0, np.cumsum(used.sum(axis=1))).astype(np.int32)
                 ids = index.ids[who[used]] if len(index.ids) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(p), pa.ListArray.from_arrays(edge, pa.array(ids.astype(np.int64))),
-                                                      pa.ListArray.from_arrays(edge, pa.array(cosine[used].astype(float)))],
-                    keep + ["score", "evidence", "cosines"])
+                    [part.column(i) for i in range(keep)] + [pa.array(p), pa.ListArray.from_arrays(edge, pa.array(ids.astype(np.int64))),
+                                                             pa.ListArray.from_arrays(edge, pa.array(cosine[used].astype(float)))],
+                    [f"c{i}" for i in range(keep)] + ["score", "evidence", "cosines"])
     return run
 
 
