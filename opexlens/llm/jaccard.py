@@ -8,9 +8,9 @@ similarity 0.8 or more.  Equal texts are one class from the start.
    probability 5e-8).
 2. Inside a bucket, pairs compare their MinHash values 32 at a time and are
    dropped once the posterior probability of similarity >= 0.8 (uniform
-   prior) is below ``tolerance``.  A text already joined to another of the
-   bucket needs no comparisons of its own, so a bucket of near copies costs
-   one pass, not all pairs.
+   prior) is below ``tolerance``.  Texts that the bucket's surviving pairs
+   already connect are not compared again, so a bucket of near copies costs
+   one pass; all pairs of texts not yet connected are compared.
 3. Surviving pairs make connected groups; within a group, members meet in
    blocks, are pruned the same way, and what survives is verified by exact
    set intersection.  Links are counted where they are found; only counts and
@@ -149,36 +149,36 @@ def complete_groups(batches, keys: list[str]):
 
 
 def _prune(least: list[int]):
-    """Sorted bucket rows -> candidate edges.  Each round takes one pivot per
-    bucket, compares it with the whole bucket, and retires what it joined."""
+    """Sorted bucket rows -> candidate edges.  Round r takes row r of every
+    bucket and compares it with the rows after it that no edge of the bucket
+    connects to it yet, until the rows left are all connected."""
     def run(batches):
         for rows, head in complete_groups(batches, ["band", "c0", "c1"]):
             rep = rows.column("rep").to_numpy()
             sig = _sig_matrix(rows.column("sig").combine_chunks())
-            group = np.zeros(len(rep), np.int64)
-            group[head[1:]] = 1
-            group = np.cumsum(group)
-            done, size = np.zeros(len(rep), bool), np.diff(np.append(head, len(rep)))
-            while True:
-                open_rows = np.flatnonzero(~done)
-                active, at = np.unique(group[open_rows], return_index=True)
-                active_ok = size[active] > 1
-                active, pivot = active[active_ok], open_rows[at][active_ok]
-                if not len(active):
-                    break
-                other = np.repeat(head[active], size[active]) + np.arange(size[active].sum()) - np.repeat(np.cumsum(size[active]) - size[active], size[active])
-                one = np.repeat(pivot, size[active])
-                found = []
-                for lo in range(0, len(other), 1 << 16):
-                    a, b = one[lo:lo + (1 << 16)], other[lo:lo + (1 << 16)]
-                    found.append(survivors(sig[a], sig[b], least) + lo)
-                found = np.concatenate(found)
-                one, other = one[found], other[found]
-                done[pivot] = True
-                done[other] = True
-                linked = rep[one] != rep[other]
-                if linked.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[one[linked]]), pa.array(rep[other[linked]])], ["a", "b"])
+            size, joined, turn = np.diff(np.append(head, len(rep))), np.arange(len(rep)), 0
+            live = np.flatnonzero(size > 1)
+            while len(live):
+                pivot, n = head[live] + turn, size[live] - turn - 1
+                start = np.cumsum(n) - n
+                other = np.repeat(pivot + 1 - start, n) + np.arange(n.sum())
+                one = np.repeat(pivot, n)
+                apart = np.flatnonzero(joined[other] != joined[one])
+                a, b, found = one[apart], other[apart], []
+                for lo in range(0, len(a), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    found.append(survivors(sig[a[part]], sig[b[part]], least) + lo)
+                if found:
+                    found = np.concatenate(found)
+                    a, b = a[found], b[found]
+                    to = np.arange(len(rep))
+                    to[joined[b]] = joined[a]  # one pivot a bucket: no chains
+                    joined = to[joined]
+                    linked = rep[a] != rep[b]
+                    if linked.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[a[linked]]), pa.array(rep[b[linked]])], ["a", "b"])
+                mixed = np.logical_or.reduceat(joined[other] != np.repeat(joined[pivot + 1], n), start)
+                live, turn = live[mixed], turn + 1
     return run
 
 
