@@ -143,16 +143,10 @@ def _pieces(block_words: int, seed: int):
             room = pdf["rest"].to_numpy(np.int64)[row] - before
             stop = np.where(partial, np.minimum(end, block * W + np.maximum(room, 0)), end)
             keep = stop > begin
-            # Ranges of one document and pass that touch stay together, with
-            # the block that holds their first word.
             row, turn, block, place, blocks, begin, stop = (v[keep] for v in (row, turn, block, place, blocks, begin, stop))
             if not len(row):
                 continue
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (turn[1:] != turn[:-1]) | (begin[1:] != stop[:-1])
-            head = np.flatnonzero(new)
-            n_words = np.add.reduceat(stop - begin, head)
-            row, turn, block, place, blocks, begin = (v[head] for v in (row, turn, block, place, blocks, begin))
+            n_words = stop - begin
             g = turn * blocks + place
             edges = np.stack(pdf["edges"].to_numpy())
             mid = pdf["mid"].to_numpy()
@@ -171,7 +165,7 @@ def plan(df: DataFrame, source: str = "source", weights: tuple = WEIGHTS, share:
 
     documents: all columns of ``df`` but the text plus mid (row id), size,
     source_size, target.  pieces: mid, pass, shard, block, first_word,
-    n_words; one row per contiguous word range.  ``row_id`` names a stable
+    n_words; one row per pass and block that a document meets.  ``row_id`` names a stable
     unique row number in ``df``, else one is made.  Null sources
     are one source, sorted last; null texts have no words; a row without words has no piece;
     repeated rows are rows of their own; an empty table gives none."""
