@@ -176,12 +176,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off.astype(np.int64) - int(off[0])
 
 
-def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, rows: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte) of every word and, per row, the index of its
-    first word (one more entry closes the last row)."""
+    first word (one more entry closes the last row).  ``breaks`` marks the
+    bytes between words."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
-    word = ~_IS_SPACE[data]
+    word = ~breaks[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from opexlens.llm import html_text, jaccard, lines, mixing, packing, quality, sharding, sketches, substrings, toxicity
+from opexlens.llm import (conversations, decontaminate, html_text, jaccard, lines, mixing, packing, quality, search, sharding, sketches, substrings,
+                          toxicity)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_html": html_text.op9_html,
     "op10_fingerprints": sketches.op10_fingerprints,
+    "op11_contamination": decontaminate.op11_contamination,
+    "op12_search": search.op12_search,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 ORACLE: dict[str, str] = {
@@ -22,4 +26,6 @@ ORACLE: dict[str, str] = {
     "op5_quality": quality.OP5_SQL,
     "op6_substrings": substrings.OP6_SQL,
     "op8_lines": lines.OP8_SQL,
+    "op11_contamination": decontaminate.OP11_SQL,
+    "op12_search": search.OP12_SQL,
 }
