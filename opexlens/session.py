@@ -131,7 +131,8 @@ def stage_scope(spark: SparkSession):
     try:
         yield paths
     finally:
-        _SCOPES.remove(paths)
+        # By identity: equal (empty) scopes are still different ones.
+        del _SCOPES[next(i for i in range(len(_SCOPES) - 1, -1, -1) if _SCOPES[i] is paths)]
         _delete(spark, paths)
 
 

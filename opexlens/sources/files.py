@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_dates
+from . import csv_records
 
 MONTH = "_month"  # partition folder of saved datasets
 
@@ -27,11 +28,15 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     handled by the cleaning step (a CSV reader takes only one null marker).
 
     Files of a folder may have different headers: files are grouped by their
-    header and the groups united by column name.  ``multi_line`` reads line
-    feeds inside quoted cells, at the price of one task per file; without it
-    large files are split."""
-    options = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(), "escape": '"'}
-    reader = spark.read.options(**options)
+    header and the groups united by column name.  Quoted cells may hold line
+    feeds, and a large file is read by many tasks all the same
+    (``csv_records``).  Without ``multi_line`` every line is a record, which
+    saves finding them."""
+    if multi_line:
+        found = csv_records.read_csv(spark, path)
+        if found is not None:
+            return found
+    reader = spark.read.options(header="true", inferSchema="false", mode="PERMISSIVE", escape='"')
     groups: dict[tuple, list[str]] = {}
     for f in _csv_files(spark, path):
         groups.setdefault(_first_record(spark, f), []).append(f)

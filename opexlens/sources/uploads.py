@@ -24,10 +24,12 @@ _RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
-def csv_bytes(header: list[str], rows: list[list]) -> bytes:
+def csv_bytes(header: list[str], rows: list[list], more: bool = False) -> bytes:
+    """``more``: rows that go on after others, without a header."""
     out = io.StringIO()
     w = csv.writer(out, lineterminator="\n")
-    w.writerow(header)
+    if not more:
+        w.writerow(header)
     w.writerows([["" if v is None else v for v in r] for r in rows])
     return out.getvalue().encode()
 
@@ -96,3 +98,28 @@ def write_uploads(df: DataFrame, path: str, suffix: str, encode: Callable[[list[
 
     df.mapInPandas(write, "n long").agg({"n": "sum"}).collect()
     return path
+
+
+def write_one_csv(df: DataFrame, path: str, rows_per_write: int = 20_000) -> str:
+    """All rows in one quoted CSV file, as one program would export them
+    (written by one task, ``rows_per_write`` rows at a time)."""
+    header, target = df.columns, path.rstrip("/")
+    target = target if "://" in target else "file:///" + target.removeprefix("file:").lstrip("/")
+
+    def write(batches):
+        from pyarrow import fs
+        filesystem, base = fs.FileSystem.from_uri(target)
+        filesystem.create_dir(base, recursive=True)
+        n = 0
+        with filesystem.open_output_stream(f"{base}/upload.csv") as out:
+            for pdf in batches:
+                rows = pdf.astype(object).where(pdf.notna(), None).values.tolist()
+                for a in range(0, len(rows), rows_per_write):
+                    out.write(csv_bytes(header, rows[a:a + rows_per_write], more=n > 0))
+                    n += len(rows[a:a + rows_per_write])
+            if not n:
+                out.write(csv_bytes(header, []))
+        yield pd.DataFrame({"n": [n]})
+
+    df.coalesce(1).mapInPandas(write, "n long").agg({"n": "sum"}).collect()
+    return path
