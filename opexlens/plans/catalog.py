@@ -117,7 +117,7 @@ def _q_load_workbooks(s, d):
 
 
 def _q_load_csv_quoted(s, d):
-    path = UP.write_uploads(upload_rows(s, d, remark=True), shared_path(s, "csv-quoted"), ".csv", UP.csv_bytes)
+    path = UP.write_one_csv(upload_rows(s, d, remark=True), shared_path(s, "csv-quoted"))
     up = FS.load_table(s, path)
     kept = K.kpis(C.clean(up, with_shift_code=False))
     texts = up.agg(F.count("*").alias("rows"), F.countDistinct("Remark").alias("remarks"),
@@ -268,16 +268,17 @@ QUERIES: dict[str, Query] = {
     "anomaly_rows": lambda s, d: AN.anomaly_rows(AN.anomaly_depth(records(s, d))),
     "anomaly_missing": lambda s, d: AN.anomaly_depth(with_gaps(s, d)).select(*KEYS, "total_opex", "anomaly_depth", "anomaly"),
     "anomaly_rate_missing": lambda s, d: AN.anomaly_depth_rate(with_gaps(s, d)),
-    "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d)),
-    "anomaly_forest_share": lambda s, d: AN.anomaly_forest(records(s, d)).agg(
+    "anomaly_forest": lambda s, d: AN.anomaly_forest(records(s, d), key_cols=KEYS).select(*KEYS, "total_opex", "anomaly_score", "anomaly"),
+    "anomaly_forest_share": lambda s, d: AN.anomaly_forest(records(s, d), key_cols=KEYS).agg(
         F.count("*").alias("rows"), F.count("anomaly_score").alias("scored"), (F.sum(F.col("anomaly").cast("long")) <= F.count("*") * 0.1).alias("within_share"),
         (F.min("anomaly_score") >= -1).alias("scores_ok")),
     # encodings, drivers, generic models
     "one_hot": lambda s, d: DR.one_hot(records(s, d).select(*KEYS, "factory", "shift")),
     "one_hot_long": lambda s, d: DR.one_hot_long(records(s, d).select(*KEYS, "factory", "shift")),
     "driver_split": lambda s, d: DR.holdout_flag(records(s, d), KEYS).groupBy("is_test").agg(F.count("*").alias("rows")),
-    "driver_features": lambda s, d: DR.cost_drivers(records(s, d), trees=3, key_cols=KEYS).select("feature"),
-    "driver_importance_total": lambda s, d: DR.cost_drivers(records(s, d), trees=3, key_cols=KEYS).agg(
+    "driver_features": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS).select("feature"),
+    "driver_tree_splits": lambda s, d: DR.driver_tree_splits(records(s, d), key_cols=KEYS),
+    "driver_importance_total": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS).agg(
         F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative")),
     "cost_drivers": lambda s, d: DR.cost_drivers(records(s, d), key_cols=KEYS),
     "cost_driver_metrics": lambda s, d: DR.cost_driver_metrics(records(s, d), key_cols=KEYS),

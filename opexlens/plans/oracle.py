@@ -6,6 +6,7 @@ Spark query returns."""
 from __future__ import annotations
 
 from ..schema import KPI_LABELS
+from .oracle_trees import gini_accuracy, isolation_scores, tree_splits
 
 # The oracle's own statement of what a number looks like and of the texts a
 # file reader takes for missing (not the constants of the code under test).
@@ -621,3 +622,15 @@ ORACLE.update({
         CAST(sum(CASE WHEN factory = 'F00' THEN revenue ELSE 0 END) AS DOUBLE) AS revenue, count(CASE WHEN factory = 'F00' THEN 1 END) AS notes,
         CAST(sum(CASE WHEN factory = 'F00' THEN 1 ELSE 0 END) AS BIGINT) AS no_shift FROM ({REC}) GROUP BY factory""",
 })
+
+
+# --- tree models ------------------------------------------------------------------
+
+_KEY_LIST = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_DRIVERS = ["energy_type_1", "energy_type_2", "hr_cost", "admin_cost", "other_cost"]
+_LEVELS = [("factory_" + f"F0{i}", f"factory = 'F0{i}'") for i in range(7)] + [(f"shift_S_{c}", f"shift = 'S_{c}'") for c in "ANR"]
+ORACLE.update({
+    "driver_tree_splits": tree_splits(f"SELECT * FROM ({cleaned()}) WHERE {FOLD} <> 4", [(c, c) for c in _DRIVERS] + [(n, f"({e})::INTEGER") for n, e in _LEVELS], "total_opex", 2),
+    "fit_score_classifier": gini_accuracy(f"SELECT *, {FOLD} = 4 AS is_test FROM ({cleaned()})", _DRIVERS, "shift", ["S_A", "S_N", "S_R"], 50, 5, 32),
+    "anomaly_forest": isolation_scores(cleaned(), "total_opex", _KEY_LIST, 100, 256, 0.1),
+})
