@@ -25,7 +25,6 @@ from opexlens.llm.common import fresh, stage, table
 
 WIDTH = 10
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Lists that are intersected one after the other, rarest first; the rest of a
 # window's terms are then met in one join.
 SINGLE_ROUNDS = 3
@@ -69,7 +68,8 @@ def build_index(df: DataFrame, text: str = "text", vocabulary: DataFrame | None
     ``vocabulary`` (column term) only lists that it can ask for are stored.
     Null, empty and wordless texts have no postings; very long texts have one
     row a token like any other."""
-    words = df.select(*text_key(F.col(text)), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK, -1)).alias("pos", "word")).where("word != ''")
+    # The outer form: for the plain one Spark adds a filter that splits every text twice more.
+    words = df.select(*text_key(F.col(text)), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), BREAK, -1)).alias("pos", "word")).where("word != ''")
     postings = words.select("h1", "h2", F.xxhash64(lowered(F.col("word"))).alias("term"), "pos")
     if vocabulary is not None:
         postings = postings.join(vocabulary.select("term"), "term", "left_semi")
@@ -91,11 +91,13 @@ def phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
     plans = _plans(index, windows)
     spot = ["w1", "w2", "len", "h1", "h2", "start"]
     seeds = plans.select("w1", "w2", "len", "plan", F.col("plan")[0]["term"].alias("term"), F.col("plan")[0]["off"].alias("off"))
-    found = seeds.join(index, "term").select("w1", "w2", "len", "plan", "h1", "h2", (F.col("pos") - F.col("off")).alias("start")).dropDuplicates(spot)
+    # Only the seeds' lists move; a merge join holds the few windows of a term, not its list.
+    lists = index.join(stage(seeds.select("term").distinct(), "seed-terms"), "term", "left_semi")
+    found = lists.join(seeds, "term").select("w1", "w2", "len", "plan", "h1", "h2", (F.col("pos") - F.col("off")).alias("start")).dropDuplicates(spot)
     found = stage(found, "starts")
     for r in range(1, SINGLE_ROUNDS):
         step = F.get("plan", F.lit(r))
-        terms = plans.where(F.size("plan") > r).select(step["term"].alias("term")).distinct()
+        terms = stage(plans.where(F.size("plan") > r).select(step["term"].alias("term")).distinct(), "next-terms")
         lists = index.join(terms, "term", "left_semi")
         probes = found.where(F.size("plan") > r).select("*", step["term"].alias("term"), (F.col("start") + step["off"]).alias("pos"))
         met = probes.join(lists, ["h1", "h2", "term", "pos"], "left_semi").select(found.columns)
@@ -168,7 +170,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item: str
     k1, k2 = fresh(df, "__h1", "__h2")
     hits = find_items(df, items, text, item, item_text, width).withColumnsRenamed({"h1": k1, "h2": k2})
     keys = text_key(F.col(text))
-    out = df.select("*", keys[0].alias(k1), keys[1].alias(k2), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TERM)).cast("long").alias("n_words")) \
+    out = df.select("*", keys[0].alias(k1), keys[1].alias(k2), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BREAK, -1), lambda w: w != "")).cast("long").alias("n_words")) \
         .join(hits, [k1, k2], "left")
     none = F.array().cast("array<string>")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
