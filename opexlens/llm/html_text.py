@@ -63,7 +63,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟।]")
 
 COMMENT_NAMES = frozenset("comment comments disqus respond replies reply".split())
 CLEAR, BY_NAME, SURE = 0, 1, 2
-NAME_VOTE, CONTENT_VOTE = 0.1, 2.0
+NAME_VOTE, CONTENT_VOTE = 0.04, 3.0
 # Text share of the page from which an element's names are overruled.
 # (and no article or main element stands elsewhere).
 OVERRULED = 0.6
