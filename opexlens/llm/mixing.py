@@ -19,11 +19,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-from opexlens.llm.common import WORD, fresh, multi_hypergeometric, partitions, permute, stage, table
+from opexlens.llm.common import fresh, mix64, multi_hypergeometric, partitions, permute, stage, table, words_of
 
 CHUNK = 1000
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -111,8 +112,8 @@ def _quotas(sources: DataFrame, block_words: int, shards: int, seed: int) -> Dat
 
 
 def _pieces(block_words: int, seed: int):
-    """Arrow step: every document row -> its taken word ranges, one per
-    (pass, block) that it meets."""
+    """Arrow step: every document row -> one row with its taken word ranges,
+    an entry per (pass, block) that it meets; none for rows that give nothing."""
     W = block_words
 
     def run(batches):
@@ -150,12 +151,13 @@ def _pieces(block_words: int, seed: int):
             g = turn * blocks + place
             edges = np.stack(pdf["edges"].to_numpy())
             mid = pdf["mid"].to_numpy()
-            for lo in range(0, len(row), 1 << 17):  # shard of g, in bounded slices
+            shard = np.empty(len(row), np.int32)
+            for lo in range(0, len(row), 1 << 17):  # in bounded slices
                 k = slice(lo, lo + (1 << 17))
-                yield pd.DataFrame({
-                    "mid": mid[row[k]], "pass": turn[k].astype(np.int32),
-                    "shard": ((edges[row[k]] <= g[k, None]).sum(axis=1) - 1).astype(np.int32),
-                    "block": block[k], "first_word": (begin - at[row])[k], "n_words": n_words[k]})
+                shard[k] = (edges[row[k]] <= g[k, None]).sum(axis=1) - 1
+            first_of = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            columns = {"pass": turn.astype(np.int32), "shard": shard, "block": block, "first_word": begin - at[row], "n_words": n_words}
+            yield pd.DataFrame({"mid": mid[row[first_of]]} | {c: np.split(v, first_of[1:]) for c, v in columns.items()})
     return run
 
 
@@ -164,15 +166,18 @@ def plan(df: DataFrame, source: str = "source", weights: tuple = WEIGHTS, share:
     """(documents, pieces): what the mix takes from each document.
 
     documents: all columns of ``df`` but the text plus mid (row id), size,
-    source_size, target.  pieces: mid, pass, shard, block, first_word,
-    n_words; one row per pass and block that a document meets.  ``row_id`` names a stable
-    unique row number in ``df``, else one is made.  Null sources
-    are one source, sorted last; null texts have no words; a row without words has no piece;
-    repeated rows are rows of their own; an empty table gives none."""
+    source_size, target (columns of ``df`` with these names are replaced).
+    pieces: mid and the arrays pass, shard, block, first_word, n_words, an
+    entry per pass and block that a document meets; one row a document.
+    ``row_id`` names a stable unique row number in ``df``, else one is made.
+    Null sources are one source, sorted last; null texts have no words; a row
+    without words has no piece; repeated rows are rows of their own; an empty
+    table gives none.  Above 10^9 blocks a draw of quotas takes the normal
+    limit of its law."""
     mid_rows = df.withColumn("mid", F.col(row_id) if row_id else F.monotonically_increasing_id())
     docs = stage(mid_rows.select(
         *[c for c in df.columns if c not in ("text", "mid", "size", "source_size", "target", "__source")], "mid", F.col(source).alias("__source"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-docs")
+        F.size(words_of(F.col("text"))).cast("long").alias("size")), "mix-docs")
 
     by_source = docs.groupBy("__source").agg(F.sum("size").alias("source_size"))
     ranked = numbered(by_source, [F.col("__source").asc_nulls_last()], "source_rank", "mix-rank")
@@ -196,52 +201,90 @@ def plan(df: DataFrame, source: str = "source", weights: tuple = WEIGHTS, share:
               .select("mid", "size", "source_rank", (F.col("before") + F.col("local")).alias("at")))
     detail = plan_of.select("source_rank", "source_size", "blocks", "passes", "rest", "edges")
     pieces = placed.join(detail, "source_rank").mapInPandas(
-        _pieces(block_words, seed), "mid long, `pass` int, shard int, block long, first_word long, n_words long")
+        _pieces(block_words, seed), "mid long, `pass` array<int>, shard array<int>, block array<long>, first_word array<long>, n_words array<long>")
     documents = docs.join(plan_of.select(F.col("__source").alias("__s"), "source_size", "target"),
                           F.col("__source").eqNullSafe(F.col("__s"))).drop("__source", "__s")
     return documents, pieces
 
 
-def _cut(batches):
-    """Text of word range [first_word, first_word + n_words), with the
-    separators between those words kept."""
+def _cut(names: list[str], seed: int, max_chars: int = 8 << 20):
+    """Arrow step: a document row with its ranges -> a row per range, with the
+    separators between its words kept.  The text is read once, however many
+    ranges it has; about ``max_chars`` characters are held back at a time."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    for pdf in batches:
-        out = []
-        for text, a, n, size in zip(pdf["text"], pdf["first_word"], pdf["n_words"], pdf["size"]):
-            if a == 0 and n == size:
-                out.append(text)
-            else:
-                spans = [m.span() for m in word.finditer(text)]
-                out.append(text[spans[a][0]:spans[a + n - 1][1]])
-        pdf["text"] = out
-        yield pdf.drop(columns=["first_word", "n_words", "size"])
 
+    def run(batches):
+        for batch in batches:
+            rows, out, held = [], [], 0
+            columns = [batch.column(c).to_pylist() for c in ("text", "pass", "shard", "first_word", "n_words", "size")]
+            mids = batch.column("mid").to_numpy(zero_copy_only=False).astype(np.uint64)
+
+            def flush():
+                at = pa.array([r[0] for r in rows], pa.int64())
+                key = order_keys(mids[[r[0] for r in rows]], np.array([r[2] for r in rows], np.uint64), np.array([r[3] for r in rows], np.uint64), seed)
+                arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c).take(at) for c in names]
+                return pa.RecordBatch.from_arrays([*arrays, batch.column("mid").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array(key)],
+                                                  [*names, "mid", "shard", "order_key"])
+
+            for i, (text, passes, shards, firsts, counts, size) in enumerate(zip(*columns)):
+                spans = None
+                for turn, shard, a, n in zip(passes, shards, firsts, counts):
+                    if a == 0 and n == size:
+                        out.append(text)
+                    else:
+                        if spans is None:
+                            spans = [m.span() for m in word.finditer(text)]
+                        out.append(text[spans[a][0]:spans[a + n - 1][1]])
+                    rows.append((i, shard, turn, a))
+                    held += len(out[-1])
+                    if held > max_chars:
+                        yield flush()
+                        rows, out, held = [], [], 0
+            if rows:
+                yield flush()
+    return run
 
-def mix(df: DataFrame, seed: int = 11, shards: int = 16, source: str = "source", **options) -> DataFrame:
-    """The mixed rows: the columns of ``df``, a row per taken range and pass
-    with ``text`` cut to the range, plus shard and order_key; dealt out by
-    shard and stretch of the order, sorted by (shard, order_key) in a task."""
+
+def order_keys(mid: np.ndarray, turn: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """Seeded place of each piece in its shard's order."""
+    with np.errstate(over="ignore"):
+        x = mix64(mid + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        return mix64(mix64(x ^ turn) ^ first).view(np.int64)
+
+
+def mix_rows(df: DataFrame, seed: int = 11, shards: int = 16, source: str = "source", **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, mixed): the plan's documents with their columns as in
+    ``df`` under inner names c0, c1, ..., and the mixed rows with those inner names plus mid, shard and
+    order_key; see ``mix``."""
     names = [c for c in df.columns if c not in ("shard", "order_key")]
     # Inner names are positional, so no column of df can clash with them.
-    inner = {c: f"c{i}" for i, c in enumerate(names)}
-    rows = stage(df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names], F.monotonically_increasing_id().alias("mid")), "mix-rows")
-    docs, pieces = plan(rows.select("mid", F.col(inner["text"]).alias("text"), F.col(inner[source]).alias("source")),
-                        source="source", shards=shards, seed=seed, row_id="mid", **options)
+    inner = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(names)}
+    rows = stage(df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names], F.monotonically_increasing_id().alias("mid")), "mix-rows", codec="zstd")
+    docs, pieces = plan(rows.withColumn("source", F.col(inner[source])), source="source", shards=shards, seed=seed, row_id="mid", **options)
     pieces = stage(pieces.join(docs.select("mid", "size"), "mid"), "mix-pieces")
-    taken = rows.join(pieces.select("mid", "pass", "shard", "first_word", "n_words", "size"), "mid") \
-        .withColumnRenamed(inner["text"], "text") \
-        .withColumn("order_key", F.xxhash64(F.lit(seed), "mid", "pass", "first_word")).drop("pass", "mid")
-    kept = [f for f in taken.schema.fields if f.name not in ("first_word", "n_words", "size")]
-    cut = taken.mapInPandas(_cut, StructType(kept))
+    fields = [T.StructField(inner[c], df.schema[c].dataType) for c in names]
+    cut = rows.join(pieces, "mid").mapInArrow(_cut([inner[c] for c in names], seed), T.StructType(
+        [*fields, T.StructField("mid", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("order_key", T.LongType())]))
     cells = max(1, partitions(df.sparkSession) // shards)
     cell = F.floor((F.shiftright("order_key", 33) + (1 << 30)) * cells / (1 << 31))
-    return (cut.repartition(F.col("shard"), cell).sortWithinPartitions("shard", "order_key")
-            .select(*[F.col("text" if c == "text" else inner[c]).alias(c) for c in names], "shard", "order_key"))
+    return docs.drop("source"), cut.repartition(F.col("shard"), cell).sortWithinPartitions("shard", "order_key")
+
+
+def mix(df: DataFrame, seed: int = 11, shards: int = 16, source: str = "source", **options) -> DataFrame:
+    """The mixed rows: the columns of ``df``, a row per taken range and pass
+    with ``text`` cut to the range, plus shard and order_key; dealt out by
+    shard and stretch of the order, sorted by (shard, order_key) in a task.
+
+    Edge cases as in ``plan``; columns named shard and order_key are replaced.
+    A text of any length is moved once and read once, its ranges leave one by one."""
+    names = [c for c in df.columns if c not in ("shard", "order_key")]
+    _, mixed = mix_rows(df, seed, shards, source, **options)
+    return mixed.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)], "shard", "order_key")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    docs, pieces = plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = pieces.groupBy("mid").agg(F.sum("n_words").alias("taken"))
+    """``taken`` counts the words of the mixed rows themselves."""
+    docs, mixed = mix_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = mixed.groupBy("mid").agg(F.sum(F.size(words_of(F.col("text")))).alias("taken"))
     return docs.join(taken, "mid", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        F.col("c0").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
