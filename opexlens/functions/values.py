@@ -18,9 +18,8 @@ from ..schema import NA_TOKENS, UNKNOWN
 # numbers, so text is checked against this pattern before the cast.
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Date and timestamp text forms accepted per row.  Each is rewritten to ISO
-# order by one pattern and then cast: few expressions, so the generated code
-# stays in one method however many spellings there are.
+# Date and timestamp text forms.  Each has one pattern whose groups, in ISO
+# order, are cast (``date_shapes`` finds their places by the value's shape).
 _TIME = r"( [0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
 _NAME = "[A-Za-z]{3,9}"
 ISO_DATE = (r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
@@ -66,31 +65,12 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
         v = c.cast("int").cast("double")
     else:
         s = F.trim(c.cast("string"))
-        v = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+        # Plain digits, the usual cell, need no pattern.
+        plain = (F.translate(s, "0123456789", "") == "") & (s != "")
+        v = F.when(plain | s.rlike(NUMBER_PATTERN), s.try_cast("double"))
     return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
 
 
-def to_timestamp_any(c: Column, dtype: T.DataType) -> Column:
-    """Parse a date column; unparseable values become null.
-
-    Dates and timestamps pass through unchanged (no parsing on typed
-    input); text is matched against the forms above, row by row."""
-    if is_temporal_type(dtype):
-        return c
-    s = F.trim(c.cast("string"))
-    tries = [F.when(s.rlike(ISO_DATE), s.try_cast("timestamp"))]
-    for pattern, rewrites in NUMERIC_DATES:
-        tries.append(F.when(s.rlike(pattern), F.coalesce(*[F.regexp_replace(s, pattern, r).try_cast("timestamp") for r in rewrites])))
-    numbers = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS) for name in dict.fromkeys([m, m[:3]]) for v in (name, str(i + 1))])
-    for pattern, day, name, year in NAMED_DATES:
-        part = [F.regexp_extract(s, pattern, g) for g in (year, name, day)]
-        full_year = F.when(F.length(part[0]) == 2, F.concat(F.lit("20"), part[0])).otherwise(part[0])
-        iso = F.concat(full_year, F.lit("-"), F.try_element_at(numbers, F.lower(part[1])), F.lit("-"), part[2])
-        tries.append(F.when(s.rlike(pattern), iso.try_cast("timestamp")))
-    tries.append(F.when(s.rlike(CLOCK_12[0]), F.try_to_timestamp(F.upper(s), F.lit(CLOCK_12[1]))))
-    return F.coalesce(*tries)
-
-
 def to_category(c: Column) -> Column:
     """Missing category (null or a null token) becomes 'unknown'."""
     return F.coalesce(null_token(c.cast("string")), F.lit(UNKNOWN))

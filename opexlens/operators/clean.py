@@ -16,8 +16,9 @@ from operator import add, and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.date_shapes import parse_dates
 from ..functions.values import (
-    is_temporal_type, normalized_names, null_token, to_category, to_number, to_timestamp_any,
+    is_temporal_type, normalized_names, null_token, to_category, to_number,
 )
 from ..plans.ranking import dense_rank_distinct
 from ..schema import (
@@ -41,12 +42,11 @@ def date_columns(df: DataFrame) -> list[str]:
 
 
 def coerce_dates(df: DataFrame) -> DataFrame:
-    """Parse every date column; unreadable values become null."""
+    """Parse every date column; unreadable values become null (P4).  Text
+    columns are read by the shapes of their values (one aggregate over them
+    runs here); dates and timestamps pass through."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cols = date_columns(df)
-    if not cols:
-        return df
-    return df.withColumns({c: to_timestamp_any(F.col(c), types[c]) for c in cols})
+    return parse_dates(df, [c for c in date_columns(df) if not is_temporal_type(types[c])])
 
 
 def drop_bad_dates(df: DataFrame) -> DataFrame:
