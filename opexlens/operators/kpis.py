@@ -60,23 +60,33 @@ def kpis(df: DataFrame) -> DataFrame:
     carries every sum and count, windows over the cells add each cell's
     factory and shift totals, and one last aggregate takes the sums and the
     ends of both rankings.  Nothing is written."""
-    measures = [c for c in ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]
-                if c in df.columns]
+    measures = [c for c in KPI_MEASURES if c in df.columns]
     if not measures:
         return df.sparkSession.range(1).select()
     dims = [c for c in ["factory", "shift"] if c in df.columns and "total_opex" in df.columns]
     cells = df.groupBy(*dims).agg(
         *[F.sum(c).alias(c) for c in measures],
         *([F.count("total_opex").alias("_n")] if "shift" in dims else []))
+    return kpis_of_cells(cells, measures, dims)
+
+
+KPI_MEASURES = ["total_opex", "total_energy", "revenue", "hr_cost", "admin_cost"]
+
+
+def kpis_of_cells(cells: DataFrame, measures: list[str], dims: list[str], by: list[str] | None = None) -> DataFrame:
+    """The KPI bundle from sums per (factory, shift) cell, each cell once:
+    the ``measures`` and ``_n``, the records behind total_opex; one row, or a
+    row per value of the ``by`` columns."""
+    by = list(by or [])
     ends: list[Column] = []
     if "factory" in dims:
-        cells = cells.withColumn("_factory", F.coalesce(F.sum("total_opex").over(Window.partitionBy("factory")), F.lit(0.0)))
+        cells = cells.withColumn("_factory", F.coalesce(F.sum("total_opex").over(Window.partitionBy(*by, "factory")), F.lit(0.0)))
         ends += _ends("factory", "_factory", "top_factory", "bottom_factory")
     if "shift" in dims:
-        by_shift = Window.partitionBy("shift")
+        by_shift = Window.partitionBy(*by, "shift")
         cells = cells.withColumn("_shift", F.sum("total_opex").over(by_shift) / F.sum("_n").over(by_shift))
         ends += _ends("shift", "_shift", "most_expensive_shift", "cheapest_shift")
-    base = cells.agg(*[sum0(c).alias(c) for c in measures], *ends)
+    base = cells.groupBy(*by).agg(*[sum0(c).alias(c) for c in measures], *ends)
     s = {c: F.col(c) for c in measures}
     out: dict[str, Column] = {}
     if "total_opex" in s:
@@ -103,13 +113,17 @@ def kpis(df: DataFrame) -> DataFrame:
         out["hr_percent"] = ratio_pct(s["hr_cost"], s["total_opex"])
     if "admin_cost" in s and "total_opex" in s:
         out["admin_percent"] = ratio_pct(s["admin_cost"], s["total_opex"])
-    return base.select(*[c.alias(k) for k, c in out.items()])
+    return base.select(*by, *[c.alias(k) for k, c in out.items()])
 
 
 def kpis_labelled(df: DataFrame) -> DataFrame:
     """Long form ``(position, kpi, label, value, text)`` of the bundle (A11):
     numbers in ``value``, names in ``text``."""
-    bundle = kpis(df)
+    return labelled(kpis(df))
+
+
+def labelled(bundle: DataFrame) -> DataFrame:
+    """The same for a bundle computed before."""
     names = [c for c in KPI_LABELS if c in bundle.columns]
     numeric = {f.name for f in bundle.schema.fields if f.dataType.typeName() == "double"}
     entries = [F.struct(F.lit(i).alias("position"), F.lit(k).alias("kpi"),

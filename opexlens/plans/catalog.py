@@ -22,6 +22,7 @@ from ..operators import drivers as DR
 from ..operators import filters as FL
 from ..operators import forecast as FC
 from ..operators import kpis as K
+from ..operators import rollup as RU
 from ..operators import whatif as W
 from ..session import shared_path
 from ..sources import files as FS
@@ -29,6 +30,7 @@ from ..sources import fixtures as X
 from ..sources import uploads as UP
 from ..sources import workbook as WB
 from ..streaming import daily as ST
+from ..streaming import kpi_state as SK
 from . import dashboard as DB
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +45,8 @@ ALL_FILTERS = {"date_range": ("1995-06-01", "1998-06-30"), "factory": "F03", "sh
 DASHBOARD_FILTERS = {"date_range": ("1995-01-01", "1997-12-31"), "factory": "F02"}
 SPARSE = {"factory": "F03", "shift": "S_A"}             # one site and shift: most days have no record
 DASHBOARD_VIEW = {"date_range": ("1995-01-01", "1997-12-31"), "factory": "F02"}
+ENERGY_VIEW = DASHBOARD_VIEW | {"energy1_min": 10.0, "energy2_max": 40.0}  # not covered by the cells
+RANGE = ("1996-01-17", "1996-12-05")
 SHORT = {"date_range": ("1996-01-01", "1996-01-09")}   # nine days: below the forecast gate
 
 
@@ -158,6 +162,35 @@ def _q_session_store(s, d):
     return FC.predict_future(back["forecast_model"], days, 30)
 
 
+def _stored(s, d):
+    """A saved dataset and its partial results."""
+    root = shared_path(s, "rolled-up")
+    rec = records(s, d).drop(*KEYS)
+    FS.save_dataset(rec, f"{root}/records")
+    FS.save_rollups(rec, f"{root}/rollups")
+    return FS.load_dataset(s, f"{root}/records"), FS.load_rollups(s, f"{root}/rollups")
+
+
+def _q_dashboard_rollup(spec):
+    def run(s, d):
+        rec, stored = _stored(s, d)
+        return DB.as_long(RU.dashboard(spec, stored["cells"], rec))
+    return run
+
+
+def _q_forecast_incremental(s, d):
+    """Two uploads, each stored with its own blocks; the model of both."""
+    rec, root = records(s, d), shared_path(s, "two-uploads")
+    for name, part in (("first", rec.where("date < '1996-03-10'")), ("second", rec.where("date >= '1996-03-10'"))):
+        RU.forecast_blocks(part).write.parquet(f"{root}/{name}")
+    return RU.forecast_from_blocks(s.read.parquet(f"{root}/first", f"{root}/second"), 30)
+
+
+def _q_describe_range(s, d):
+    rec, stored = _stored(s, d)
+    return RU.describe_range(stored["value_bins"], stored["bin_edges"], rec, *RANGE)
+
+
 def _q_export_results(s, d):
     path = FS.export_results(K.kpis_labelled(records(s, d)), shared_path(s, "export"))
     return s.read.schema("position int, kpi string, label string, value double, text string").json(path)
@@ -181,6 +214,13 @@ def _q_stream_daily_kpis(s, d):
                       "factory", "total_opex", F.col("events").cast("long").alias("events"))
 
 
+def _q_stream_kpis(s, d):
+    work = shared_path(s, "stream-kpis")
+    source = os.path.join(work, "events")
+    X.table(s, d, "events").repartition(8).write.mode("overwrite").parquet(source)
+    return SK.stream_kpis(s, source, work)
+
+
 QUERIES: dict[str, Query] = {
     # cleaning (typed input)
     "clean": lambda s, d: records(s, d, shift_code=True),
@@ -296,6 +336,12 @@ QUERIES: dict[str, Query] = {
     "chat_context": lambda s, d: CX.chat_context(records(s, d), ORDER, 10, id_cols=KEYS),
     # dashboard bundles
     "filtered_dashboard": lambda s, d: DB.as_long(DB.filtered_dashboard(records(s, d), DASHBOARD_VIEW)),
+    "filtered_dashboard_rollup": _q_dashboard_rollup(DASHBOARD_VIEW),
+    "filtered_dashboard_energy": _q_dashboard_rollup(ENERGY_VIEW),
+    "forecast_incremental": _q_forecast_incremental,
+    "describe_range": _q_describe_range,
+    "upload_analysis_full": lambda s, d: DB.as_long(DB.upload_analysis(records(s, d), key_cols=KEYS)),
+    "insight_context_drivers": lambda s, d: (lambda r: CX.insight_context(r, importances=DR.cost_drivers(r, key_cols=KEYS)))(records(s, d)),
     "upload_analysis": lambda s, d: DB.as_long(DB.upload_analysis(records(s, d), with_drivers=False)),
     # sources, sinks, streaming
     "load_csv_quoted": _q_load_csv_quoted,
@@ -309,4 +355,5 @@ QUERIES: dict[str, Query] = {
     "save_dataset": _q_save_dataset,
     "export_results": _q_export_results,
     "stream_daily_kpis": _q_stream_daily_kpis,
+    "stream_kpis": _q_stream_kpis,
 }

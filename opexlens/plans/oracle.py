@@ -584,16 +584,16 @@ def _charts(src: str, trend: str) -> list[str]:
         trend, with_ctes("SELECT date AS period, coalesce(sum(total_opex), 0) AS value FROM r GROUP BY 1", src), "CAST(period AS VARCHAR)", ["value"])
 
 
-def _filtered_dashboard() -> str:
+def _filtered_dashboard(view: str = VIEW) -> str:
     composition = " UNION ALL ".join(f"SELECT factory, '{c}' AS component, coalesce(sum({c}), 0) AS cost FROM r GROUP BY factory"
                                      for c in ["hr_cost", "operation_cost", "admin_cost", "other_cost"])
     mix = """SELECT energy_type, total, total / (t1 + t2) * 100 AS share FROM (
         SELECT 'Energy Type 1' AS energy_type, t1 AS total, t1, t2 FROM s UNION ALL SELECT 'Energy Type 2', t2, t1, t2 FROM s) WHERE t1 + t2 <> 0"""
-    parts = _charts(VIEW, "line_chart")
-    parts += _section("stacked_bar", with_ctes(composition, VIEW), "factory || '|' || component", ["cost"])
-    parts += _section("heatmap", with_ctes("SELECT factory, shift, coalesce(sum(total_opex), 0) AS total_opex FROM r GROUP BY factory, shift", VIEW),
+    parts = _charts(view, "line_chart")
+    parts += _section("stacked_bar", with_ctes(composition, view), "factory || '|' || component", ["cost"])
+    parts += _section("heatmap", with_ctes("SELECT factory, shift, coalesce(sum(total_opex), 0) AS total_opex FROM r GROUP BY factory, shift", view),
                       "factory || '|' || shift", ["total_opex"])
-    parts += _section("pie_energy", with_ctes(mix, VIEW, ", s AS (SELECT coalesce(sum(energy_type_1), 0) AS t1, coalesce(sum(energy_type_2), 0) AS t2 FROM r)"),
+    parts += _section("pie_energy", with_ctes(mix, view, ", s AS (SELECT coalesce(sum(energy_type_1), 0) AS t1, coalesce(sum(energy_type_2), 0) AS t2 FROM r)"),
                       "energy_type", ["total", "share"])
     return "\nUNION ALL\n".join(parts)
 
@@ -634,3 +634,30 @@ ORACLE.update({
     "fit_score_classifier": gini_accuracy(f"SELECT *, {FOLD} = 4 AS is_test FROM ({cleaned()})", _DRIVERS, "shift", ["S_A", "S_N", "S_R"], 50, 5, 32),
     "anomaly_forest": isolation_scores(cleaned(), "total_opex", _KEY_LIST, 100, 256, 0.1),
 })
+
+
+# --- stored partial results, streams -------------------------------------------------
+
+_EVENTS = """SELECT concat('D', user_id % 4) AS dataset, event_type AS factory, concat('S', user_id % 3) AS shift, floor(value * 100) AS total_opex,
+    CAST(event_id % 50 AS DOUBLE) AS total_energy, floor(value * 130) AS revenue, floor(value * 30) AS hr_cost, floor(value * 10) AS admin_cost FROM events"""
+
+
+def _stream_kpis() -> str:
+    return f"""WITH r AS ({_EVENTS}),
+      f AS (SELECT dataset, factory, sum(total_opex) AS c FROM r GROUP BY 1, 2), h AS (SELECT dataset, shift, avg(total_opex) AS c FROM r GROUP BY 1, 2),
+      ends AS (SELECT dataset, first(factory ORDER BY c DESC, factory) AS top_factory, last(factory ORDER BY c DESC, factory) AS bottom_factory FROM f GROUP BY 1),
+      shifts AS (SELECT dataset, first(shift ORDER BY c DESC, shift) AS most_expensive_shift, last(shift ORDER BY c DESC, shift) AS cheapest_shift FROM h GROUP BY 1),
+      s AS (SELECT dataset, sum(total_opex) AS o, sum(total_energy) AS e, sum(revenue) AS v, sum(hr_cost) AS hr, sum(admin_cost) AS ad, count(*) AS n FROM r GROUP BY 1)
+    SELECT dataset, o AS total_opex, e AS total_energy, v AS total_revenue, v - o AS profit, CASE WHEN v = 0 THEN 0.0 ELSE (v - o) / v * 100 END AS profit_margin,
+      CASE WHEN e = 0 THEN 0.0 ELSE v / e END AS energy_efficiency, 'revenue' AS efficiency_basis, top_factory, bottom_factory, most_expensive_shift, cheapest_shift,
+      CASE WHEN o = 0 THEN 0.0 ELSE hr / o * 100 END AS hr_percent, CASE WHEN o = 0 THEN 0.0 ELSE ad / o * 100 END AS admin_percent, n AS events, CAST(0 AS BIGINT) AS late_events
+    FROM s JOIN ends USING (dataset) JOIN shifts USING (dataset)"""
+
+
+ORACLE.update({
+    "filtered_dashboard_rollup": ORACLE["filtered_dashboard"],
+    "filtered_dashboard_energy": _filtered_dashboard(VIEW + " AND energy_type_1 >= 10.0 AND energy_type_2 <= 40.0"),
+    "forecast_incremental": ORACLE["forecast"],
+    "describe_range": _describe(src=f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1996-01-17' AND DATE '1996-12-05'"),
+    "stream_kpis": _stream_kpis(),
+})

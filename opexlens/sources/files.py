@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_dates
+from ..session import small_frame
 from . import csv_records
 
 MONTH = "_month"  # partition folder of saved datasets
@@ -134,6 +135,25 @@ def load_dataset(spark: SparkSession, path: str, start=None, end=None) -> DataFr
     return df.drop(MONTH)
 
 
+def save_rollups(df: DataFrame, path: str) -> str:
+    """Partial results beside a dataset: dashboard cells, forecast blocks and
+    value bins with their edges (``operators.rollup``)."""
+    from ..operators import rollup
+    edges = rollup.bin_edges(df)
+    rollup.cells(df).write.mode("overwrite").parquet(f"{path}/cells")
+    rollup.forecast_blocks(df).write.mode("overwrite").parquet(f"{path}/forecast_blocks")
+    rollup.value_bins(df, edges).write.mode("overwrite").parquet(f"{path}/value_bins")
+    small_frame(df.sparkSession, list(edges.items()), "column string, edges array<double>").write.mode("overwrite").parquet(f"{path}/bin_edges")
+    return path
+
+
+def load_rollups(spark: SparkSession, path: str) -> dict:
+    """``cells``, ``forecast_blocks``, ``value_bins`` (DataFrames) and
+    ``bin_edges`` (per column, at most a few hundred numbers)."""
+    out: dict = {n: spark.read.parquet(f"{path}/{n}") for n in ("cells", "forecast_blocks", "value_bins")}
+    return out | {"bin_edges": {r["column"]: list(r["edges"]) for r in spark.read.parquet(f"{path}/bin_edges").collect()}}
+
+
 def export_results(df: DataFrame, path: str) -> str:
     """Result tables as JSON lines."""
     df.write.mode("overwrite").json(path)
