@@ -3,10 +3,12 @@
 Texts are bags of words and word beginnings (4, 5 and 6 bytes, ASCII folded
 to lower case).  A bounded sample of labelled documents serves as the
 examples, and every term of theirs counts: its weight is the inverse document
-frequency, counted over the whole corpus, times the absolute log odds of the
-classes among the examples (smoothed by half a text), so terms that tell
-nothing weigh little and no term is left out.  Each document finds its ``k``
-nearest examples by the cosine of these vectors.  The commonest ``DENSE``
+frequency, counted over the whole corpus, times a power of the absolute log
+odds of the classes among the examples (smoothed by half a text).  The power, 0
+for plain TF-IDF or one of ``POWERS``, is the one with the least leave-one-out
+loss on the examples, which are learning rows only.  Each document finds its
+``k`` nearest examples by the cosine of these vectors; an example with the same
+terms as the document (itself, or a copy) says nothing about it and is left out.  The commonest ``DENSE``
 terms stand in blocks of examples with each term's largest weight per block,
 all others in posting lists; a block whose bound cannot beat the k-th best of
 the lists alone is skipped, so results are exact.  Votes weighted by similarity are
@@ -31,6 +33,8 @@ from opexlens.llm.common import drop_stage, fresh, mix64, stage, table, text_blo
 PREFIXES = (4, 5, 6)
 BLOCK, K = 64, 15
 PER_CLASS, DENSE = 2000, 1024
+POWERS = (0.0, 0.5, 1.0)
+SAME = 1 - 1e-5  # cosine from which two bags of terms are the same
 QUERIES, POSTINGS = 250, 1 << 18  # texts scored at a time, postings read at a time
 
 
@@ -155,7 +159,13 @@ class BlockMaxIndex:
         by_term = np.argsort(vectors.term, kind="stable")
         self.example, self.value = place[vectors.row[by_term]].astype(np.min_scalar_type(max(1, len(ids)))), vectors.value[by_term]
         self.first = np.searchsorted(vectors.term[by_term], np.arange(int(vectors.term.max(initial=-1)) + 2))
-        self.place = place  # where each example stands
+        # Most examples with one and the same vector.
+        alike: dict[bytes, int] = {}
+        ends = np.searchsorted(vectors.row, np.arange(len(ids) + 1))
+        for i in range(len(ids)):
+            key = b"".join(x.tobytes() for x in (dense[i], vectors.term[ends[i]:ends[i + 1]], vectors.value[ends[i]:ends[i + 1]]))
+            alike[key] = alike.get(key, 0) + 1
+        self.copies = max(alike.values(), default=0)
 
     def rare(self, queries: Vectors) -> np.ndarray:
         """Products over the posting lists (queries x examples)."""
@@ -174,14 +184,14 @@ class BlockMaxIndex:
             at = to
         return out
 
-    def nearest(self, queries: np.ndarray | Vectors, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, queries: np.ndarray | Vectors, k: int, same: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines), the k best of each query, best first
-        and ties by number; cosine 0 where fewer have a term in common."""
+        and ties by number; cosine 0 where fewer have a term in common.
+        Examples with a cosine above ``same`` are left out."""
         rare = None
         if isinstance(queries, Vectors):
             if len(queries.dense) > QUERIES:
-                parts = [self.nearest(queries.part(lo, lo + QUERIES), k, None if leave_out is None else leave_out[lo:lo + QUERIES])
-                         for lo in range(0, len(queries.dense), QUERIES)]
+                parts = [self.nearest(queries.part(lo, lo + QUERIES), k, same) for lo in range(0, len(queries.dense), QUERIES)]
                 return tuple(np.concatenate(x) for x in zip(*parts))
             rare, queries = self.rare(queries), queries.dense
         who, best = np.full((len(queries), k), -1), np.zeros((len(queries), k), np.float32)
@@ -192,17 +202,17 @@ class BlockMaxIndex:
         score = np.zeros((len(queries), len(self.ids)))
         if rare is not None:
             bound += np.maximum.reduceat(rare, self.edges, axis=1)
-            if leave_out is not None:
-                rare[np.arange(len(rare)), leave_out] = 0
-            if len(self.ids) > k:
-                floor = np.partition(rare, -k, axis=1)[:, -k]
+            # Of the best, as many as are alike may be left out.
+            spare = k + (self.copies if same is not None else 0)
+            if len(self.ids) > spare:
+                floor = np.partition(rare, -spare, axis=1)[:, -spare]
         for b, lo in enumerate(self.edges):
             rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] * (1 + 1e-5) >= floor))
             if len(rows):
                 product = queries[rows] @ self.vectors[lo:lo + BLOCK].T
                 score[rows, lo:lo + BLOCK] = product if rare is None else product + rare[rows, lo:lo + BLOCK]
-        if leave_out is not None:
-            score[np.arange(len(score)), leave_out] = 0
+        if same is not None:
+            score[score > same] = 0
         # Far below the spacing of single precision: ties go by number.
         ranked = score - np.arange(len(self.ids)) * 1e-14
         pick = np.argpartition(-ranked, k - 1, axis=1)[:, :k] if len(self.ids) > k else np.broadcast_to(np.arange(len(self.ids)), score.shape)
@@ -212,10 +222,11 @@ class BlockMaxIndex:
         who[:, :n] = np.where(best[:, :n] > 0, pick, -1)
         return who, best
 
-    def votes(self, queries: np.ndarray | Vectors, k: int, prior: float, leave_out: np.ndarray | None = None):
+    def votes(self, queries: np.ndarray | Vectors, k: int, prior: float):
         """Share of similarity that is toxic, drawn to the prior by half a
-        perfect neighbour, with the neighbours behind it."""
-        who, cosine = self.nearest(queries, k, leave_out)
+        perfect neighbour, with the neighbours behind it; examples that are the
+        query itself or a copy have no vote."""
+        who, cosine = self.nearest(queries, k, SAME)
         label = np.where(who >= 0, self.labels[who], 0) if len(self.labels) else np.zeros(who.shape)
         return ((cosine * label).sum(axis=1) + 0.5 * prior) / (cosine.sum(axis=1) + 0.5), who, cosine
 
@@ -274,7 +285,7 @@ class Scorer(NamedTuple):
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS,
-        k: int = K, seed: int = 5) -> Scorer:
+        k: int = K, seed: int = 5, powers: tuple[float, ...] = POWERS) -> Scorer:
     """The scorer that :func:`score` applies; see there."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")) \
         .where(~held_out(F.col("doc_id")))
@@ -315,12 +326,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     seen = np.zeros(len(terms) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
     n_docs, seen = seen[-1], seen[:-1]  # -1: all texts
-    weight = (np.log((1 + n_docs) / (1 + seen)) + 1) * odds
+    idf = np.log((1 + n_docs) / (1 + seen)) + 1
 
     examples = texts.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms, ["doc_id", "toxic"], ["terms", "counts"]), f"doc_id {df.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow()
-    model = _fit(examples, weight, column, {c: size.get(c, 0) for c in (0, 1)}, k, prior)
+    best = None
+    for power in powers:
+        weight = idf * odds**power
+        model, loss = _fit(examples, weight, column, {c: size.get(c, 0) for c in (0, 1)}, k, prior)
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, weight, model
     drop_stage(known, sample, texts)
-    return Scorer(terms, weight, column, model, k, prior)
+    return Scorer(terms, best[1], column, best[2], k, prior)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -333,7 +349,8 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     document labelled twice counts as toxic if any label says so.  Null and
     blank texts have no terms and get the score of term-less documents; with
     no labels at all every score is 0.  Repeated rows score alike.
-    ``options``: per_class, k, seed."""
+    ``options``: per_class, k, seed, powers.  Texts of any length are read
+    whole, in bounded slices of a batch."""
     m = fit(df, labels, id_col, text, **options)
     names = [c for c in df.columns if c not in (text, "held_out", "score", "predicted", "evidence", "cosines")]
     fields = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
@@ -349,8 +366,8 @@ def _batch_vectors(terms: pa.Array, counts: pa.Array, weight: np.ndarray, column
 
 
 def _fit(examples, weight: np.ndarray, column: np.ndarray, size: dict[int, int], k: int, prior: float):
-    """(index, slope, intercept) from the examples; votes for the fit leave
-    the example itself out, and classes weigh as in all labelled rows."""
+    """((index, slope, intercept), loss) from the examples; votes for the fit
+    leave the example itself out, and classes weigh as in all labelled rows."""
     parts, at = [], 0
     for batch in examples.to_batches(max_chunksize=QUERIES):
         found = _batch_vectors(batch.column("terms"), batch.column("counts"), weight, column)
@@ -359,13 +376,16 @@ def _fit(examples, weight: np.ndarray, column: np.ndarray, size: dict[int, int],
     own = Vectors(*(np.concatenate(x) for x in zip(*parts))) if parts else vectors(*np.zeros((3, 0), np.int32), weight, column)
     label = examples["toxic"].to_numpy().astype(np.int64)
     index = BlockMaxIndex(own, examples["doc_id"].to_numpy().astype(np.int64), label)
-    place = index.place
     y = label.astype(float)
     if not len(y) or y.min() == y.max():
-        return index, 0.0, 30.0 if prior == 1 else -30.0
-    vote, _, _ = index.votes(own, k, prior, place)
+        return (index, 0.0, 30.0 if prior == 1 else -30.0), 0.0
+    vote, _, _ = index.votes(own, k, prior)
     share = np.array([size[int(c)] / max(1, (y == c).sum()) for c in y])
-    return index, *logistic(vote, y, share / share.sum() * len(y))
+    slope, intercept = logistic(vote, y, share / share.sum() * len(y))
+    p = 1 / (1 + np.exp(-np.clip(slope * vote + intercept, -30, 30)))
+    # Both classes count alike: the rare one is what is looked for.
+    loss = -np.mean([np.log(np.where(y == c, np.where(c, p, 1 - p), 1)).sum() / (y == c).sum() for c in (0, 1)])
+    return (index, slope, intercept), float(loss)
 
 
 def _score(model, weight: np.ndarray, column: np.ndarray, k: int, prior: float, keep: int):
