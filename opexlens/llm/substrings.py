@@ -19,9 +19,11 @@ window exists in every occurrence of that window.
    its windows are fingerprinted and meet the others'.
 3. Documents drop the words covered by repeated windows.
 
-Fingerprints are compared as pairs of independent 64-bit values.  Equal rows
-of a task (half a million at a time) are reduced before every shuffle, so a
-passage or document in a third of the corpus costs a row per symbol and task.
+Fingerprints are compared as pairs of independent 64-bit values.  Rows of a
+task (half a million at a time) are reduced before every shuffle: equal ones to
+one, and where a symbol has many variants already, all but a few go on to be
+settled without meeting under it.  A passage, document or short line in a third
+of the corpus thus costs a few rows per symbol and task.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ from pyspark.sql import types as T
 
 from opexlens.llm.common import fresh, mix64, stage, table, text_blocks, text_buffer, word_hashes, word_spans
 
-# A row's place: 21 bits of the text's hash, 28 of the first window, 14 of
-# the number of windows.
-_N_BITS, _START_BITS, _TEXT_BITS = 14, 28, 21
+# A row's place: 28 bits of the first window, 14 of the number of windows.
+_N_BITS, _START_BITS = 14, 28
+# Rows of a symbol in one task from which most are settled directly.
+MANY = 16
+MEET, AGAIN, SETTLE = 0, 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -158,34 +162,54 @@ def _reduce(key: np.ndarray, span: np.ndarray, doc_id: np.ndarray) -> np.ndarray
     return out
 
 
-_ROW = "key long, span long, doc_id long, place long, again boolean"
+def _crowded(key: np.ndarray, span: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """True for rows of symbols that have many rows, several documents and
+    several variants here, but for those of the least and largest document and
+    variant: they stay to show the others that the symbol is shared."""
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    out = np.zeros(len(key), bool)
+    size = np.diff(np.append(head, len(order)))
+    for a, n in zip(head[size >= MANY], size[size >= MANY]):
+        rows = order[a:a + n]
+        ends = [f(v[rows]) for v in (doc_id, span) for f in (np.argmin, np.argmax)]
+        if doc_id[rows[ends[0]]] < doc_id[rows[ends[1]]] and span[rows[ends[2]]] != span[rows[ends[3]]]:
+            out[rows] = True
+            out[rows[ends]] = False
+    return out
+
+
+_ROW = "key long, span long, doc_id long, tag long, place long, state int"
 
 
 _FLUSH = 1 << 19  # rows gathered over batches before they are reduced
 
 
-def _batch(parts: list) -> pa.RecordBatch:
+def _batch(parts: list, meeting: bool) -> pa.RecordBatch:
     doc_id, tag, start, count, key, span = (np.concatenate(x) for x in zip(*parts))
-    again = _reduce(key, span, doc_id)
-    place = (tag.astype(np.int64) << (_START_BITS + _N_BITS)) | (start << _N_BITS) | count
-    with np.errstate(over="ignore"):  # settled rows only pass through: spread them
-        key = np.where(again, mix64(place.astype(np.uint64) + doc_id.astype(np.uint64) * _A), key)
+    state = np.where(_reduce(key, span, doc_id), AGAIN, MEET).astype(np.int32)
+    if meeting:
+        left = np.flatnonzero(state == MEET)
+        state[left[_crowded(key[left], span[left], doc_id[left])]] = SETTLE
+    place = (start << _N_BITS) | count
+    with np.errstate(over="ignore"):  # rows that meet no others only pass through: spread them
+        key = np.where(state != MEET, mix64(place.astype(np.uint64) + doc_id.astype(np.uint64) * _A + tag.astype(np.uint64) * _B), key)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc_id), pa.array(place), pa.array(again)],
-        ["key", "span", "doc_id", "place", "again"])
+        [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc_id), pa.array(tag), pa.array(place), pa.array(state)],
+        ["key", "span", "doc_id", "tag", "place", "state"])
 
 
-def _reduced(parts):
+def _reduced(parts, meeting: bool):
     """Gathers the parts of several batches, so that reduction pays."""
     held, rows = [], 0
     for part in parts:
         held.append(part)
         rows += len(part[0])
         if rows >= _FLUSH:
-            yield _batch(held)
+            yield _batch(held, meeting)
             held, rows = [], 0
     if held:
-        yield _batch(held)
+        yield _batch(held, meeting)
 
 
 def _symbols(size: int, rounds: int):
@@ -198,7 +222,7 @@ def _symbols(size: int, rounds: int):
                 yield ids[row + lo], tags[row + lo], start, count, key, span
 
     def run(batches):
-        yield from _reduced(parts(batches))
+        yield from _reduced(parts(batches), True)
     return run
 
 
@@ -220,7 +244,7 @@ def _windows(size: int):
                            one.of(at, at + size), two.of(at, at + size))
 
     def run(batches):
-        yield from _reduced(parts(batches))
+        yield from _reduced(parts(batches), False)
     return run
 
 
@@ -256,18 +280,17 @@ def repeated_places(df: DataFrame, min_words: int = 50) -> DataFrame:
     by_key, by_span = Window.partitionBy("key"), Window.partitionBy("key", "span")
     met = (rows.withColumn("lo", F.min("doc_id").over(by_key)).withColumn("hi", F.max("doc_id").over(by_key))
            .withColumn("s0", F.min("span").over(by_key)).withColumn("s1", F.max("span").over(by_key))
-           .where("again OR lo < hi").withColumn("first", F.min("doc_id").over(by_span))
-           .withColumn("again", F.col("again") | (F.col("doc_id") > F.col("first")))
-           .where("again OR s0 < s1").select("doc_id", "place", "again"))
+           .where(f"state <> {MEET} OR lo < hi").withColumn("first", F.min("doc_id").over(by_span))
+           .withColumn("again", (F.col("state") == AGAIN) | ((F.col("state") == MEET) & (F.col("doc_id") > F.col("first"))))
+           .where(f"again OR state = {SETTLE} OR s0 < s1").select("doc_id", "tag", "place", "again"))
     met = stage(met, "substr-met")
-    tag = F.shiftright("place", _START_BITS + _N_BITS).alias("tag")
-    open_places = met.where("NOT again").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
+    open_places = met.where("NOT again").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
     windows = known.join(open_places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(min_words), _ROW)
     settled = (windows.withColumn("first", F.min("doc_id").over(by_span))
-               .where("again OR doc_id > first").select("doc_id", "place"))
+               .where(f"state = {AGAIN} OR doc_id > first").select("doc_id", "tag", "place"))
     settled = stage(settled, "substr-settled")
-    return (met.where("again").select("doc_id", "place").union(settled)
-            .groupBy("doc_id", tag).agg(F.collect_list("place").alias("places")))
+    return (met.where("again").select("doc_id", "tag", "place").union(settled)
+            .groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
 
 
 def remove_repeats(df: DataFrame, min_words: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,11 +300,13 @@ def remove_repeats(df: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     of the input.
 
     Null texts are empty.  Rows with a null id lose nothing and repeat
-    nothing; rows with one id never remove words from each other.  Columns of
-    the new names are replaced."""
+    nothing; rows with one id never remove words from each other, and are told
+    apart by the 64-bit hash of their texts (equal ones fare alike).  Texts may
+    be of any length up to 2^28 words; an empty table gives no rows.  Columns
+    of the new names are replaced."""
     df = df.drop("kept_text", "n_words", "n_removed")
     tag, key, places = fresh(df, "__tag", "__key", "__places")
-    tagged = df.withColumn(tag, F.shiftrightunsigned(F.xxhash64(text), 64 - _TEXT_BITS)).withColumn(key, F.col(id_col).cast("long"))
+    tagged = df.withColumn(tag, F.xxhash64(text)).withColumn(key, F.col(id_col).cast("long"))
     found = repeated_places(tagged.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(tag).alias("tag")), min_words)
     found = found.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("places").alias(places))
     joined = tagged.join(found, [key, tag], "left").select(*[F.col(f"`{c}`") for c in df.columns], places)
