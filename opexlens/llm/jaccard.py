@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opexlens.llm.common import fresh, mix64, stage, table, text_blocks, text_buffer, word_hashes, word_spans
@@ -33,7 +33,10 @@ from opexlens.session import shared_path, stage_scope
 SHINGLE = 5
 HASHES, ROWS = 128, 4
 BANDS, STEP = HASHES // ROWS, 32
-BUCKET, BLOCK = 4096, 256
+BUCKET = 4096
+# Members of a group to a chunk, and their shingles in all: a text of a group
+# travels once per chunk of the group, so chunks are as large as a task holds.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _A = np.uint64(0x9E3779B97F4A7C15)
 _seed = np.random.default_rng(424242)
 _MULTIPLY = _seed.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -232,11 +235,11 @@ def _verify(least: list[int], up: int, down: int):
     return run
 
 
-def in_blocks(df: DataFrame, key: str, size: str, member: str, most: int) -> DataFrame:
-    """Rows of each key dealt to chunks of about ``most``, each row once per
+def in_blocks(df: DataFrame, chunks: Column, member: str) -> DataFrame:
+    """Rows of each key dealt to its number of ``chunks``, each row once per
     pair (c0, c1) of chunks that its chunk is part of; ``side`` is 0 in c0.
-    Keys of up to ``most`` rows are one block."""
-    chunks = F.ceil(F.col(size) / most).cast("int")
+    Keys of one chunk are one block."""
+    chunks = F.ceil(chunks).cast("int")
     own = F.pmod(F.xxhash64(member), chunks).cast("int")
     return (df.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
             .withColumn("c0", F.least("__own", "__other")).withColumn("c1", F.greatest("__own", "__other"))
@@ -289,24 +292,25 @@ def text_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", up:
                        F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"), value.alias("text"))
     sigs = stage(source.mapInArrow(_signatures, "mid long, doc_id long, h1 long, h2 long, n long, sig binary"), "near-sigs")
     reps = stage(sigs.where("n > 0").groupBy("h1", "h2").agg(F.min("mid").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
-                                                             F.first("sig").alias("sig")), "near-texts")
+                                                             F.first("n").alias("n"), F.first("sig").alias("sig")), "near-texts")
 
     bands = reps.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = bands.join(shared, "band").join(reps.select("rep", "sig"), "rep")
-    buckets = in_blocks(members, "band", "size", "rep", BUCKET).select("band", "c0", "c1", "rep", "sig")
+    buckets = in_blocks(members, F.col("size") / BUCKET, "rep").select("band", "c0", "c1", "rep", "sig")
     edges = buckets.repartition("band", "c0", "c1").sortWithinPartitions("band", "c0", "c1", "rep").mapInArrow(_prune(least), "a long, b long")
     groups = components(edges)
 
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    linked = stage(groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "h1", "h2", "least_id", "copies", "sig"), "node")
-                   .withColumnRenamed("node", "rep"), "near-groups")
+    found = groups.join(reps.select(F.col("rep").alias("node"), "h1", "h2", "least_id", "copies", "n", "sig"), "node").withColumnRenamed("node", "rep")
+    found = stage(found, "near-members")
+    sizes = found.groupBy("root").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
+    linked = stage(found.join(sizes, "root").drop("n"), "near-groups")
     # One row per text: the one with the smallest id (exact repeats of that
     # row are dropped inside the block).
     texts = source.select("h1", "h2", "doc_id", "text").join(
         linked.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2").hint("merge"),
         (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
-    blocks = in_blocks(texts.drop("h1", "h2", "g1", "g2", "doc_id", "least_id"), "root", "size", "rep", BLOCK)
+    blocks = in_blocks(texts.drop("h1", "h2", "g1", "g2", "doc_id", "least_id"), F.col("chunks"), "rep")
     checked = stage(blocks.repartition("root", "c0", "c1").sortWithinPartitions("root", "c0", "c1", "rep")
                     .select("root", "c0", "c1", "side", "rep", "copies", "sig", "text")
                     .mapInArrow(_verify(least, up, down), "rep long, links long, texts long, root long"), "near-links")
