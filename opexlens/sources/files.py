@@ -165,29 +165,55 @@ class DatasetNotFound(KeyError):
     """No stored dataset under the given id (the registry's 'not found')."""
 
 
+READY = "_READY"  # marker of a complete version
+KEPT_VERSIONS = 2   # the current one and the one that readers may still hold
+
+
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    """Names of the complete versions of a dataset, oldest first."""
+    is_dir, names = _listing(spark, base)
+    found = sorted(n for n in names if n.startswith("v-")) if is_dir else []
+    return [n for n in found if READY in _listing(spark, f"{base}/{n}")[1]]
+
+
 def save_session(root: str, records: DataFrame, results: dict[str, DataFrame] | None = None,
                  forecast_model=None, dataset_id: str | None = None) -> str:
     """Store an analysed upload under ``root/<id>``: the cleaned records
     (partitioned by month), result tables as Parquet and the fitted forecast
-    model (S5).  Returns the id."""
+    model (S5).  Returns the id.
+
+    Everything goes into a new version folder, which counts once its marker is
+    written, last: a reader sees the old upload or the new one as a whole, and
+    a writer that fails leaves the old one in place.  Versions before the last
+    ``KEPT_VERSIONS`` are deleted."""
+    import time
     import uuid
+    spark = records.sparkSession
     dataset_id = dataset_id or uuid.uuid4().hex
-    base = f"{root.rstrip('/')}/{dataset_id}"
+    top = f"{root.rstrip('/')}/{dataset_id}"
+    base = f"{top}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     save_dataset(records, f"{base}/records")
     for name, df in (results or {}).items():
         df.write.mode("overwrite").parquet(f"{base}/results/{name}")
     if forecast_model is not None:
         forecast_model.write().overwrite().save(f"{base}/models/forecast")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(conf)
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{base}/{READY}")).close()
+    for old in _versions(spark, top)[:-KEPT_VERSIONS]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{top}/{old}"), True)
     return dataset_id
 
 
 def load_session(spark: SparkSession, root: str, dataset_id: str) -> dict:
-    """Open a stored upload: ``records``, each result table, and the
-    forecast model when one was stored.  Unknown ids raise DatasetNotFound."""
-    base = f"{root.rstrip('/')}/{dataset_id}"
-    is_dir, _ = _listing(spark, f"{base}/records")
-    if not is_dir:
+    """Open the newest complete version of a stored upload: ``records``, each
+    result table, and the forecast model when one was stored.  Unknown ids raise
+    DatasetNotFound."""
+    top = f"{root.rstrip('/')}/{dataset_id}"
+    versions = _versions(spark, top)
+    if not versions:
         raise DatasetNotFound(dataset_id)
+    base = f"{top}/{versions[-1]}"
     out: dict = {"records": load_dataset(spark, f"{base}/records")}
     has_results, names = _listing(spark, f"{base}/results")
     for name in (names if has_results else []):
