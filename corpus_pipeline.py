@@ -18,14 +18,18 @@ from opexlens.session import shared_path, stage_scope
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by their nearest labelled examples go.
-    Text-less documents score as such.  Each text is scored where its row is."""
+    Null and blank texts score as text-less ones (and stay unless most labelled
+    documents are toxic); repeated rows score alike; an empty table, or no
+    labels, drops nothing.  Each text is scored where its row is."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return docs.where(model.of_text(F.col("text")) < 0.5)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sources go from all documents but the first; documents
-    that lose all their words go, blank ones that lost nothing stay."""
+    that lose all their words go, blank and null ones that lost nothing stay.
+    Null sources count as no source; rows of one id keep or lose a line alike;
+    an empty table gives no rows."""
     gone, before = fresh(docs, "__gone", "__lines")
     cut = lines.remove_wide_lines(docs.drop("n_lines", "n_removed")).withColumnsRenamed({"n_removed": gone, "n_lines": before})
     kept = cut.where((F.col(gone) == 0) | (F.col(before) > F.col(gone))).drop(before, gone)
@@ -34,20 +38,24 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more stays: the one
-    with the smallest id."""
+    with the smallest id (rows without one come last).  Null and blank texts
+    are compared with nothing and all stay; of repeated rows one stays; an empty
+    table gives no rows."""
     return jaccard.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target words: documents may be cut or stand
-    twice, in shuffled order; documents without words add none and go."""
+    twice, in shuffled order; documents without words (null ones too) add none
+    and go.  Null sources are one source; repeated rows are rows of their own."""
     mixed = mixing.mix(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c in mixed.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens in sequences (rows may share a doc_id:
-    ``row`` tells the rows of the mix apart)."""
+    ``row`` tells the rows of the mix apart).  Null texts are one end id; an
+    empty table gives no rows."""
     row, = fresh(docs, "row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     return packing.pack(rows, carry=[row])

@@ -251,6 +251,10 @@ QUERIES: dict[str, Query] = {
     # KPIs, rankings, filter options
     "kpis": lambda s, d: K.kpis(records(s, d)),
     "kpis_no_revenue": lambda s, d: K.kpis(records(s, d, revenue=False)),
+    # Whatever columns an upload lacks, the rest is computed; names are found whatever their case.
+    "kpis_missing_columns": lambda s, d: K.kpis(records(s, d).drop("shift", "admin_cost", "revenue")),
+    "case_blind": lambda s, d: K.factory_ranking(records(s, d).where("FACTORY <> 'F00' AND Shift = 'S_N'").select(
+        F.col("Factory").alias("FACTORY"), F.col("TOTAL_OPEX").alias("Total_Opex"))).toDF("factory", "total_opex", "rank"),
     "kpis_labelled": lambda s, d: K.kpis_labelled(records(s, d)),
     "kpis_formatted": lambda s, d: K.kpis_formatted(records(s, d)),
     "factory_ranking": lambda s, d: K.factory_ranking(records(s, d)),

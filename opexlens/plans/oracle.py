@@ -661,3 +661,10 @@ ORACLE.update({
     "describe_range": _describe(src=f"SELECT * FROM ({REC}) WHERE date BETWEEN DATE '1996-01-17' AND DATE '1996-12-05'"),
     "stream_kpis": _stream_kpis(),
 })
+
+ORACLE.update({
+    "kpis_missing_columns": f"""SELECT total_opex, total_energy, energy_efficiency, efficiency_basis, top_factory, bottom_factory, hr_percent
+        FROM ({_kpis(REC_NO_REVENUE, False)})""",
+    "case_blind": with_ctes("""SELECT factory, total_opex, CAST(row_number() OVER (ORDER BY total_opex DESC, factory) AS INTEGER) AS rank
+        FROM (SELECT factory, sum(total_opex) AS total_opex FROM r WHERE factory <> 'F00' AND shift = 'S_N' GROUP BY factory)"""),
+})

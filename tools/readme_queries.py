@@ -48,6 +48,7 @@ ROWS = {
     "filtered_dashboard_energy": "F10 with energy bounds (records)", "forecast_incremental": "T4, M9 from blocks of two uploads",
     "describe_range": "V6 of a range of days, from stored bins", "upload_analysis_full": "§2.1-2.13 as one upload, drivers included",
     "insight_context_drivers": "C1 (+ driver line), O4", "stream_kpis": "§2.15, A1-A10 per dataset",
+    "kpis_missing_columns": "P12, A1-A10 (columns missing)", "case_blind": "P13, A9",
 }
 
 
