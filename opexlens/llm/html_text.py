@@ -276,7 +276,8 @@ def extract(df: DataFrame, column: str = "html") -> DataFrame:
     none) and ``n_chars``; columns of these names are replaced.
 
     Null and empty pages give an empty text.  Repeated rows get equal
-    results; an empty table gives no rows."""
+    results; an empty table gives no rows; a page of any length is read whole,
+    its blocks held in memory."""
     names = [c for c in df.columns if c not in (column, "text", "n_chars")]
 
     def run(batches):

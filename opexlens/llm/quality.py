@@ -81,7 +81,8 @@ def rate(df: DataFrame, text: str = "text", max_lost: float = 0.5, min_words: in
     that pass, joined by a line feed), lost_share (of characters) and kept.
 
     Null and blank texts have no words: base_failed, not kept, lost_share 0.
-    A column of ``df`` named quality is replaced."""
+    Repeated rows fare alike, an empty table gives no rows, and whole texts are
+    judged, of any length (n log n in their words).  A column of ``df`` named quality is replaced."""
     value = F.coalesce(F.col(text), F.lit(""))
     counts = let(words_of(value), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),

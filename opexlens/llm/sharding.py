@@ -38,8 +38,10 @@ def shard(df: DataFrame, n_shards: int = 40, seed: int = 7) -> DataFrame:
 
     Row counts of shards differ by one at most.  Repeated rows and null
     values are rows like any other; an empty table gives no rows.  The order
-    depends on the input's partitions and ``seed`` only.  A column of ``df``
-    already named shard or slot is replaced."""
+    depends on the input's partitions and ``seed`` only.  A text of any length
+    travels as one value.  Above 10^9 rows a hypergeometric draw takes the normal
+    limit of its law.  A column of ``df`` already named shard or slot is
+    replaced."""
     df = df.drop("shard", "slot")
     mid, pid, n, cum, start, size, pos, at = fresh(df, "__mid", "__pid", "__n", "__cum", "__start", "__size", "__pos", "__at")
     rows = stage(df.withColumn(mid, F.monotonically_increasing_id()), "shard-rows")
