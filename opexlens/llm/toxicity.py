@@ -71,7 +71,7 @@ def _vectors(terms: np.ndarray, keep: list[str], added: list[str]):
     over the examples' terms (sorted)."""
     def run(batches):
         for batch in batches:
-            for lo, texts in text_blocks(batch.column(len(keep))):
+            for lo, texts in text_blocks(batch.column(len(keep)), 1 << 20):
                 found = []
                 for values, first in text_terms(texts):
                     if not len(terms):
