@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,22 +88,20 @@ def _join_lines(batches):
     """Arrow step: (line, file, start, code, inside) -> records and pieces:
     file, start, seq, part, record.  Parts: 0 whole, 1 begins here and goes on
     in the next stretch, 2 goes on from the one before."""
-    key, seq, state, held, part = None, 0, 0, [], 0
-    out: list[tuple] = []
+    key, seq, state, held, part = None, 0, 0, [], 0   # held: joined lines of the record that is open
 
-    def close(kind):
+    def rows(seqs, kind, records):
+        n = len(records)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array(np.full(n, key[1], np.int64)), pa.array(np.asarray(seqs, np.int64)),
+                                           pa.array(np.full(n, kind, np.int32)), pa.array(records, pa.string())], ["file", "start", "seq", "part", "record"])
+
+    def close(kind, text):
+        """The record that was open when a run of lines began."""
         nonlocal seq, held, part
-        text = "\n".join(held)
-        if kind != 0 or text.strip():
-            out.append((key[0], key[1], -1 if part == 2 else seq, kind, text))
-            seq += part != 2
         held, part = [], 0
-
-    def flush():
-        rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
-                                          ["file", "start", "seq", "part", "record"])
-        out.clear()
-        return rows
+        if kind != 0 or text.strip():
+            seq += kind != 2
+            yield rows([-1 if kind == 2 else seq - 1], kind, [text])
 
     for batch in batches:
         start, code, inside = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
@@ -112,21 +111,32 @@ def _join_lines(batches):
             here = (batch.column(1)[int(a)].as_py(), int(start[a]))
             if here != key:
                 if held:
-                    close(2 if part == 2 else 1)
+                    yield from close(2 if part == 2 else 1, "\n".join(held))
                 key, seq, state = here, 0, int(inside[a])
                 part = 2 if state else 0
+            lines = batch.column(0).slice(a, b - a)
             after = states(code[a:b], state)[1:]
-            for line, open_end in zip(batch.column(0).slice(a, b - a).to_pylist(), after.tolist()):
-                held.append(line)
-                if not open_end:
-                    close(part)
-            state = int(after[-1])
-        if out:
-            yield flush()
+            state, ends = int(after[-1]), np.flatnonzero(after == 0) + 1
+            if (held or part) and len(ends):     # the open record ends in this run
+                text = "\n".join([*held, *lines.slice(0, ends[0]).to_pylist()])
+                yield from close(part, text)
+                lines, ends = lines.slice(ends[0]), ends[1:] - ends[0]
+            if len(ends):                        # records that lie in this run as a whole
+                last = int(ends[-1])
+                records = lines.slice(0, last)
+                if len(ends) < last:
+                    offsets = pa.array(np.append(0, ends).astype(np.int32))
+                    records = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays([records])), "\n")
+                bare = pc.equal(pc.utf8_trim_whitespace(records), "")
+                if pc.any(bare).as_py():
+                    records = records.filter(pc.invert(bare))
+                if len(records):
+                    yield rows(seq + np.arange(len(records)), 0, records)
+                    seq += len(records)
+                lines = lines.slice(last)
+            held += ["\n".join(lines.to_pylist())] if len(lines) else []
     if held:
-        close(2 if part == 2 else 1)
-    if out:
-        yield flush()
+        yield from close(2 if part == 2 else 1, "\n".join(held))
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:

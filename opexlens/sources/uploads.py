@@ -42,6 +42,7 @@ def xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
     """Dates as serial numbers under a date style, numbers as numbers, text
     as shared strings; the sheet is part 7, part 2 is a sheet after it."""
     strings: dict[str, int] = {}
+    letters = [_letters(i) for i in range(max(map(len, [header, *rows])))]
 
     def cell(ref: str, v) -> str:
         if v is None:
@@ -51,7 +52,7 @@ def xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
         if isinstance(v, (int, float)):
             return f'<c r="{ref}"><v>{v!r}</v></c>'
         return f'<c r="{ref}" t="s"><v>{strings.setdefault(str(v), len(strings))}</v></c>'
-    body = "".join(f'<row r="{n}">' + "".join(cell(f"{_letters(i)}{n}", v) for i, v in enumerate(r)) + "</row>"
+    body = "".join(f'<row r="{n}">' + "".join([cell(f"{i}{n}", v) for i, v in zip(letters, r)]) + "</row>"
                    for n, r in enumerate([header, *rows], 1))
     escaped = (s.replace("&", "&amp;").replace("<", "&lt;") for s in strings)
     sheet = f'<worksheet xmlns="{_MAIN}"><sheetData>%s</sheetData></worksheet>'
@@ -66,7 +67,7 @@ def xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
         "xl/worksheets/sheet7.xml": sheet % body,
     }
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         for name, text in parts.items():
             z.writestr(name, text)
     return out.getvalue()
@@ -100,18 +101,19 @@ def write_uploads(df: DataFrame, path: str, suffix: str, encode: Callable[[list[
     return path
 
 
-def write_one_csv(df: DataFrame, path: str, rows_per_write: int = 20_000) -> str:
-    """All rows in one quoted CSV file, as one program would export them
-    (written by one task, ``rows_per_write`` rows at a time)."""
+def write_csv_uploads(df: DataFrame, path: str, rows_per_write: int = 20_000) -> str:
+    """Quoted CSV files as one program would export them, one per partition,
+    written as its rows come in (``rows_per_write`` at a time)."""
     header, target = df.columns, path.rstrip("/")
     target = target if "://" in target else "file:///" + target.removeprefix("file:").lstrip("/")
 
     def write(batches):
         from pyarrow import fs
+        from pyspark import TaskContext
         filesystem, base = fs.FileSystem.from_uri(target)
         filesystem.create_dir(base, recursive=True)
         n = 0
-        with filesystem.open_output_stream(f"{base}/upload.csv") as out:
+        with filesystem.open_output_stream(f"{base}/upload-{TaskContext.get().partitionId():05d}.csv") as out:
             for pdf in batches:
                 rows = pdf.astype(object).where(pdf.notna(), None).values.tolist()
                 for a in range(0, len(rows), rows_per_write):
@@ -121,5 +123,5 @@ def write_one_csv(df: DataFrame, path: str, rows_per_write: int = 20_000) -> str
                 out.write(csv_bytes(header, []))
         yield pd.DataFrame({"n": [n]})
 
-    df.coalesce(1).mapInPandas(write, "n long").agg({"n": "sum"}).collect()
+    df.mapInPandas(write, "n long").agg({"n": "sum"}).collect()
     return path
